@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.llm._shared import table
 from wakeline.llm.decontamination import find_contamination
 from wakeline.llm.exact_dedup import exact_dedup
+from wakeline.llm.language_id import identify
 from wakeline.llm.mixing import mix_sources
+from wakeline.llm.token_counts import count_tokens
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +33,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_benchmark_decontamination, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op5_exact_dedup, op6_benchmark_decontamination, op8_mix_sources)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
