@@ -61,8 +61,8 @@ class Rolling:
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            n = max(n, 1 << 16)
-            up, down = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
+            most = max(n, 1 << 16)
+            up, down = np.full(most, self.base, np.uint64), np.full(most, self.inverse, np.uint64)
             up[0] = down[0] = 1
             self._up, self._down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         return self._up[:n], self._down[:n]

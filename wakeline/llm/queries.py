@@ -10,6 +10,8 @@ from wakeline.llm.decontamination import find_contamination
 from wakeline.llm.exact_dedup import exact_dedup
 from wakeline.llm.language_id import identify
 from wakeline.llm.mixing import mix_sources
+from wakeline.llm.secret_scan import scan_secrets
+from wakeline.llm.substring_dedup import remove_repeats
 from wakeline.llm.token_counts import count_tokens
 
 
@@ -21,6 +23,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,11 +35,15 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op5_exact_dedup, op6_benchmark_decontamination, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
