@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wakeline.llm._shared import table
 from wakeline.llm.decontamination import find_contamination
 from wakeline.llm.exact_dedup import exact_dedup
+from wakeline.llm.jaccard_join import jaccard_classes
 from wakeline.llm.language_id import identify
 from wakeline.llm.mixing import mix_sources
 from wakeline.llm.secret_scan import scan_secrets
@@ -43,7 +44,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op10_jaccard_join)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
