@@ -14,6 +14,11 @@ from wakeline.llm.mixing import mix_sources
 from wakeline.llm.secret_scan import scan_secrets
 from wakeline.llm.substring_dedup import remove_repeats
 from wakeline.llm.token_counts import count_tokens
+from wakeline.llm.toxicity import grade_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op10_jaccard_join)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
