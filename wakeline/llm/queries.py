@@ -11,6 +11,7 @@ from wakeline.llm.exact_dedup import exact_dedup
 from wakeline.llm.jaccard_join import jaccard_classes
 from wakeline.llm.language_id import identify
 from wakeline.llm.mixing import mix_sources
+from wakeline.llm.quality_lm import classify_quality
 from wakeline.llm.secret_scan import scan_secrets
 from wakeline.llm.substring_dedup import remove_repeats
 from wakeline.llm.token_counts import count_tokens
@@ -49,11 +50,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op9_quality_classifier, op10_jaccard_join)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
