@@ -80,5 +80,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops, all columns kept; repeated rows are one row afterwards."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.dropDuplicates([id_col, text_col]).join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    rows = exact_dedup(docs, id_col, text_col)
+    kept = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+", ""), 256)
+    left = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__sha")), "left_semi")
+    # a semi join keeps every row of a doc_id; only where one doc_id has several rows of one text is more to do
+    if rows.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
+        one = left.groupBy(F.col(id_col).alias("__id"), own.alias("__sha")).agg(F.max_by(F.struct(*docs.columns), F.length(text_col)).alias("__row"))
+        left = one.select("__row.*")
+    return left

@@ -149,17 +149,22 @@ def _verified(groups: Iterator[tuple[list[int], list[int], list[int], list[np.nd
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (nodes_out, links_out, root_out)], ["node", "links", "root"])
 
 
-def jaccard_classes(
-    docs: DataFrame, threshold: float = 0.8, gram: int = 5, tolerance: float = 1e-5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Per row of docs: doc_id, class_id, n_links, class_size.
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, gram: int = 5, tolerance: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, class_id, n_links, class_size, kept.
 
     Words are what white space separates, unchanged; a text of fewer than ``gram`` words is one n-gram. Classes are the
-    connected components of the links, named by their least doc_id; n_links counts the other rows linked to a row,
-    copies included. Null, empty and blank texts have no n-grams and no links; each is a class of its own. Rows
-    repeated with one doc_id are copies of each other, or nodes of their own if their texts differ. An empty table
-    gives an empty result.
+    connected components of the links, named by their least doc_id, a null one last, whose row is the one kept; n_links
+    counts the other rows linked to a row, copies included. Null, empty and blank texts have no n-grams and no links;
+    each is a class of its own. Rows repeated with one doc_id are copies of each other, or nodes of their own if their
+    texts differ. An empty table gives an empty result.
     """
+    return _classes(docs, threshold, gram, tolerance, id_col, text_col).drop("text_hash")
+
+
+def _classes(
+    docs: DataFrame, threshold: float = 0.8, gram: int = 5, tolerance: float = 1e-5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of jaccard_classes, with the hash of their texts."""
     rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -255,14 +260,22 @@ def jaccard_classes(
         .select("one", "two", "n_words", F.coalesce("component", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     placed = (
-        of_rows.join(of_node, ["one", "two", "n_words"]).select("doc_id", "class", "n_links")
-        .unionByName(signatures.where("n_words = 0").select("doc_id", F.col("row_id").alias("class"), F.lit(0).cast("long").alias("n_links")))
+        of_rows.join(of_node, ["one", "two", "n_words"]).select("doc_id", "text_hash", "row_id", "class", "n_links")
+        .unionByName(signatures.where("n_words = 0").select("doc_id", "text_hash", "row_id", F.col("row_id").alias("class"), F.lit(0).cast("long").alias("n_links")))
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
+    named = placed.groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size"))
+    return placed.join(named, "class").select(
+        "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_links", "class_size", (F.col("first.row_id") == F.col("row_id")).alias("kept")
     )
-    named = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(named, "class").select("doc_id", "class_id", "n_links", "class_size")
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, gram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of least doc_id of each class alone, all columns kept; repeated rows are one row afterwards."""
-    stays = jaccard_classes(docs, threshold, gram, id_col=id_col, text_col=text_col).where("doc_id <=> class_id").select(F.col("doc_id").alias("__stays"))
-    return docs.dropDuplicates([id_col, text_col]).join(stays, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
+    """docs with the kept row of each class alone, all columns kept; repeated rows are one row afterwards."""
+    rows = keep(_classes(docs, threshold, gram, 1e-5, id_col, text_col).select("doc_id", "text_hash", "kept"), "classes")
+    stays = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    left = docs.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left_semi")
+    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        left = left.groupBy(F.col(id_col).alias("__id"), own.alias("__hash")).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return left

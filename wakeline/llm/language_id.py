@@ -190,7 +190,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows that identify rejects as und, all columns kept."""
-    bad = identify(docs, id_col, text_col, lang_col).where("lang_pred = 'und'").select(F.col("doc_id").alias("__und"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__und")) & ~F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)), "left_anti")
+def drop_unidentified(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows that are und or have a lower score than ``least_score``, all columns kept, in one pass."""
+    model = train(docs.where(~held_out(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col)
+    names = docs.columns
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = b.column(len(names))
+            stay = np.array(known.is_valid()) & bool(model.languages)
+            for i, j, data, offsets in pieces(known):
+                if stay[i:j].any():
+                    stay[i:j] &= model.predict(data, offsets)[1] >= least_score
+            yield b.filter(pa.array(stay)).select(names)
+
+    lettered = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__lettered")
+    return docs.select(*names, lettered).mapInArrow(kept, docs.schema)
