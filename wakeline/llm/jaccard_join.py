@@ -219,7 +219,7 @@ def _classes(
 
     here = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
-        rows.join(members, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_hash") == F.col("m_hash")))
+        rows.hint("merge").join(members, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_hash") == F.col("m_hash")))
         .select("node", "component", "blocks", "copies", "text")
         .mapInArrow(as_sets, "node long, component long, blocks int, copies long, grams binary")
         .withColumn("here", here)
