@@ -68,7 +68,7 @@ class Severity:
         return np.bincount(text, self.weights[word.astype(np.int64)] * np.log1p(count), n)
 
 
-def fit(row: np.ndarray, word: np.ndarray, value: np.ndarray, grade: np.ndarray, penalty: float = 3e-5, steps: int = 300) -> Severity:
+def fit(row: np.ndarray, word: np.ndarray, value: np.ndarray, grade: np.ndarray, penalty: float = 3e-5, steps: int = 800) -> Severity:
     """The model for entries (row, word, value) and the grades, 0 to some K, of the rows."""
     names, place = np.unique(word, return_inverse=True)
     n, top = len(grade), int(grade.max(initial=0))
@@ -76,9 +76,10 @@ def fit(row: np.ndarray, word: np.ndarray, value: np.ndarray, grade: np.ndarray,
         return Severity(np.zeros(0, np.uint64), np.zeros(0), np.full(1, 40.0))
     share = np.array([(grade > k).mean() for k in range(top)])
     theta = -np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6)))
+    theta = np.maximum(theta, 0.5 + np.arange(top))  # a text without any known word begins as clean, whatever the shares
     w = np.zeros(len(names))
     speed, theta_speed = np.full(len(names), 1e-8), np.full(top, 1e-4)
-    for step in range(steps):
+    for _ in range(steps):
         score = np.bincount(row, w[place] * value, n)
         sig = 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -40, 40)))
         edge = np.concatenate([np.ones((n, 1)), sig, np.zeros((n, 1))], axis=1)
@@ -88,14 +89,14 @@ def fit(row: np.ndarray, word: np.ndarray, value: np.ndarray, grade: np.ndarray,
         by_score = -(da - db) / n
         grad = np.bincount(place, by_score[row] * value, len(names))
         speed += grad**2
-        rate = 0.5 / np.sqrt(speed) / (1 + step / 100)
+        rate = 0.5 / np.sqrt(speed)
         w = w - rate * grad
         w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
         by_theta = np.zeros(top)
         np.add.at(by_theta, np.maximum(grade - 1, 0), np.where(grade > 0, da, 0) / n)
         np.add.at(by_theta, np.minimum(grade, top - 1), np.where(grade < top, -db, 0) / n)
         theta_speed += by_theta**2
-        theta = theta - 0.2 / (1 + step / 100) * by_theta / np.sqrt(theta_speed)
+        theta = theta - 0.2 * by_theta / np.sqrt(theta_speed)
         theta = np.maximum.accumulate(theta - 0.05 * np.arange(top)) + 0.05 * np.arange(top)  # apart by a little at least
     kept = np.flatnonzero(w)
     return Severity(names[kept], w[kept], theta)
