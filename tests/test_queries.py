@@ -34,7 +34,8 @@ def test_query(spark, duck, name):
     rows = [tuple(r) for r in got.select(*columns).collect()]
     if name in catalog.ORACLE_SQL:
         want = duck.execute(f"select {', '.join(columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()
-        assert plain(rows) == plain(want) and rows
+        assert plain(rows) == plain(want)
+    assert rows or name == "geofence"  # whose ids begin beyond the smallest tables
 
 
 def test_entry(spark):
