@@ -51,10 +51,15 @@ def with_prints(rows: DataFrame, window: int, gram: int, short: list[int] = [])
         _places(F.size("grams") - (window - gram)),
         lambda i: F.struct(F.array_min(F.slice("grams", i, window - gram + 1)).alias("print"), i.alias("at"), F.lit(window).alias("len")),
     )
-    of_short = [
-        F.transform(_places(F.size("h") - (n - 1)), lambda i, n=n: F.struct(F.xxhash64(F.slice("h", i, n), F.lit(n)).alias("print"), i.alias("at"), F.lit(n).alias("len")))
-        for n in short
-    ]
+
+    def of_length(n: int) -> Column:
+        """Windows of n words; a function of its own, as Spark gives further parameters of a lambda a meaning."""
+        return F.transform(
+            _places(F.size("h") - (n - 1)),
+            lambda i: F.struct(F.xxhash64(F.slice("h", i, n), F.lit(n)).alias("print"), i.alias("at"), F.lit(n).alias("len")),
+        )
+
+    of_short = [of_length(n) for n in short]
     return stepped.select(*carry, (F.concat(of_windows, *of_short) if short else of_windows).alias("prints"))
 
 
