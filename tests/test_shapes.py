@@ -170,3 +170,25 @@ def test_chaining_turns_lines_and_keeps_the_rest(spark):
         coastline.chain_coastline(df, 99).collect()
     sea = coastline.sea_polygons(df, 10).first()
     assert len(sea.rings) == 1 and sea.tags["water"] == "sea"
+
+
+def test_edits(spark):
+    from wakeline.operators import edits
+
+    df = spark.createDataFrame([([{"id": 1, "lat": 1.0, "lon": 2.0}, {"id": 2, "lat": 3.0, "lon": 4.0}, {"id": 1, "lat": 1.0, "lon": 2.0}], [SQUARE, HOLE, HOLE], {"a": "b"})], f"nodes array<struct<id:long,lat:double,lon:double>>, rings array<array<{POINT}>>, tags map<string,string>")
+    n, r, t = F.col("nodes"), F.col("rings"), F.col("tags")
+    row = df.select(
+        edits.remove_node(n, F.lit(1)).alias("removed"), edits.remove_node(n, F.lit(9)).alias("none"), edits.append_node(n, F.try_element_at(n, F.lit(2))).alias("more"), edits.clear(n).alias("empty"),
+        F.size(edits.remove_hole(r, 0)).alias("one"), F.size(edits.remove_hole(r, 5)).alias("all"), F.size(edits.clear_holes(r)).alias("outer"), F.size(edits.add_hole(r, F.try_element_at(r, F.lit(2)))).alias("added"),
+        edits.set_outer(r, F.try_element_at(r, F.lit(2)))[0].alias("new_outer"), edits.set_tag(t, "a", "c").alias("tag"), edits.remove_tag(t, "a").alias("no_tag"),
+        edits.coordinates(n, "coords").alias("coords"), edits.coordinates(n, "arrays").alias("arrays"),
+    ).first()
+    assert [x.id for x in row.removed] == [2, 1] and len(row.none) == 3 and [x.id for x in row.more] == [1, 2, 1, 2] and row.empty == []
+    assert (row.one, row["all"], row.outer, row.added) == (2, 3, 1, 4) and len(row.new_outer) == 5 and row.tag == {"a": "c"} and row.no_tag == {}
+    assert row.coords[1].lat == 3.0 and row.arrays.id == [1, 2, 1]
+    with pytest.raises(ValueError, match="form"):
+        edits.coordinates(n, "numpy")
+    with pytest.raises(ValueError, match="empty"):
+        edits.set_tag(t, " ", "x")
+    with pytest.raises(TypeError):
+        edits.set_tag(t, "x", 1)

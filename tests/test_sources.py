@@ -29,6 +29,11 @@ def test_documents_and_model_tables(spark, tmp_path):
     assert [r.way_id for r in tables["ways"].collect()] == [1] and [r.id for r in tables["rejects"].collect()] == [3] and tables["areas"].count() == 1
 
 
+def test_shapes_have_boxes_from_their_points(spark, tmp_path):
+    got = {r.id: r for r in geojson.read_shapes(spark, _written(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and got[3].bbox.max_lon == 2 and got[2].bbox.max_lat == 4
+
+
 def test_what_is_no_collection_is_an_error(spark, tmp_path):
     (tmp_path / "b.geojson").write_text('{"type": "Feature"}')
     with pytest.raises(Exception, match="FeatureCollection"):

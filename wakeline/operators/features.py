@@ -109,6 +109,29 @@ def merge_collections(collections: list[DataFrame], keep: str = "first", add_dup
     return renumber(chosen, "geom_type", "__at").drop("__name", "__key", "__at")
 
 
+def union_collections(collections: list[DataFrame]) -> DataFrame:
+    """All features of all collections, one collection after the other; ord is their place among all, ids stay."""
+    parts = [c.select("*", F.lit(i).alias("src_ord")) for i, c in enumerate(collections)]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return renumber(both.withColumnRenamed("ord", "old_ord"), "src_ord", "old_ord", column="ord").drop("old_ord")
+
+
+def shape_stats(features: DataFrame) -> DataFrame:
+    """id, geom_type, n_points, n_rings, n_holes, first and last: of lines (points) and polygons (rings); first and last
+    are a line's ends as text with six decimals."""
+    place = lambda p: F.concat(F.format_number(p["lat"], 6), F.lit(", "), F.format_number(p["lon"], 6))
+    is_line = F.col("geom_type") == "LineString"
+    return features.select(
+        "id", "geom_type",
+        F.when(is_line, F.size("points")).otherwise(F.size(F.flatten("rings"))).cast("long").alias("n_points"),
+        F.when(is_line, 0).otherwise(F.size("rings")).cast("long").alias("n_rings"),
+        F.when(is_line, 0).otherwise(F.size("rings") - 1).cast("long").alias("n_holes"),
+        F.when(is_line, place(F.try_element_at("points", F.lit(1)))).alias("first"), F.when(is_line, place(F.try_element_at("points", F.lit(-1)))).alias("last"),
+    )
+
+
 def drop_equal_geometries(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected): the first feature of each geometry, direction and first point included, with ids from 0 in
     order. Features without a bounding box are rejects and take no id."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
-from wakeline.operators import coastline, features, graph, kalman, spatial, tracks
+from wakeline.operators import coastline, edits, features, graph, kalman, spatial, tracks
 from wakeline.plans import tables as t
 from wakeline.sources import geojson
 
@@ -413,6 +413,29 @@ def point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geojson.point_features(nodes).select(F.col("ord").alias("node_id"), "feature")
 
 
+@query("""WITH f AS (SELECT 0 AS src, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+SELECT id, src AS src_ord, row_number() OVER (ORDER BY src, id) - 1 AS ord FROM f""")
+def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _way_features(spark, sf_dir)
+    return features.union_collections([rows.where("id % 2 = 0"), rows.where("id % 3 = 0")]).select("id", "src_ord", "ord")
+
+
+@query(f"""WITH {_WAY_NODES} SELECT way_id AS id, 'LineString' AS geom_type, count(*) AS n_points, 0 AS n_rings, 0 AS n_holes,
+    printf('%.6f, %.6f', first(lat ORDER BY pos), first(lon ORDER BY pos)) AS first, printf('%.6f, %.6f', last(lat ORDER BY pos), last(lon ORDER BY pos)) AS last
+FROM way_nodes WHERE way_id IN (SELECT o_orderkey FROM orders) GROUP BY way_id""")
+def shape_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = t.way_shapes(spark, sf_dir).select(F.col("way_id").alias("id"), F.lit("LineString").alias("geom_type"), "points", F.lit(None).cast(f"array<array<{geojson.POINT}>>").alias("rings"))
+    return features.shape_stats(shapes)
+
+
+@query(f"""WITH {_WAY_NODES}, m AS (SELECT way_id, node_id, pos, min(CASE WHEN node_id % 3 = 0 THEN pos END) OVER (PARTITION BY way_id) AS gone FROM way_nodes WHERE way_id IN (SELECT o_orderkey FROM orders))
+SELECT way_id, coalesce(string_agg(CASE WHEN pos IS DISTINCT FROM gone THEN CAST(node_id AS VARCHAR) END, ',' ORDER BY pos), '') AS node_ids FROM m GROUP BY way_id""")
+def remove_first_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = t.way_shapes(spark, sf_dir).select("way_id", F.transform("node_ids", lambda i: F.struct(i.alias("id"))).alias("nodes"), F.try_element_at(F.filter("node_ids", lambda i: i % 3 == 0), F.lit(1)).alias("gone"))
+    left = F.when(F.col("gone").isNotNull(), edits.remove_node(F.col("nodes"), F.col("gone"))).otherwise(F.col("nodes"))
+    return shapes.select("way_id", F.array_join(F.transform(left, lambda n: n["id"].cast("string")), ",").alias("node_ids"))
+
+
 # space
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.functions.geo import closed, on_grid
+from wakeline.functions.geo import bbox, closed, on_grid
 from wakeline.operators.tracks import time_text
 
 FEATURE = "id bigint, boundingbox array<double>, geometry struct<type:string, coordinates:string>, properties struct<OSM_id_nodes:string, tags:map<string,string>, time:string>"
@@ -46,6 +46,13 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     )
 
 
+def read_shapes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """ord, id, geom_type, points, rings and box of lines and polygons, the box from the points; no tags and no nodes, so
+    none of these are parsed."""
+    rows = read_features(spark, path, lines).where("geom_type in ('LineString', 'Polygon')")
+    return rows.select("ord", "id", "geom_type", "points", "rings", bbox(F.coalesce("points", F.flatten("rings"))).alias("bbox"))
+
+
 def model_tables(features: DataFrame) -> dict[str, DataFrame]:
     """nodes, ways, way_nodes, areas and rejects of a collection (ord, id, points, rings, node_ids, ring_node_ids).
 
