@@ -420,7 +420,7 @@ def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.union_collections([rows.where("id % 2 = 0"), rows.where("id % 3 = 0")]).select("id", "src_ord", "ord")
 
 
-@query(f"""WITH {_WAY_NODES} SELECT way_id AS id, 'LineString' AS geom_type, count(*) AS n_points, 0 AS n_rings, 0 AS n_holes,
+@query(f"""WITH {_WAY_NODES} SELECT way_id AS id, 'LineString' AS geom_type, count(*) AS n_points, CAST(0 AS BIGINT) AS n_rings, CAST(0 AS BIGINT) AS n_holes,
     printf('%.6f, %.6f', first(lat ORDER BY pos), first(lon ORDER BY pos)) AS first, printf('%.6f, %.6f', last(lat ORDER BY pos), last(lon ORDER BY pos)) AS last
 FROM way_nodes WHERE way_id IN (SELECT o_orderkey FROM orders) GROUP BY way_id""")
 def shape_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
