@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset (tests), a local one that is set once."""
@@ -19,7 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, hint: str = "table") -> DataFrame:
-    """df written to the shared folder and read back, so that later uses see the same rows and any machine may be lost."""
+    """df written to the shared folder and read back: lineage ends here, later uses see the same rows and any machine may
+    be lost."""
     path = f"{shared_dir(df.sparkSession)}/wakeline-{hint}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _written.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that settle has written in this process, once no result that reads them is needed any more;
+    returns how many there were."""
+    jvm, n = spark._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
