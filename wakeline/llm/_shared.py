@@ -1,33 +1,16 @@
-"""Small helpers that the operators share: the shared folder and reading of tables."""
+"""Small helpers that the operators share: tables in the shared folder, and reading of tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space that separates words, as a Java regular expression class.
-SPACE = r"[\x20\x09-\x0D]"
-
+from wakeline.functions.storage import settle as keep
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a local one that is set once."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wakeline-"))
-    return sc.getCheckpointDir()
+__all__ = ["SPACE", "keep", "table", "texts"]
 
-
-def keep(df: DataFrame, hint: str = "table") -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends here and any executor can be lost."""
-    path = f"{shared_dir(df.sparkSession)}/wakeline-{hint}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The white space that separates words, as a Java regular expression class.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
