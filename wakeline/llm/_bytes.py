@@ -40,6 +40,14 @@ def pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def each(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, bytes, offsets) for every single text, empty ones too."""
+    data, offsets = utf8(column)
+    for i in range(len(offsets) - 1):
+        own = data[offsets[i] : offsets[i + 1]]
+        yield i, own, np.array([0, len(own)])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))

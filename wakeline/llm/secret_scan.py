@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm._bytes import pieces, words
+from wakeline.llm._bytes import each, pieces, words
 from wakeline.llm._shared import texts
 
 # The patterns, and the least length of what counts.
@@ -36,10 +36,12 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 _GAP = np.ones(256, bool)
 for _c in (*range(48, 58), *range(65, 91), *range(97, 123), *map(ord, "+/_.-"), *range(128, 256)):
     _GAP[_c] = False
-_CLASS = np.full(256, 3, np.int64)  # digit, upper, lower, other
+_CLASS = np.full(256, 3, np.uint8)  # digit, upper, lower, other
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 0, 1, 2
-_NOT_HEX = np.ones(256, np.int64)
+_NOT_HEX = np.ones(256, np.uint8)
 _NOT_HEX[[*range(48, 58), *range(97, 103), *range(65, 71)]] = 0
+_OTHER_THAN_HEX = np.ones(256, bool)
+_OTHER_THAN_HEX[[*range(48, 58), *range(97, 103)]] = False
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 N_SHAPES, N_WORDS, N_GAPS, N_FILES = 2048, 4096, 8, 32
@@ -48,18 +50,32 @@ _SIZES = [N_SHAPES, N_SHAPES, N_SHAPES, N_WORDS, N_WORDS, N_GAPS, N_GAPS, N_FILE
 _AT = np.concatenate([[0], np.cumsum(_SIZES)])
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind's place, end) in code points, sorted; only what is long enough."""
+def base_spans(text: str, hexed: bool = True) -> list[tuple[int, int, int]]:
+    """(start, kind's place, end) in code points, sorted; only what is long enough. hexed: whether to look for hex."""
     found = []
-    low = text.lower()
-    if any(k in low for k in KEYWORDS):
+    if ("=" in text or ":" in text) and any(k in (low := text.lower()) for k in KEYWORDS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    if hexed:
+        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
+def long_hex(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text whether 16 bytes in a row are 0-9 or a-f; a run across two texts may mark the first for nothing."""
+    other = np.flatnonzero(_OTHER_THAN_HEX[data])
+    before = np.concatenate([[-1], other])
+    at = before[np.diff(np.append(before, len(data))) > 16] + 1
+    out = np.zeros(len(offsets) - 1, bool)
+    for k in at.tolist():  # a run may begin in one text and go on in the next ones
+        row = int(np.searchsorted(offsets, k, "right")) - 1
+        while row < len(out) and offsets[row] < len(data) and (offsets[row] <= k or not _OTHER_THAN_HEX[data[k : offsets[row]]].any()):
+            out[row] = True
+            row += 1
+    return out
+
+
 def _taught(text: str) -> list[tuple[int, int]]:
     """The secrets themselves, for teaching: of an assignment its value alone."""
     out = [(s, e) for s, k, e in base_spans(text) if k]
@@ -73,34 +89,45 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not n:
         return starts, ends, at, np.zeros((0, len(_SIZES)), np.int64)
     kind = _CLASS[data]
-    of = lambda x: (lambda c: c[ends] - c[starts])(np.concatenate([[0], np.cumsum(x)]))
+    sums = np.zeros(len(data) + 1, np.int32)
+
+    def of(x: np.ndarray) -> np.ndarray:
+        """The sum over each token."""
+        np.cumsum(x, out=sums[1:], dtype=np.int32)
+        return sums[ends] - sums[starts]
+
     length = ends - starts
     has = [of(kind == k) > 0 for k in range(4)]
-    changes = np.zeros(len(data), np.int64)
+    changes = np.zeros(len(data), bool)
     changes[1:] = kind[1:] != kind[:-1]
-    changes[starts] = 0
+    changes[starts] = False
     flips = np.digitize(of(changes), [1, 3, 6])
     hexed = of(_NOT_HEX[data]) == 0
-    shape = ((((has[0] * 2 + has[1]) * 2 + has[2]) * 2 + has[3]) * 2 + hexed) * 32 + np.digitize(length, [4, 8, 12, 16, 20, 32, 48]) * 4 + flips
-    # a word's hash is a sum over its first 12 bytes; longer tokens have no word
-    place = np.arange(len(data)) - np.repeat(starts, length) if n and length.sum() == len(data) else None
-    if place is None:
-        inside = ~_GAP[data]
-        place = np.zeros(len(data), np.int64)
-        place[inside] = np.arange(inside.sum()) - np.repeat(np.cumsum(length) - length, length)
-    code = np.where(_GAP[data], 0, _LOWER[data] * ((place.astype(np.uint32) * 2 + 1) * np.uint32(2654435761)))
-    word = np.where(length <= 12, (of(code.astype(np.int64)) % 4093 + 1), 0)
+    shape = ((((has[0].astype(np.int64) * 2 + has[1]) * 2 + has[2]) * 2 + has[3]) * 2 + hexed) * 32 + np.digitize(length, [4, 8, 12, 16, 20, 32, 48]) * 4 + flips
+    # a word's hash is a sum over its bytes and places; tokens of over 12 bytes have no word
+    short = length <= 12
+    code = np.zeros(n, np.int64)
+    for k in range(12):
+        has_k = np.flatnonzero(short & (length > k))
+        code[has_k] += _LOWER[data[starts[has_k] + k]].astype(np.int64) * (2 * k + 1) * 40503
+    word = np.where(short, code % 4093 + 1, 0)
     first, last = np.zeros(n, bool), np.zeros(n, bool)
     own = np.repeat(np.arange(len(at) - 1), np.diff(at))
     first[1:], first[0] = own[1:] != own[:-1], True
     last[:-1], last[-1] = own[1:] != own[:-1], True
     prev = lambda x: np.where(first, 0, np.concatenate([[0], x[:-1]]))
     nxt = lambda x: np.where(last, 0, np.concatenate([x[1:], [0]]))
-    marks = [np.concatenate([[0], np.cumsum(m)]) for m in (data == 61, data == 58, (data == 34) | (data == 39))]
+    at_mark = [np.flatnonzero(m) for m in (data == 61, data == 58, (data == 34) | (data == 39))]
     gap_from = np.where(first, offsets[own], np.concatenate([[0], ends[:-1]]))
-    gap = sum(((m[starts] - m[gap_from]) > 0) << i for i, m in enumerate(marks))
+    gap = np.zeros(n, np.int64)
+    for i, m in enumerate(at_mark):
+        of_token = np.searchsorted(starts, m)
+        ahead = of_token < n
+        of_token = of_token[ahead]
+        gap[of_token[m[ahead] >= gap_from[of_token]]] |= 1 << i
     text_bytes = np.maximum(np.diff(offsets), 1)
-    digits = np.concatenate([[0], np.cumsum(kind == 0)])
+    digits = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kind == 0, out=digits[1:], dtype=np.int32)
     density = np.digitize((digits[offsets[1:]] - digits[offsets[:-1]]) / text_bytes, [0.002, 0.01, 0.05])[own]
     files = density * 8 + np.digitize(length, [8, 12, 16, 20]) * 1 * has[0]
     columns = [shape, prev(shape), nxt(shape), word, prev(word), gap, nxt(gap), files]
@@ -119,8 +146,16 @@ class Field:
             score = score + self.weights[found[:, i]]
         tags = np.zeros(len(score), np.int8)
         a = self.moves
-        gain = [max(a[p, y] + a[y, q] - a[p, OUT] - a[OUT, q] for p in range(3) for q in range(3)) for y in (BEGIN, INSIDE)]
-        open_ = (score[:, OUT] - score[:, BEGIN] <= gain[0]) | (score[:, OUT] - score[:, INSIDE] <= gain[1])
+        # what tag y could gain at most over outside: with outside or begin next, and with inside next, where that one
+        # would have to be a begin instead
+        after = np.full(len(score), -np.inf)
+        after[:-1] = score[1:, INSIDE] - score[1:, BEGIN]
+        open_ = np.zeros(len(score), bool)
+        for y in (BEGIN, INSIDE):
+            enter = max(a[p, y] - a[p, OUT] for p in range(3) if a[p, y] > -1e5)
+            leave = max(a[y, q] - a[OUT, q] for q in (OUT, BEGIN))
+            go_on = a[y, INSIDE] - a[OUT, BEGIN] + max(a[INSIDE, q] - a[BEGIN, q] for q in range(3))
+            open_ |= score[:, OUT] - score[:, y] <= enter + np.maximum(leave, go_on + after)
         spots = np.flatnonzero(open_)
         if len(spots):
             own = np.searchsorted(at, spots, "right")
@@ -197,7 +232,7 @@ def train(docs: DataFrame, sample_rows: int = 20_000, reach: int = 24) -> Field
         for b in batches:
             chains, tags = [], []
             all_texts = b.column(1).to_pylist()
-            for i, _, data, offsets in pieces(b.column(1), 1):
+            for i, data, offsets in each(b.column(1)):
                 text = all_texts[i]
                 starts, ends, _, found = features(data, offsets)
                 if not len(starts):
@@ -242,7 +277,8 @@ def scan_secrets(docs: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_texts = b.column(1).to_pylist()
-            spans = [base_spans(t) for t in all_texts]
+            hexed = np.concatenate([np.zeros(0, bool), *(long_hex(data, offsets) for _, _, data, offsets in pieces(b.column(1)))])
+            spans = [base_spans(t, h) for t, h in zip(all_texts, hexed, strict=True)]
             base = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in x) for x in spans]
             counts = [[sum(k == kind for _, k, _ in x) for x in spans] for kind in range(3)]
             for i, _, data, offsets in pieces(b.column(1)) if field else ():
