@@ -201,7 +201,7 @@ def classify_quality(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     trusted_ids = labels.where(F.col(trust_col) == 1).select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
     sets_limit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(5)) == 0
-    model = train(rows.where("text != ''").join(trusted_ids.where(~sets_limit), "doc_id", "left_semi").select("text"))
+    model = train(rows.where("text != ''").hint("merge").join(trusted_ids.where(~sets_limit), "doc_id", "left_semi").select("text"))
     if model.limit(broadcast_rows + 1).count() <= broadcast_rows:
         scored = _score_in_place(rows, model)
     else:
