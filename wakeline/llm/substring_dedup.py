@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm._bytes import Rolling, pieces, words
+from wakeline.llm._bytes import Rolling, each, pieces, words
 from wakeline.llm._shared import keep, texts
 
 _BYTES, _RUNS, _STRETCHES, _FINE, _FINE2 = (Rolling(k) for k in range(1, 6))
@@ -89,8 +89,9 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
                 )
 
     runs = rows.select("doc_id", "text_hash", "text").mapInArrow(found, f"run long, stretch long, doc_id {id_type}, text_hash int, first int, n int")
-    again = runs.groupBy("run").agg(F.count("*").alias("times")).where("times > 1").select("run")
-    live = keep(runs.join(again, "run"), "runs")
+    # written down, so that the join is one of two shuffles, of which Spark can split a very frequent run's
+    again = keep(runs.groupBy("run").agg(F.count("*").alias("times")).where("times > 1").select("run"), "again")
+    live = keep(runs.hint("merge").join(again, "run"), "runs")
     stretches = live.groupBy("run", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("one"))
     stretches = keep(stretches, "stretches")
     settled = live.join(stretches.where("times > 1").select("run", "stretch"), ["run", "stretch"]).select(*key, "first", "n")
@@ -104,7 +105,7 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spots = b.column(3)
-            for i, _, data, offsets in pieces(b.column(2), 1):
+            for i, data, offsets in each(b.column(2)):
                 own = spots[i].values
                 first, n, times = (np.asarray(own.field(k)) for k in ("first", "n", "times"))
                 a, c, at = window_hashes(data, offsets, window, first.astype(np.int64), n.astype(np.int64))
@@ -139,7 +140,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, out = [], [], []
-            for i, _, data, offsets in pieces(b.column(1), 1):
+            for i, data, offsets in each(b.column(1)):
                 starts, ends, _ = words(data, offsets)
                 gone = np.zeros(len(starts) + 1, np.int64)
                 if b.column(2)[i].is_valid:
