@@ -200,7 +200,8 @@ def _classes(
         "nodes",
     )
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    leads = banded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
+    # written down, so that the join is one of two shuffles, of which Spark can split a very frequent band's
+    leads = keep(banded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead"), "leads")
     candidates = components(banded.join(leads, "band").select(F.col("node").alias("u"), F.col("lead").alias("v")))
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = keep(
@@ -259,12 +260,13 @@ def _classes(
         .join(linked, "node", "left").join(classes, "node", "left")
         .select("one", "two", "n_words", F.coalesce("component", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    placed = (
+    placed = keep(
         of_rows.join(of_node, ["one", "two", "n_words"]).select("doc_id", "text_hash", "row_id", "class", "n_links")
-        .unionByName(signatures.where("n_words = 0").select("doc_id", "text_hash", "row_id", F.col("row_id").alias("class"), F.lit(0).cast("long").alias("n_links")))
+        .unionByName(signatures.where("n_words = 0").select("doc_id", "text_hash", "row_id", F.col("row_id").alias("class"), F.lit(0).cast("long").alias("n_links"))),
+        "placed",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
-    named = placed.groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size"))
+    named = keep(placed.groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size")), "classes")
     return placed.join(named, "class").select(
         "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_links", "class_size", (F.col("first.row_id") == F.col("row_id")).alias("kept")
     )
