@@ -326,6 +326,54 @@ def connected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.drop_isolated(t.nodes(spark, sf_dir), t.way_nodes(spark, sf_dir).where("way_id % 97 = 0")).select("node_id")
 
 
+# the same over every way and area: the queries above keep to the samples that their SQL has
+
+
+@query("SELECT DISTINCT l_suppkey AS area_id FROM lineitem a WHERE l_linenumber <= 3 AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = a.l_partkey)")
+def area_touching_ways_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.areas_touching_ways(t.all_area_nodes(spark, sf_dir), t.way_nodes(spark, sf_dir))
+
+
+@query(f"""WITH {_WAY_NODES}, d AS (SELECT DISTINCT way_id, node_id FROM way_nodes)
+SELECT a.way_id, b.way_id AS neighbor_id, string_agg(CAST(a.node_id AS VARCHAR), ',' ORDER BY a.node_id) AS shared FROM d a JOIN d b ON a.node_id = b.node_id AND a.way_id <> b.way_id GROUP BY 1, 2""")
+def way_neighbors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = graph.way_neighbors(t.way_nodes(spark, sf_dir))
+    return near.select("way_id", "neighbor_id", F.array_join(F.col("shared_node_ids").cast("array<string>"), ",").alias("shared"))
+
+
+@query(f"""WITH {_WAY_NODES}, d AS (SELECT way_id, node_id, max(pos) AS pos FROM way_nodes GROUP BY 1, 2)
+SELECT a.way_id, b.way_id AS neighbor_id, arg_max(a.node_id, a.pos) AS node_id FROM d a JOIN d b ON a.node_id = b.node_id AND a.way_id <> b.way_id GROUP BY 1, 2""")
+def way_neighbors_last_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.way_neighbors(t.way_nodes(spark, sf_dir), last_only=True)
+
+
+@query(f"""WITH {_WAY_NODES}, e AS (SELECT a.node_id AS s, b.node_id AS d FROM way_nodes a JOIN way_nodes b ON a.way_id = b.way_id AND a.pos + 1 = b.pos AND a.node_id <> b.node_id),
+u AS (SELECT s, d FROM e UNION SELECT d, s FROM e), w AS (SELECT node_id, count(DISTINCT way_id) AS n FROM way_nodes GROUP BY 1), g AS (SELECT s, count(*) AS n FROM u GROUP BY 1)
+SELECT p_partkey AS node_id, coalesce(w.n, 0) AS way_count, coalesce(g.n, 0) AS neighbor_count, coalesce(w.n, 0) > 0 AND coalesce(g.n, 0) > 0 AS is_connected
+FROM part LEFT JOIN w ON p_partkey = w.node_id LEFT JOIN g ON p_partkey = g.s""")
+def node_degree_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    way_nodes = t.way_nodes(spark, sf_dir)
+    counted = graph.node_counts(t.nodes(spark, sf_dir), way_nodes, graph.both_ways(graph.way_edges(way_nodes)))
+    return counted.select("node_id", "way_count", "neighbor_count", "is_connected")
+
+
+def _coast_tunnel_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of tunnels on the coastline; with every way, no node is isolated."""
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    tunnels = t.ways(spark, sf_dir).where((tag("tunnel") == "yes") & (tag("natural") == "coastline"))
+    return t.way_nodes(spark, sf_dir).join(tunnels.select("way_id"), "way_id", "left_semi")
+
+
+@query("SELECT p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
+def nodes_off_tunnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.drop_isolated(t.nodes(spark, sf_dir), _coast_tunnel_nodes(spark, sf_dir), invert=True).select("node_id")
+
+
+@query("SELECT p_partkey AS node_id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
+def nodes_on_tunnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.drop_isolated(t.nodes(spark, sf_dir), _coast_tunnel_nodes(spark, sf_dir)).select("node_id")
+
+
 @query(f"WITH {_WAY_NODES} SELECT way_id, count(*) AS n FROM way_nodes WHERE way_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AND way_id IN (SELECT o_orderkey FROM orders) GROUP BY way_id")
 def remove_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ways = t.ways(spark, sf_dir)
@@ -402,7 +450,16 @@ def geofence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_WAY_NODES} SELECT way_id, 'LINESTRING (' || string_agg(CAST(node_id * 2 AS VARCHAR) || '.5 ' || CAST(node_id AS VARCHAR) || '.25', ', ' ORDER BY pos) || ')' AS wkt FROM way_nodes WHERE way_id % 7 = 0 GROUP BY way_id")
 def wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = t.way_nodes(spark, sf_dir).where("way_id % 7 = 0").select("way_id", "pos", (F.col("node_id") * 2 + 0.5).cast("double").alias("lon"), (F.col("node_id") + 0.25).cast("double").alias("lat"))
+    return _way_wkt(t.way_nodes(spark, sf_dir).where("way_id % 7 = 0"))
+
+
+@query(f"WITH {_WAY_NODES} SELECT way_id, 'LINESTRING (' || string_agg(CAST(node_id * 2 AS VARCHAR) || '.5 ' || CAST(node_id AS VARCHAR) || '.25', ', ' ORDER BY pos) || ')' AS wkt FROM way_nodes GROUP BY way_id")
+def wkt_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _way_wkt(t.way_nodes(spark, sf_dir))
+
+
+def _way_wkt(way_nodes: DataFrame) -> DataFrame:
+    nodes = way_nodes.select("way_id", "pos", (F.col("node_id") * 2 + 0.5).cast("double").alias("lon"), (F.col("node_id") + 0.25).cast("double").alias("lat"))
     points = nodes.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("points"))
     return points.select("way_id", geo.wkt_line(F.col("points")).alias("wkt"))
 
@@ -468,6 +525,6 @@ def grid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def coastline_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = t.way_shapes(spark, sf_dir).where("way_id % 11 = 0 and size(node_ids) > 1").select("ord", F.col("way_id").alias("id"), "points", "node_ids", "tags", F.lit(None).cast(geojson.BOX).alias("bbox"))
+    shapes = t.way_shapes(spark, sf_dir).where("size(node_ids) > 1").select("ord", F.col("way_id").alias("id"), "points", "node_ids", "tags", F.lit(None).cast(geojson.BOX).alias("bbox"))
     first = shapes.agg(F.min("id")).first()[0]
     return coastline.chain_coastline(shapes, first).select("ord", "id", F.size("node_ids").alias("n_nodes"))

@@ -73,9 +73,16 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def area_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """area_id, ring, node_id of the suppliers' items that went out in one month."""
-    return table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1995-03-01 00:00:00' and l_shipdate < timestamp_ntz'1995-04-01 00:00:00'").select(
-        F.col("l_suppkey").alias("area_id"), F.when(F.col("l_linenumber") > 3, 1).otherwise(0).alias("ring"), F.col("l_partkey").alias("node_id")
-    )
+    return _area_nodes_of(table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1995-03-01 00:00:00' and l_shipdate < timestamp_ntz'1995-04-01 00:00:00'"))
+
+
+def all_area_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """area_id, ring, node_id of all items of the suppliers."""
+    return _area_nodes_of(table(spark, sf_dir, "lineitem"))
+
+
+def _area_nodes_of(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_suppkey").alias("area_id"), F.when(F.col("l_linenumber") > 3, 1).otherwise(0).alias("ring"), F.col("l_partkey").alias("node_id"))
 
 
 def rectangle(x0, y0, x1, y1):
