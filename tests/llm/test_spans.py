@@ -95,6 +95,15 @@ def test_short_items_are_found_wherever_they_stand(spark):
     assert {r.doc_id: (r.n_hit, r.n_items) for r in find_contamination(docs, items).collect()} == {1: (2, 2), 2: (1, 1), 3: (3, 2)}
 
 
+def test_words_whose_lower_case_depends_on_their_neighbours(spark):
+    words = "Ε.Σ. ΔΕΗΣ.Α ΟΔΟΣ'Α Σ.Σ:Σ ΑΣ ΣΑΣ.Σ Α'Σ ΤΟΥΣ.Β ΜΕΣ:Γ ΛΑΟΣ.Δ"
+    docs = [(1, f"ΑΡΧΗ {words} ΤΕΛΟΣ"), (2, words.replace(".", " ").replace(":", " - ").replace("'", "")), (3, words.lower()), (4, "Σ.Α Β")]
+    items = [(1, words), (2, "Σ Α")]
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter(contamination(docs, items))
+    assert {r.doc_id: r.contaminated for r in got}[1] and {r.doc_id: r.contaminated for r in got}[4]
+
+
 def shingles(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

@@ -7,8 +7,8 @@ are joined; in the documents that have hits, the windows with these fingerprints
 with the benchmark's windows, and all words that equal windows cover are hit. Items of fewer words are windows of
 their own: for each such length that the benchmark has, a document's windows of that length are fingerprints, too.
 
-Fingerprints are found on fully lower-cased text, which can only add candidates: lower-casing never turns a word
-character into another kind, so equal words stay equal. The comparison itself lower-cases A-Z alone.
+Fingerprints and comparison both lower-case A-Z alone, so equal words have equal hashes. Full lower-casing depends on a
+word's neighbours (a capital sigma's form does, across dots and apostrophes) and would part equal words.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ def words_of(text: Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z in lower case; where a text is ASCII, the faster function does the same."""
+    slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(slow)
 
 
 def _places(n: Column) -> Column:
@@ -70,7 +72,7 @@ def _with_size_check(side: DataFrame) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     """item_id, len, print, words: every distinct window of every item; an item of fewer words is one window."""
     words = benchmark.select(F.col(id_col).alias("item_id"), words_of(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    hashed = words.withColumn("h", F.transform("w", lambda x: F.xxhash64(F.lower(x))))
+    hashed = words.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     whole = with_prints(hashed.where(F.size("w") >= window), window, gram)
     long = whole.select("item_id", "w", F.explode("prints").alias("p")).select(
         "item_id", "p.len", "p.print", F.expr("slice(w, p.at, p.len)").alias("words")
@@ -96,7 +98,7 @@ def find_contamination(
     rows = texts(docs, id_col, text_col)
 
     known = _with_size_check(windows.select("print").distinct())
-    loose = rows.select("doc_id", F.transform(words_of(F.lower("text")), lambda x: F.xxhash64(x)).alias("h"))
+    loose = rows.select("doc_id", F.transform(words_of(ascii_lower(F.col("text"))), lambda x: F.xxhash64(x)).alias("h"))
     hits = (
         with_prints(loose, window, gram, short)
         .select("doc_id", F.explode(F.array_distinct(F.col("prints.print"))).alias("print"))
@@ -104,11 +106,10 @@ def find_contamination(
         .groupBy("doc_id").agg(F.collect_set("print").alias("hit_prints"))
         .withColumnRenamed("doc_id", "hit_doc")
     )
-    exact = F.when(F.col("hit_prints").isNotNull(), words_of(ascii_lower(F.col("text")))).otherwise(words_of(F.lower("text")))
     words = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left").select(
-        "doc_id", F.monotonically_increasing_id().alias("row_id"), "hit_prints", exact.alias("w")
+        "doc_id", F.monotonically_increasing_id().alias("row_id"), "hit_prints", words_of(ascii_lower(F.col("text"))).alias("w")
     )
-    hashed = F.when(F.col("hit_prints").isNotNull(), F.transform("w", lambda x: F.xxhash64(F.lower(x))))
+    hashed = F.when(F.col("hit_prints").isNotNull(), F.transform("w", lambda x: F.xxhash64(x)))
     judged = (
         with_prints(words.withColumn("h", hashed), window, gram, short)
         .select("*", F.filter("prints", lambda s: F.array_contains("hit_prints", s["print"])).alias("near"))
