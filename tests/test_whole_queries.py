@@ -56,3 +56,27 @@ def test_the_chain_is_of_all_lines(spark, few):
     # the first line backwards ends at node 1, where line 11 ends, which is taken backwards to node 7
     got = {i: n for _, i, n in rows(spark, few, "coastline_chain")}
     assert got == {1: 4, **{w: len(nodes) for w, nodes in WAYS.items() if len(nodes) > 1 and w not in (1, 11)}}
+
+
+@pytest.mark.parametrize("size", [3.0, 2.0, 1.5, 1.0])
+def test_grid_pieces_of_areas_with_a_hole(spark, size):
+    """A hole whole inside a cell, at a cell's corner, cut by borders, and a whole cell: against unit squares of a half."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from wakeline.functions import geo
+    from wakeline.operators import spatial
+
+    square = lambda x, y, w, h: [{"lon": x + a, "lat": y + b} for a, b in ((0, 0), (w, 0), (w, h), (0, h), (0, 0))]
+    areas = spark.createDataFrame([(1, [square(-7.0, 3.0, 5.0, 4.0), square(-6.0, 4.0, 1.0, 1.0)])], "area_id long, rings array<array<struct<lon:double,lat:double>>>")
+    pieces = spatial.split_to_grid(areas, size).withColumn("area", geo.polygon_area(F.col("rings"))).collect()
+    want = Counter()
+    for i in range(10):
+        for j in range(8):
+            if not (2 <= i < 4 and 2 <= j < 4):
+                want[int((i + 0.5) / 2 // size), int((j + 0.5) / 2 // size)] += 0.25
+    got = Counter()
+    for p in pieces:
+        got[p.cell_x, p.cell_y] += round(p.area, 9)
+    assert got == want and len(pieces) == len(want)

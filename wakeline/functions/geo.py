@@ -91,6 +91,17 @@ def edges(ring: Column) -> Column:
     )
 
 
+def polygon_area(rings: Column) -> Column:
+    """The outer ring's area without the holes'; lon and lat as plane coordinates, taken from each ring's first point."""
+    def area(ring: Column) -> Column:
+        x, y = (F.try_element_at(ring, F.lit(1))[c] for c in ("lon", "lat"))
+        terms = F.transform(edges(closed(ring)), lambda e: (e["ax"] - x) * (e["by"] - y) - (e["bx"] - x) * (e["ay"] - y))
+        return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)) / 2
+
+    areas = F.transform(rings, area)
+    return F.try_element_at(areas, F.lit(1)) * 2 - F.aggregate(areas, F.lit(0.0), lambda s, v: s + v)
+
+
 def _inside(ring: Column, x: Column, y: Column) -> Column:
     """Strictly inside: a ray to the right crosses an odd number of sides, and no side has the point."""
     sides = edges(closed(ring))
