@@ -104,6 +104,13 @@ def test_words_whose_lower_case_depends_on_their_neighbours(spark):
     assert {r.doc_id: r.contaminated for r in got}[1] and {r.doc_id: r.contaminated for r in got}[4]
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_the_same_id(spark):
+    leak = "one two three four five six seven eight nine ten"
+    docs = [(None, leak), (None, "clean without an id"), (None, None), (7, f"and {leak} more"), (7, "clean with the id of a leak"), (7, ""), (8, leak), (9, "clean")]
+    left = drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert Counter(map(tuple, left.collect())) == Counter(d for d in docs if leak not in (d[1] or ""))
+
+
 def shingles(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

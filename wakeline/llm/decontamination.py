@@ -93,6 +93,11 @@ def find_contamination(
     none. Of rows with the same doc_id, each is judged by its own words. An empty benchmark hits nothing, and an
     empty table of documents gives an empty result.
     """
+    return _found(docs, benchmark, window, gram, id_col, text_col, item_id_col, item_text_col).drop("text_hash")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, id_col: str, text_col: str, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """find_contamination's rows with text_hash, which tells rows with the same doc_id apart."""
     windows = benchmark_windows(benchmark.where(F.col(item_id_col).isNotNull()), window, gram, item_id_col, item_text_col).persist()
     short = sorted(r["len"] for r in windows.where(F.col("len") < window).select("len").distinct().collect())
     rows = texts(docs, id_col, text_col)
@@ -107,29 +112,29 @@ def find_contamination(
         .withColumnRenamed("doc_id", "hit_doc")
     )
     words = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left").select(
-        "doc_id", F.monotonically_increasing_id().alias("row_id"), "hit_prints", words_of(ascii_lower(F.col("text"))).alias("w")
+        "doc_id", F.monotonically_increasing_id().alias("row_id"), F.xxhash64("text").alias("text_hash"), "hit_prints", words_of(ascii_lower(F.col("text"))).alias("w")
     )
     hashed = F.when(F.col("hit_prints").isNotNull(), F.transform("w", lambda x: F.xxhash64(x)))
     judged = (
         with_prints(words.withColumn("h", hashed), window, gram, short)
         .select("*", F.filter("prints", lambda s: F.array_contains("hit_prints", s["print"])).alias("near"))
         .select(
-            "doc_id", "row_id", F.size("w").cast("long").alias("n_words"),
+            "doc_id", "row_id", "text_hash", F.size("w").cast("long").alias("n_words"),
             F.transform("near", lambda s: F.struct(s["print"].alias("print"), s["at"].alias("at"), s["len"].alias("len"), F.slice("w", s["at"], s["len"]).alias("words"))).alias("found"),
         )
     )
     items = _with_size_check(windows.select("item_id", F.col("print").alias("i_print"), F.col("words").alias("i_words")))
     same = (F.col("f.print") == F.col("i_print")) & (F.col("f.words") == F.col("i_words"))
     return (
-        judged.select("doc_id", "row_id", "n_words", F.explode_outer("found").alias("f"))
+        judged.select("doc_id", "row_id", "text_hash", "n_words", F.explode_outer("found").alias("f"))
         .join(items, same, "left")
-        .groupBy("doc_id", "row_id", "n_words")
+        .groupBy("doc_id", "row_id", "text_hash", "n_words")
         .agg(
             F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("f.at", "f.len"))).alias("spans"),
             F.collect_set(F.col("item_id").cast("string")).alias("items"),
         )
         .select(
-            "doc_id", "n_words",
+            "doc_id", "text_hash", "n_words",
             F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))).cast("long").alias("n_hit"),
             F.size("items").cast("long").alias("n_items"),
             F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
@@ -139,6 +144,7 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated documents, all columns kept."""
-    bad = find_contamination(docs, benchmark, window, gram, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the contaminated documents, all columns kept; of rows with one doc_id only those go whose text is."""
+    bad = _found(docs, benchmark, window, gram, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct()
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")) & (own == F.col("__hash")), "left_anti")
