@@ -58,6 +58,47 @@ def test_the_chain_is_of_all_lines(spark, few):
     assert got == {1: 4, **{w: len(nodes) for w, nodes in WAYS.items() if len(nodes) > 1 and w not in (1, 11)}}
 
 
+def test_covariances_of_all_rounds(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    events = [(k, u, datetime(2024, 1, 1, k // 60, k % 60), "view") for u in (1, 2) for k in range(100 * u, 100 * u + int(rng.integers(50, 70)))]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+
+    def plain(y, rounds):
+        """Expectation-maximisation in its textbook form: filter, smoother and lag-one covariances, inverses as such."""
+        n, eye = len(y), np.eye(2)
+        q, r, x0, p0 = eye * 0.1, eye * 0.1, y[0], np.zeros((2, 2))
+        for _ in range(rounds):
+            xf, pf, xp, pp = [], [], [], []
+            for k in range(n):
+                xp.append(x0 if k == 0 else xf[-1])
+                pp.append(p0 if k == 0 else pf[-1] + q)
+                gain = pp[-1] @ np.linalg.inv(pp[-1] + r)
+                xf.append(xp[-1] + gain @ (y[k] - xp[-1]))
+                pf.append((eye - gain) @ pp[-1])
+            xs, ps, both = [xf[-1]], [pf[-1]], []
+            for k in range(n - 2, -1, -1):
+                j = pf[k] @ np.linalg.inv(pp[k + 1])
+                both.insert(0, ps[0] @ j.T)
+                xs.insert(0, xf[k] + j @ (xs[0] - xp[k + 1]))
+                ps.insert(0, pf[k] + j @ (ps[0] - pp[k + 1]) @ j.T)
+            d = [xs[k] - xs[k - 1] for k in range(1, n)]
+            q = sum(np.outer(e, e) + ps[k + 1] + ps[k] - both[k] - both[k].T for k, e in enumerate(d)) / (n - 1)
+            r = sum(np.outer(a - x, a - x) + p for a, x, p in zip(y, xs, ps, strict=True)) / n
+            x0, p0 = xs[0], ps[0]
+        return q, r
+
+    got = {(x.track_id, x.direction): x for x in catalog.QUERIES["kalman_em"](spark, str(tmp_path)).collect()}
+    for u in (1, 2):
+        ids = [e[0] for e in events if e[1] == u]
+        for direction, sample in (("forward", ids[::10]), ("reverse", ids[::-1][::10])):
+            y = np.array([((i * 7919) % 360000 / 1000 - 180, (i * 104729) % 180000 / 1000 - 90) for i in sample])
+            row, (q, r), (q20, _) = got[u, direction], plain(y, 100), plain(y, 20)
+            assert row.n == len(y) and np.allclose(row.q, q, rtol=1e-6, atol=1e-6) and np.allclose(row.r, r, rtol=1e-6, atol=1e-6)
+            assert not np.allclose(q, q20, rtol=1e-6, atol=1e-6)
+
+
 @pytest.mark.parametrize("size", [3.0, 2.0, 1.5, 1.0])
 def test_grid_pieces_of_areas_with_a_hole(spark, size):
     """A hole whole inside a cell, at a cell's corner, cut by borders, and a whole cell: against unit squares of a half."""

@@ -181,7 +181,8 @@ def position_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kalman_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kalman.kalman_em(_numbered(spark, sf_dir), step=10, rounds=20)
+    """All 100 rounds; every 10th row, as a track has some 67 events and every 100th would leave samples of one."""
+    return kalman.kalman_em(_numbered(spark, sf_dir), step=10, rounds=100)
 
 
 # ways, nodes and areas
