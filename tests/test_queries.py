@@ -43,3 +43,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_rest_works_where_a_module_of_the_llm_queries_is_absent(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "wakeline.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.ORACLE_SQL)

@@ -11,12 +11,14 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a local one that is set once."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Where it is unset, a folder of this machine, set once, if all of Spark runs here;
+    on a cluster that is an error, as other machines would not see the files."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wakeline-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wakeline-"))
     return spark.sparkContext.getCheckpointDir()
 
 
