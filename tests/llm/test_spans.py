@@ -6,11 +6,12 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from wakeline.llm import jaccard_join
 from wakeline.llm.decontamination import drop_contaminated, find_contamination
 from wakeline.llm.jaccard_join import jaccard_classes, keep_one_of_each, least_matches
-from wakeline.llm.substring_dedup import remove_repeats
+from wakeline.llm.substring_dedup import remove_repeats, run_lengths
 
 
 def words(t):
@@ -48,6 +49,21 @@ def test_repeats_of_awkward_rows(awkward, nothing):
     assert remove_repeats(nothing).count() == 0
 
 
+def test_only_repeated_words_go_from_very_many_rows_without_an_id(spark):
+    n = 200_000
+    passage = " ".join(f"p{i}" for i in range(36))
+    docs = spark.range(n, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(passage), F.lit(" own"), F.col("id").cast("string"), F.lit(" end")).alias("text"))
+    got = remove_repeats(docs).groupBy("n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in got] == [(38, 36, n)]
+
+
+def test_levels_double_within_the_window():
+    for window in range(1, 200):
+        lengths = run_lengths(window)
+        assert lengths[0] <= max(1, window // 8 + 1) and all(b == 2 * a for a, b in zip(lengths, lengths[1:])) and lengths[-1] <= window
+    assert run_lengths(35) == [5, 10, 20]
+
+
 def item_words(t):
     t = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)

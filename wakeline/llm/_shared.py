@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.storage import settle as keep
 
-__all__ = ["SPACE", "keep", "table", "texts"]
+__all__ = ["ROW", "SPACE", "keep", "near_keys", "same_row", "table", "texts", "with_row_key"]
 
 #: The white space that separates words, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,3 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text only, so that further columns of docs cannot clash; a null text counts as empty."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+#: What tells rows apart: the id, which may be null or repeated, and two hashes of the text. Rows alike in these have one
+#: id and one text, and so the same results.
+ROW = ["doc_id", "text_a", "text_b"]
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """128 bits of a text, null as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def with_row_key(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) with text_a and text_b."""
+    a, b = text_hashes(F.col("text"))
+    return rows.withColumns({"text_a": a, "text_b": b})
+
+
+def same_row(prefix: str) -> Column:
+    """The condition that a row's key is that of columns with a prefix; a null id equals a null id."""
+    return F.col("doc_id").eqNullSafe(F.col(f"{prefix}doc_id")) & (F.col("text_a") == F.col(f"{prefix}text_a")) & (F.col("text_b") == F.col(f"{prefix}text_b"))
+
+
+def near_keys(rows: DataFrame, key: Column, wanted: DataFrame, bits: int = 20) -> DataFrame:
+    """The rows whose hash ``key`` ends in the same bits as a value of ``wanted``'s only column: all that have a partner
+    there and a few others. It leaves most rows where they are before an exact join that is shuffled. What is broadcast
+    is at most 2 ** bits numbers, whatever the data."""
+    mask = F.lit((1 << bits) - 1)
+    ends = wanted.select(F.col(wanted.columns[0]).bitwiseAND(mask).alias("__near")).distinct()
+    return rows.withColumn("__near", key.bitwiseAND(mask)).join(F.broadcast(ends), "__near", "left_semi").drop("__near")

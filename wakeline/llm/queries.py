@@ -61,6 +61,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op9_quality_classifier, op10_jaccard_join)}
 
 ORACLE_SQL = {
+    "op4_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), win AS (
+            SELECT doc_id, unnest(h) AS h, unnest(generate_series(1, len(h))) AS i
+            FROM (SELECT doc_id, list_transform(generate_series(1, len(w) - 34), lambda i: md5(array_to_string(w[i : i + 34], ' '))) AS h FROM d WHERE len(w) >= 35)
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS p FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)
+        ), word AS (
+            SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256

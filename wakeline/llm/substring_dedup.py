@@ -1,15 +1,18 @@
 """Removal of passages that occur more than once, by level-wise doubling.
 
-A passage is found from short runs of words to long ones, and only what is repeated at one level goes on to the next.
-
-1. Runs of half a window's words. Of the runs within a window only that of the smallest hash counts, so one run
-   stands for all consecutive windows that choose it; equal windows choose equal runs, so nothing is lost.
-2. Twice that length: the stretch of words that the windows of a repeated run cover together, at most three halves of
-   a window. If two runs' stretches are equal, so are all their windows.
-3. Where a run's stretches differ, the windows themselves, one copy of each stretch for all that are equal.
-
-Each level counts with a hash of 64 bits within the groups of the level before, so a window is told apart by 128 bits
-and more. Spark adds up counts before it sends them, and joins them back to the rows, so no group is ever gathered.
+Every window of ``window`` words stands behind a short run of its words, first of an eighth of its length: the one with
+the smallest hash in it, so equal windows stand behind equal runs, and consecutive windows mostly behind the same one.
+
+1. Runs that occur once end there: no window behind them is repeated.
+2. Repeated runs are extended to twice their length, to the right, or to the left where that would leave the window,
+   and counted again; and so on, until none is repeated or twice the length would no longer fit.
+3. The last doubling goes beyond the window: the stretch of words that all windows behind one run cover together. If
+   two stretches are equal, all windows in them are repeated.
+4. Where a run's stretches differ, the windows themselves are counted, one copy of each stretch for all equal ones.
+
+Each level counts with 64-bit hashes within the groups of the level before, so a window is told apart by 128 bits and
+more. Spark adds up counts before it sends them, and joins them back to the rows, so no group is ever gathered; both
+sides of these joins are shuffled, so that Spark can split a very frequent run.
 """
 
 from __future__ import annotations
@@ -23,13 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm._bytes import Rolling, each, pieces, words
-from wakeline.llm._shared import keep, texts
+from wakeline.llm._shared import ROW, keep, same_row, texts, with_row_key
 
-_BYTES, _RUNS, _STRETCHES, _FINE, _FINE2 = (Rolling(k) for k in range(1, 6))
+_BYTES, _STRETCHES, _FINE, _FINE2, *_LEVELS = (Rolling(k) for k in range(1, 40))
 _PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
 
 
+def run_lengths(window: int) -> list[int]:
+    """The lengths of the levels' runs: each twice the one before, as long as a run can be extended within its window,
+    wherever in it it stands."""
+    out = [window // 8 + 1]
+    while 3 * out[-1] <= window + 1:
+        out.append(2 * out[-1])
+    return out
+
+
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, at = words(data, offsets)
     return _BYTES.runs(_BYTES.prefix(_BYTES.values[data]), starts, ends), at
@@ -44,26 +56,29 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(run, stretch, text, first, n): the chosen runs, and the n windows from word ``first`` on that choose each."""
-    half = (window + 1) // 2
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(runs of each level, stretch, text, first, n): the n windows from word ``first`` on stand behind the same runs."""
+    lengths = run_lengths(window)
     hashes, at = _word_hashes(data, offsets)
     if len(hashes) < window:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    prefix = _RUNS.prefix(hashes)
-    i = np.arange(len(hashes) - half + 1)
-    runs = _RUNS.runs(prefix, i, i + half)
-    least = _sliding_least((runs >> _PLACE_BITS << _PLACE_BITS) | (i.astype(np.uint64) & _PLACE), window - half + 1)
+        none = np.zeros(0, np.int64)
+        return [none] * len(lengths), none, none, none, none
+    i = np.arange(len(hashes) - lengths[0] + 1)
+    runs = _LEVELS[0].runs(_LEVELS[0].prefix(hashes), i, i + lengths[0])
+    least = _sliding_least((runs >> _PLACE_BITS << _PLACE_BITS) | (i.astype(np.uint64) & _PLACE), window - lengths[0] + 1)
     i = np.arange(len(least))
-    chosen = i + ((least & _PLACE).astype(np.int64) - i) % (1 << 28)
+    starts = [i + ((least & _PLACE).astype(np.int64) - i) % (1 << 28)]
+    for n in lengths[1:]:
+        starts.append(np.where(starts[-1] + n <= i + window, starts[-1], starts[-1] - n // 2))
     valid = i + window <= np.repeat(at[1:], np.diff(at))[: len(i)]
     begins = valid.copy()
-    begins[1:] &= ~valid[:-1] | (chosen[1:] != chosen[:-1])
+    begins[1:] &= ~valid[:-1] | np.any([s[1:] != s[:-1] for s in starts], axis=0)
     first = np.flatnonzero(begins)
     n = np.diff(np.append(np.cumsum(valid)[first] - 1, valid.sum()))
-    stretch = _STRETCHES.runs(_STRETCHES.prefix(hashes), first, first + n - 1 + window)
+    levels = [r.runs(r.prefix(hashes), s[first], s[first] + k).view(np.int64) for r, s, k in zip(_LEVELS, starts, lengths)]  # noqa: B905
+    stretch = _STRETCHES.runs(_STRETCHES.prefix(hashes), first, first + n - 1 + window).view(np.int64)
     text = np.searchsorted(at, first, "right") - 1
-    return runs[chosen[first]].view(np.int64), stretch.view(np.int64), text, first - at[text], n
+    return levels, stretch, text, first - at[text], n
 
 
 def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -74,55 +89,52 @@ def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int, first: np.
 
 
 def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, text_hash, spots: for each text with repeated windows the structs (first, n) that list them."""
+    """ROW, spots: for each text with repeated windows the structs (first, n) that list them."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    key = ["doc_id", "text_hash"]
+    row_type = f"doc_id {id_type}, text_a long, text_b long"
+    levels = [f"run{k}" for k in range(len(run_lengths(window)))]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, _, data, offsets in pieces(b.column(2)):
-                run, stretch, text, first, n = anchors(data, offsets, window)
+            for i, _, data, offsets in pieces(b.column(3)):
+                runs, stretch, text, first, n = anchors(data, offsets, window)
                 own = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(run), pa.array(stretch), b.column(0).take(own), b.column(1).take(own), pa.array(first, pa.int32()), pa.array(n, pa.int32())],
-                    ["run", "stretch", "doc_id", "text_hash", "first", "n"],
+                    [*map(pa.array, runs), pa.array(stretch), *(b.column(c).take(own) for c in range(3)), pa.array(first, pa.int32()), pa.array(n, pa.int32())],
+                    [*levels, "stretch", *ROW, "first", "n"],
                 )
 
-    runs = rows.select("doc_id", "text_hash", "text").mapInArrow(found, f"run long, stretch long, doc_id {id_type}, text_hash int, first int, n int")
-    # written down, so that the join is one of two shuffles, of which Spark can split a very frequent run's
-    again = keep(runs.groupBy("run").agg(F.count("*").alias("times")).where("times > 1").select("run"), "again")
-    live = keep(runs.hint("merge").join(again, "run"), "runs")
-    stretches = live.groupBy("run", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("one"))
-    stretches = keep(stretches, "stretches")
-    settled = live.join(stretches.where("times > 1").select("run", "stretch"), ["run", "stretch"]).select(*key, "first", "n")
-    mixed = stretches.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1").select("run")
-    opened = (
-        stretches.join(mixed, "run").groupBy("one.doc_id", "one.text_hash")
-        .agg(F.collect_list(F.struct("one.first", "one.n", "times")).alias("spots"))
-        .select(F.col("doc_id").alias("o_doc"), F.col("text_hash").alias("o_hash"), "spots")
-    )
+    live = rows.select(*ROW, "text").mapInArrow(found, f"{', '.join(f'{c} long' for c in levels)}, stretch long, {row_type}, first int, n int")
+    for k, run in enumerate(levels):
+        on = levels[max(k - 1, 0) : k + 1]
+        again = keep(live.groupBy(*on).agg(F.count("*").alias("times")).where("times > 1").select(*on), "again")
+        live = keep(live.hint("merge").join(again, on).drop(*levels[:k]), f"level{k}")
+        if not again.limit(1).count():  # no candidate survives
+            break
+    stretches = keep(live.groupBy(run, "stretch").agg(F.count("*").alias("times"), F.min(F.struct(*ROW, "first", "n")).alias("one")), "stretches")
+    settled = live.join(stretches.where("times > 1").select(run, "stretch"), [run, "stretch"]).select(*ROW, "first", "n")
+    mixed = stretches.groupBy(run).agg(F.count("*").alias("kinds")).where("kinds > 1").select(run)
+    opened = stretches.join(keep(mixed, "mixed"), run).groupBy(*(F.col(f"one.{c}").alias(f"o_{c}") for c in ROW)).agg(F.collect_list(F.struct("one.first", "one.n", "times")).alias("spots"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spots = b.column(3)
-            for i, data, offsets in each(b.column(2)):
+            spots = b.column(4)
+            for i, data, offsets in each(b.column(3)):
                 own = spots[i].values
                 first, n, times = (np.asarray(own.field(k)) for k in ("first", "n", "times"))
                 a, c, at = window_hashes(data, offsets, window, first.astype(np.int64), n.astype(np.int64))
+                row = pa.array(np.full(len(a), i))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(c), b.column(0).take(pa.array(np.full(len(a), i))), b.column(1).take(pa.array(np.full(len(a), i))), pa.array(at, pa.int32()), pa.array(np.repeat(times, n), pa.int64())],
-                    ["a", "b", "doc_id", "text_hash", "first", "times"],
+                    [pa.array(a), pa.array(c), *(b.column(k).take(row) for k in range(3)), pa.array(at, pa.int32()), pa.array(np.repeat(times, n), pa.int64())],
+                    ["a", "b", *ROW, "first", "times"],
                 )
 
-    same = F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("text_hash") == F.col("o_hash"))
     fine = keep(
-        rows.join(opened, same).select("doc_id", "text_hash", "text", "spots")
-        .mapInArrow(hashed, f"a long, b long, doc_id {id_type}, text_hash int, first int, times long"),
-        "windows",
+        rows.join(opened, same_row("o_")).select(*ROW, "text", "spots").mapInArrow(hashed, f"a long, b long, {row_type}, first int, times long"), "windows"
     )
-    twice = fine.groupBy("a", "b").agg(F.sum("times").alias("total")).where("total > 1").select("a", "b")
-    single = fine.where("times = 1").join(twice, ["a", "b"], "left_semi").select(*key, "first", F.lit(1).alias("n"))
-    return settled.unionByName(single).groupBy(*key).agg(F.collect_set(F.struct("first", "n")).alias("spots"))
+    twice = keep(fine.groupBy("a", "b").agg(F.sum("times").alias("total")).where("total > 1").select("a", "b"), "twice")
+    single = fine.where("times = 1").hint("merge").join(twice, ["a", "b"]).select(*ROW, "first", F.lit(1).alias("n"))
+    return settled.unionByName(single).groupBy(*(F.col(c).alias(f"s_{c}") for c in ROW)).agg(F.collect_set(F.struct("first", "n")).alias("spots"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,12 +142,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     A word goes if one of the windows of ``window`` consecutive words that cover it also starts elsewhere, in this
     text or another; windows are those of the input. A null text has no words; a text of fewer words than a window
-    keeps all. Rows repeated with one doc_id and text are two places for every window. An empty table gives an
-    empty result. kept_text joins the kept words by one space.
+    keeps all. Rows repeated with one doc_id and text are two places for every window; rows without a doc_id, or with
+    one doc_id and other texts, are told apart by their texts. An empty table gives an empty result. kept_text joins
+    the kept words by one space.
     """
-    rows = texts(docs, id_col, text_col).withColumn("text_hash", F.hash("text"))
+    rows = with_row_key(texts(docs, id_col, text_col))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    spots = repeated_windows(rows, window).select(F.col("doc_id").alias("s_doc"), F.col("text_hash").alias("s_hash"), "spots")
+    spots = repeated_windows(rows, window)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +171,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    same = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("text_hash") == F.col("s_hash"))
-    return rows.join(spots, same, "left").select("doc_id", "text", "spots").mapInArrow(
+    return rows.join(spots, same_row("s_"), "left").select("doc_id", "text", "spots").mapInArrow(
         kept, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
