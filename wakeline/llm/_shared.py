@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.storage import settle as keep
 
-__all__ = ["ROW", "SPACE", "keep", "near_keys", "same_row", "table", "texts", "with_row_key"]
+__all__ = ["ROW", "SPACE", "keep", "near_keys", "same_row", "table", "text_hashes", "texts", "with_row_key"]
 
 #: The white space that separates words, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"

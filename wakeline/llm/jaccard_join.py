@@ -1,12 +1,13 @@
 """Near duplicates: the join of all texts whose sets of word n-grams have a Jaccard similarity of a threshold or more.
 
 Texts of the same words are one node with a number of copies. Nodes that agree in a band of MinHash values are
-candidates; with 24 bands of 5 values, a pair at 0.8 is missed with a chance below 1 in 10,000, and less as all pairs
-of a component of candidates are looked at. Within it, pairs of blocks of nodes are compared:
-MinHash values some at a time, and after each time the pairs are dropped for which the posterior probability of
-reaching the threshold (uniform prior, binomial agreement) is below ``tolerance``; for the rest the similarity is
-counted exactly. A task gets two blocks at most and returns, for each node with links, their number and the least
-node it hangs together with, so the links of a large group are never rows.
+candidates; with 24 bands of 5 values, a pair at 0.8 is missed with a chance below 1 in 10,000. The nodes of one band's
+value are a bucket; buckets of the same nodes are one. Pairs are compared within buckets, never beyond: those of a
+bucket of many nodes by pairs of blocks, spread over the cluster. A pair that shares several buckets counts in the
+first band that it agrees in. MinHash values are compared some at a time, and after each time the pairs are dropped for
+which the posterior probability of reaching the threshold (uniform prior, binomial agreement) is below ``tolerance``;
+for the rest the similarity is counted exactly. A task gets two blocks at most and returns, for each node with links,
+their number and the least node it hangs together with, so the links of a large group are never rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from wakeline.llm._bytes import Rolling, mix, pieces, words
 from wakeline.llm._components import components
-from wakeline.llm._shared import keep, texts
+from wakeline.llm._shared import ROW, keep, near_keys, same_row, text_hashes, texts, with_row_key
 
 _BYTES, _GRAMS, _TEXT, _TEXT2 = (Rolling(k) for k in range(11, 15))
 BANDS, ROWS = 24, 5
@@ -54,6 +55,17 @@ def _minhash(grams: np.ndarray, starts: np.ndarray, values: int) -> np.ndarray:
     return out
 
 
+def band_keys(sign: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A 64-bit key of each of the first bands of MinHash values, for each text."""
+    keys = np.empty((len(sign), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(sign), band + 1, np.uint64)
+        for k in range(ROWS):
+            key = mix(key * np.uint64(31) + sign[:, band * ROWS + k])
+        keys[:, band] = key
+    return keys
+
+
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     """For each number of values compared, the least number of matches at which the posterior probability that the
     similarity reaches the threshold is at least the tolerance. With a uniform prior, m of n matches give
@@ -68,9 +80,9 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, least: dict[int, int], band: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of sets (distinct sorted hashes) of numbers left x right, or all pairs of left if right is left, whose
-    similarity reaches the threshold."""
+    similarity reaches the threshold and that agree in no band before ``band``."""
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     grams = np.concatenate(sets)
@@ -79,6 +91,10 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
     alive = np.minimum.outer(sizes[left], sizes[right]) >= threshold * np.maximum.outer(sizes[left], sizes[right]) - 1e-9
     if same:
         alive &= np.triu(np.ones(alive.shape, bool), 1)
+    if band:
+        keys = band_keys(sign[:, : band * ROWS].astype(np.uint64), band)
+        for k in range(band):
+            alive &= keys[left, k][:, None] != keys[right, k]
     i, j = np.nonzero(alive)
     matches = np.zeros(len(i), np.int32)
     for n in range(STEP, VALUES + 1, STEP):
@@ -121,10 +137,10 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return low
 
 
-def _verified(groups: Iterator[tuple[list[int], list[int], list[int], list[np.ndarray]]], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+def _verified(groups: Iterator[tuple[int, tuple[list[int], list[int], list[int], list[np.ndarray]]]], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
     least = least_matches(threshold, tolerance)
     nodes_out, links_out, root_out = [], [], []
-    for nodes, copies, side, sets in groups:
+    for band, (nodes, copies, side, sets) in groups:
         order = np.argsort(nodes, kind="stable")
         order = order[np.concatenate([[True], np.diff(np.array(nodes)[order]) > 0])] if len(order) else order
         nodes, copies, side = (np.array(x)[order] for x in (nodes, copies, side))
@@ -133,7 +149,7 @@ def _verified(groups: Iterator[tuple[list[int], list[int], list[int], list[np.nd
         right = left if not (side == 2).any() and not (side == 1).any() else np.flatnonzero(side == 2)
         if len(nodes) < 2 or not len(right):
             continue
-        a, b = linked_pairs(sets, left, right, threshold, least)
+        a, b = linked_pairs(sets, left, right, threshold, least, band)
         if not len(a):
             continue
         links = np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes))
@@ -158,75 +174,72 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, gram: int = 5, tole
     each is a class of its own. Rows repeated with one doc_id are copies of each other, or nodes of their own if their
     texts differ. An empty table gives an empty result.
     """
-    return _classes(docs, threshold, gram, tolerance, id_col, text_col).drop("text_hash")
+    return _classes(docs, threshold, gram, tolerance, id_col, text_col).drop("text_a", "text_b")
 
 
 def _classes(
     docs: DataFrame, threshold: float = 0.8, gram: int = 5, tolerance: float = 1e-5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of jaccard_classes, with the hash of their texts."""
-    rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    """The rows of jaccard_classes, with the hashes of their texts."""
+    rows = with_row_key(texts(docs, id_col, text_col))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offsets in pieces(b.column(2)):
+            for i, j, data, offsets in pieces(b.column(3)):
                 grams, at, one, two, count = _grams(data, offsets, gram)
                 keys = np.zeros((j - i, BANDS), np.uint64)
                 full = np.flatnonzero(count)
                 if len(full):
-                    sign = _minhash(grams, at[:-1][full], BANDS * ROWS).astype(np.uint64)
-                    for band in range(BANDS):
-                        key = np.full(len(full), band + 1, np.uint64)
-                        for k in range(ROWS):
-                            key = mix(key * np.uint64(31) + sign[:, band * ROWS + k])
-                        keys[full, band] = key
+                    keys[full] = band_keys(_minhash(grams, at[:-1][full], BANDS * ROWS).astype(np.uint64))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(one), pa.array(two), pa.array(count, pa.int64()), bands],
-                    ["doc_id", "text_hash", "one", "two", "n_words", "bands"],
+                    [*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(one), pa.array(two), pa.array(count, pa.int64()), bands],
+                    [*ROW, "one", "two", "n_words", "bands"],
                 )
 
     signatures = keep(
-        rows.select("doc_id", "text_hash", "text")
-        .mapInArrow(signed, f"doc_id {id_type}, text_hash long, one long, two long, n_words long, bands array<long>")
+        rows.select(*ROW, "text")
+        .mapInArrow(signed, f"doc_id {id_type}, text_a long, text_b long, one long, two long, n_words long, bands array<long>")
         .withColumn("row_id", F.monotonically_increasing_id()),
         "signatures",
     )
     of_rows = signatures.where("n_words > 0")
     nodes = keep(
         of_rows.groupBy("one", "two", "n_words")
-        .agg(F.min("row_id").alias("node"), F.count("*").alias("copies"), F.min(F.struct("row_id", "doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands")),
+        .agg(F.min("row_id").alias("node"), F.count("*").alias("copies"), F.min(F.struct("row_id", *ROW)).alias("row"), F.first("bands").alias("bands")),
         "nodes",
     )
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    # written down, so that the join is one of two shuffles, of which Spark can split a very frequent band's
-    leads = keep(banded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead"), "leads")
-    candidates = components(banded.join(leads, "band").select(F.col("node").alias("u"), F.col("lead").alias("v")))
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    # of buckets with the same nodes the first is enough; written down, so that the join to it is one of two shuffles, of
+    # which Spark can split a very frequent value's
+    buckets = banded.groupBy("value").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("b")).where("n > 1")
+    buckets = keep(buckets.groupBy("n", "a", "b").agg(F.min(F.struct("band", "value")).alias("first")).select("first.value", "n"), "buckets")
     members = keep(
-        candidates.join(sizes, "component").join(nodes.select("node", "copies", "row.doc_id", "row.text_hash"), "node")
-        .select("node", "component", "blocks", "copies", F.col("doc_id").alias("m_doc"), F.col("text_hash").alias("m_hash")),
+        banded.hint("merge").join(buckets, "value").groupBy("node").agg(F.collect_list(F.struct("band", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))).alias("buckets"))
+        .join(nodes.select("node", "copies", *(F.col(f"row.{c}").alias(f"m_{c}") for c in ROW)), "node"),
         "members",
     )
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = []
-            for i, j, data, offsets in pieces(b.column(4)):
+            for i, j, data, offsets in pieces(b.column(3)):
                 grams, at, *_ = _grams(data, offsets, gram)
                 sets += [np.unique(grams[s:e]).tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(sets, pa.binary())], ["node", "component", "blocks", "copies", "grams"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(sets, pa.binary())], ["node", "copies", "buckets", "grams"])
 
-    here = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    here = F.pmod(F.xxhash64("node"), F.col("b.blocks")).cast("int")
+    found = near_keys(rows, F.col("text_a"), members.select("m_text_a")).hint("merge").join(members, same_row("m_"))
+    bucket_type = "array<struct<band:int,value:bigint,blocks:int>>"
     dealt = (
-        rows.hint("merge").join(members, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_hash") == F.col("m_hash")))
-        .select("node", "component", "blocks", "copies", "text")
-        .mapInArrow(as_sets, "node long, component long, blocks int, copies long, grams binary")
+        found.dropDuplicates(["node"]).select("node", "copies", "buckets", "text")
+        .mapInArrow(as_sets, f"node long, copies long, buckets {bucket_type}, grams binary")
+        .select("node", "copies", "grams", F.explode("buckets").alias("b"))
         .withColumn("here", here)
-        .withColumn("there", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("there", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)))
         .select(
-            "component", F.least("here", "there").alias("i"), F.greatest("here", "there").alias("j"), "node", "copies",
+            "b.band", "b.value", F.least("here", "there").alias("i"), F.greatest("here", "there").alias("j"), "node", "copies",
             F.when(F.col("here") == F.col("there"), 0).when(F.col("here") < F.col("there"), 1).otherwise(2).alias("side"), "grams",
         )
     )
@@ -235,21 +248,21 @@ def _classes(
         def groups():
             now, held = None, ([], [], [], [])
             for b in batches:
-                keys = zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
-                for key, node, copies, side, grams in zip(keys, b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6), strict=True):
+                keys = zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+                for key, node, copies, side, grams in zip(keys, b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), b.column(7), strict=True):
                     if key != now:
                         if now is not None:
-                            yield held
+                            yield now[0], held
                         now, held = key, ([], [], [], [])
                     for x, y in zip(held, (node, copies, side, np.frombuffer(grams.as_buffer(), np.uint64).copy()), strict=True):
                         x.append(y)
             if now is not None:
-                yield held
+                yield now[0], held
 
         yield from _verified(groups(), threshold, tolerance)
 
     verified = keep(
-        dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+        dealt.repartition("value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
         .mapInArrow(compared, "node long, links long, root long"),
         "links",
     )
@@ -261,23 +274,23 @@ def _classes(
         .select("one", "two", "n_words", F.coalesce("component", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     placed = keep(
-        of_rows.join(of_node, ["one", "two", "n_words"]).select("doc_id", "text_hash", "row_id", "class", "n_links")
-        .unionByName(signatures.where("n_words = 0").select("doc_id", "text_hash", "row_id", F.col("row_id").alias("class"), F.lit(0).cast("long").alias("n_links"))),
+        of_rows.join(of_node, ["one", "two", "n_words"]).select(*ROW, "row_id", "class", "n_links")
+        .unionByName(signatures.where("n_words = 0").select(*ROW, "row_id", F.col("row_id").alias("class"), F.lit(0).cast("long").alias("n_links"))),
         "placed",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
     named = keep(placed.groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size")), "classes")
     return placed.join(named, "class").select(
-        "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_links", "class_size", (F.col("first.row_id") == F.col("row_id")).alias("kept")
+        *ROW, F.col("first.doc_id").alias("class_id"), "n_links", "class_size", (F.col("first.row_id") == F.col("row_id")).alias("kept")
     )
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, gram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept row of each class alone, all columns kept; repeated rows are one row afterwards."""
-    rows = keep(_classes(docs, threshold, gram, 1e-5, id_col, text_col).select("doc_id", "text_hash", "kept"), "classes")
-    stays = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    left = docs.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left_semi")
-    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        left = left.groupBy(F.col(id_col).alias("__id"), own.alias("__hash")).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    rows = keep(_classes(docs, threshold, gram, 1e-5, id_col, text_col).select(*ROW, "kept"), "classes")
+    stays = rows.where("kept").select(*(F.col(c).alias(f"__{c}") for c in ROW)).distinct()
+    a, b = text_hashes(F.col(text_col))
+    left = docs.join(stays, F.col(id_col).eqNullSafe(F.col("__doc_id")) & (a == F.col("__text_a")) & (b == F.col("__text_b")), "left_semi")
+    if rows.groupBy(*ROW).count().where("count > 1").limit(1).count():
+        left = left.groupBy(F.col(id_col).alias("__id"), a.alias("__a"), b.alias("__b")).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return left
