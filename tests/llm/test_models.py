@@ -26,34 +26,34 @@ def count(library, text):
     return len(library.encode(text or "", add_special_tokens=False).ids)
 
 
-def test_counts_of_random_strings_and_of_their_chunks(library):
+def test_counts_of_random_strings_in_chunks_of_any_size(library):
     rng, mine = random.Random(1), Tokenizer(PATH)
     parts = ["a", "s", "'", "re", "ve", "ll", "t", " ", "  ", "\n", "\t", "12", "é", "ñ", "中", "!", "<|endoftext|>", "\xa0", "　", "\x1c", "ß", "́", "😀", "²", "Ⅷ", "​", "\x85", "the", "ing", "----", "\r\n"]
-    for _ in range(3000):
-        text = "".join(rng.choices(parts, k=rng.randrange(25)))
-        want = count(library, text)
-        assert mine.count(text) == want
-        plain = text.replace("<|endoftext|>", "")
-        if plain:
-            size, whole = rng.randrange(1, 7), None
-            for i in range(0, len(plain), size):
-                part = mine.chunk_map(plain[i : i + size])
-                whole = part if whole is None else mine.compose(whole, part)
-            assert mine.total(whole) == count(library, plain)
-
-
-def test_maps_compose_in_any_grouping():
-    mine, rng = Tokenizer(PATH), random.Random(4)
-    for _ in range(300):
-        a, b, c = (mine.chunk_map("".join(rng.choices(["'", "r", "e", " ", "\n", "1", "x"], k=rng.randrange(1, 5)))) for _ in range(3))
-        assert mine.compose(mine.compose(a, b), c) == mine.compose(a, mine.compose(b, c))
+    every = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)] + ["", "'", "'r", "x'v", "  ", " \n "]
+    want = [count(library, t) for t in every]
+    for chunk in (1, 2, 3, 7, 128):
+        assert mine.counts(every, chunk).tolist() == want
+
+
+def test_pieces_longer_than_many_chunks(library):
+    rng, mine = random.Random(4), Tokenizer(PATH)
+    every = ["a" * 1000 + " b", " " * 700 + "x", "".join(rng.choices("etaoin", k=5000)), "it" + "'" * 300 + "re", "9" * 333 + "\n" * 50, "word " * 300, "zz <|endoftext|>" * 40]
+    assert mine.counts(every, 16).tolist() == [count(library, t) for t in every]
+
+
+def test_maps_of_chunks_are_those_of_reading_on(library):
+    splitter, rng = Tokenizer(PATH).splitter, random.Random(2)
+    text = "".join(rng.choices(["'", "r", "e", "v", "l", " ", "\n", "1", "x", "!", "s"], k=4000))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    at = np.array([0, 1500, 1500, 4000])
+    want = splitter.cuts(codes, at, 4000)
+    assert all((splitter.cuts(codes, at, chunk) == want).all() for chunk in (1, 3, 64, 999))
 
 
-@pytest.mark.parametrize("chunk", [40, 65_536])
+@pytest.mark.parametrize("chunk", [5, 128])
 def test_counts_of_awkward_rows(awkward, nothing, library, chunk):
-    small = awkward.where("length(text) < 5000 or text is null") if chunk == 40 else awkward
-    rows = small.select("doc_id", "text").collect()
-    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(small, PATH, chunk_chars=chunk).collect()), key=str)
+    rows = awkward.select("doc_id", "text").collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(awkward, PATH, chunk_chars=chunk).collect()), key=str)
     want = [(r.doc_id, len((r.text or "").encode()), count(library, r.text)) for r in rows]
     assert got == sorted(((i, b, n, n > 512) for i, b, n in want), key=str)
     assert count_tokens(nothing, PATH).count() == 0

@@ -1,15 +1,17 @@
 """Token counts of a byte-level BPE tokenizer, by finite-state transducers.
 
-Two deterministic machines are compiled from the tokenizer's file. The splitter reads characters and marks where
-pieces end; it has twelve states. The counter reads the bytes of a piece; each of its transitions carries the change
-in the number of tokens. It rests on two facts: every prefix of a piece has one encoding, and a row of tokens is an
-encoding exactly if each neighbouring pair is one. So the last token of the next prefix follows from the last tokens
-of those shorter prefixes that a token can still bridge, and these, with their counts relative to now, are the state.
-States and transitions are made when first needed and kept.
-
-A text longer than ``chunk_chars`` is cut anywhere into chunks, dealt out over the cluster. A chunk's state map tells
-for every splitter state at its start: the piece's end it closes first, the tokens of the pieces inside, the piece
-left open and the state at its end. Maps compose associatively; a tree of merges scans them, ``FAN_IN`` at a time.
+Two deterministic machines are compiled from the tokenizer's file.
+
+The splitter reads characters and marks where pieces end. It is a table of (state, class of the character); all texts of
+a batch are cut into chunks of ``CHUNK`` characters that are read side by side. A chunk's state map tells for every
+state at its start the state at its end; the maps are composed by a parallel prefix scan within each text, which gives
+the true state at every chunk's start, and from it the ends of the pieces in it.
+
+The counter reads the bytes of a piece; each of its transitions carries the change in the number of tokens. It rests on
+two facts: every prefix of a piece has one encoding, and a row of tokens is an encoding exactly if each neighbouring pair
+is one. So the last token of the next prefix follows from the last tokens of those shorter prefixes that a token can
+still bridge, and these, with their counts relative to now, are the state. States and transitions are made when first
+needed and kept, and so are the counts of pieces of up to ``SHORT`` bytes, by their hash.
 """
 
 from __future__ import annotations
@@ -17,41 +19,55 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm._bytes import Rolling
 from wakeline.llm._shared import texts
 
-# White space in Unicode, the endings split off after an apostrophe, and the pattern of pieces.
-WHITE = "\u0009-\u000d \u0085   -     　"
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+# White space in Unicode, as a regular expression class.
+WHITE = r"\u0009-\u000d \u0085   -     　"
 
 START, LETTERS, DIGITS, OTHERS, APOSTROPHE, ENDING, AP_R, AP_V, AP_L, BLANK, WHITE1, BLANKS, WHITES = range(13)
 N_STATES = 13
-#: Chunk maps merged by one task at each level; three levels cover the longest string that a row can hold.
-FAN_IN, LEVELS = 64, 3
-#: Entries after which a worker's tables are begun anew.
-KEPT_PIECES, KEPT_STATES = 400_000, 250_000
-MAP_TYPE = "array<struct<minus:boolean,head:string,n:bigint,tail:string,state:int>>"
+#: One character of each class that the splitter tells apart; the last class is the filling of a chunk.
+CLASSES = ("x", "1", "!", "\n", " ", "'", "s", "r", "v", "l", "e")
+FILL = len(CLASSES)
+WIDTH = FILL + 1
+#: Characters of a chunk, and of the texts that are worked on at a time (one text at least).
+CHUNK, PIECE_CHARS = 128, 1 << 20
+#: Pieces of up to so many bytes are kept with their counts; entries after which a worker's tables are begun anew.
+SHORT, KEPT_PIECES, KEPT_STATES = 64, 2_000_000, 250_000
+
+_HASH = Rolling(31)
 
 
 class Splitter:
-    """Marks the ends of pieces; state -> (next state, ends), an end of 0 before the character read, of -1 one earlier."""
+    """Marks the ends of pieces."""
 
     def __init__(self) -> None:
         import regex
 
-        self.find = regex.compile(PIECES).findall
-        self._letter, self._digit, self._white = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match, regex.compile(f"[{WHITE}]").match
-        self._kinds: dict[str, str] = {}
-
-    def kind(self, c: str) -> str:
-        k = self._kinds.get(c)
-        if k is None:
-            k = "L" if self._letter(c) else "N" if self._digit(c) else "W" if self._white(c) else "O"
-            self._kinds[c] = k
-        return k
+        points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+        every = points.astype(np.uint32).tobytes().decode("utf-32-le")
+        self.of_char = np.full(0x110000, CLASSES.index("!"), np.uint8)
+        for pattern, kind in ((r"\p{L}+", "x"), (r"\p{N}+", "1"), (f"[{WHITE}]+", "\n")):
+            for m in regex.finditer(pattern, every):
+                self.of_char[points[m.start() : m.end()]] = CLASSES.index(kind)
+        for k, c in enumerate(CLASSES[4:]):
+            for same in "stmd" if c == "s" else c:
+                self.of_char[ord(same)] = k + 4
+        # tables by state * WIDTH + class; next states are kept times WIDTH. ends: 1 before the character, 2 one earlier
+        self.next = np.repeat(np.arange(N_STATES) * WIDTH, WIDTH)
+        self.ends = np.zeros(N_STATES * WIDTH, np.uint8)
+        for state in range(N_STATES):
+            for k, c in enumerate(CLASSES):
+                after, ends = self.step(state, c)
+                self.next[state * WIDTH + k] = after * WIDTH
+                self.ends[state * WIDTH + k] = (0 in ends) + 2 * (-1 in ends)
 
     @staticmethod
     def _begin(kind: str, c: str) -> int:
@@ -60,12 +76,13 @@ class Splitter:
         return APOSTROPHE if c == "'" else {"L": LETTERS, "N": DIGITS, "O": OTHERS}[kind]
 
     def step(self, state: int, c: str) -> tuple[int, tuple[int, ...]]:
-        k = self.kind(c)
+        """(next state, ends) for a character of CLASSES: an end of 0 is before the character, one of -1 one earlier."""
+        k = {"1": "N", "!": "O", "'": "O", "\n": "W", " ": "W"}.get(c, "L")
         if state == START:
             return self._begin(k, c), ()
         if k == {LETTERS: "L", DIGITS: "N", OTHERS: "O", APOSTROPHE: "O"}.get(state):
             return (OTHERS if state == APOSTROPHE else state), ()
-        if state == APOSTROPHE and c in ("s", "t", "m", "d"):
+        if state == APOSTROPHE and c == "s":
             return ENDING, ()
         if state == APOSTROPHE and c in ("r", "v", "l"):
             return {"r": AP_R, "v": AP_V, "l": AP_L}[c], ()
@@ -82,10 +99,42 @@ class Splitter:
             return self._begin(k, c), (-1, 0)
         return self._begin(k, c), (0,)
 
-    @staticmethod
-    def last(state: int, tail: str) -> list[str]:
-        """The pieces of what is open when the text ends."""
-        return [tail[:-1], tail[-1:]] if state in (AP_R, AP_V, AP_L) else [tail]
+    def cuts(self, codes: np.ndarray, at: np.ndarray, chunk: int) -> np.ndarray:
+        """Where pieces begin and end, in order, for the code points of texts that stand one after the other; at: where
+        the texts begin, and the end of the last."""
+        size = np.diff(at)
+        n_chunks = -(-size // chunk)
+        first = np.concatenate([[0], np.cumsum(n_chunks)])
+        text = np.repeat(np.arange(len(size)), n_chunks)
+        place = np.arange(first[-1]) - first[text]
+        begin = at[text] + place * chunk
+        kinds = np.full((len(text), chunk), FILL, np.uint8)
+        kinds[np.arange(chunk) < (at[text + 1] - begin)[:, None]] = self.of_char[codes]
+        kinds = np.ascontiguousarray(kinds.T)
+
+        maps = np.repeat((np.arange(N_STATES) * WIDTH)[:, None], len(text), axis=1)
+        for kind in kinds if place.any() else ():
+            maps = self.next[maps + kind]
+        reach = 1
+        while reach <= place.max(initial=0):  # the scan: maps of 2, 4, 8 ... chunks, within each text
+            i = np.flatnonzero(place >= reach)
+            maps[:, i] = maps[maps[:, i - reach] // WIDTH, i]
+            reach *= 2
+        state = np.zeros(len(text), maps.dtype)
+        state[1:] = np.where(place[1:] > 0, maps[START, :-1], START)
+
+        marks = np.zeros(len(codes) + 2, bool)  # shifted by one
+        for k, kind in enumerate(kinds):
+            here = state + kind
+            ends = self.ends[here]
+            marks[begin[(ends & 1) > 0] + k + 1] = True
+            marks[begin[(ends & 2) > 0] + k] = True
+            state = self.next[here]
+        last = first[1:][size > 0] - 1
+        half_open = np.isin(state[last] // WIDTH, (AP_R, AP_V, AP_L))  # an ending that did not come to be
+        marks[at[1:][size > 0][half_open]] = True
+        marks[at + 1] = True
+        return np.flatnonzero(marks[1:])
 
 
 class Counter:
@@ -126,7 +175,6 @@ class Counter:
         self._numbers = {((0, -1, 0),): 0}
         self._states = [((0, -1, 0),)]
         self.table: list[dict[int, tuple[int, int]]] = [{}]
-        self.pieces: dict[str, int] = {}
 
     def neighbours(self, a: int, b: int, until: float = float("inf")) -> bool:
         """Whether a and b stay apart up to merge number until. Merges are undone from the last one back; the tokens
@@ -168,32 +216,16 @@ class Counter:
         self.table[state][byte] = number, delta
         return number, delta
 
-    def piece(self, text: str) -> int:
+    def piece(self, piece: bytes) -> int:
+        if len(self._states) > KEPT_STATES:
+            self._renew()
         n, state, table = 0, 0, self.table
-        for byte in text.encode():
+        for byte in piece:
             move = table[state].get(byte) or self._new(state, byte)
             state = move[0]
             n += move[1]
         return n
 
-    def count(self, pieces: list[str]) -> int:
-        known = self.pieces
-        each = list(map(known.get, pieces))
-        if None in each:
-            if len(known) > KEPT_PIECES or len(self._states) > KEPT_STATES:
-                self._renew()
-                known = self.pieces
-            for i, x in enumerate(each):
-                if x is None:
-                    p = pieces[i]
-                    x = known.get(p)
-                    if x is None:
-                        x = self.piece(p)
-                        if len(p) <= 64:
-                            known[p] = x
-                    each[i] = x
-        return sum(each)
-
 
 def _byte_symbols() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the
@@ -206,6 +238,7 @@ def _byte_symbols() -> dict[str, int]:
 class Tokenizer:
     def __init__(self, path: str) -> None:
         self.splitter, self.counter = Splitter(), Counter(path)
+        self._keys, self._counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def segments(self, text: str) -> tuple[list[str], int]:
         """The text between the strings of special tokens, and how many of these there are."""
@@ -216,67 +249,54 @@ class Tokenizer:
                 n = len(parts) - 1
         return parts, n
 
-    def count(self, text: str) -> int:
-        find, count = self.splitter.find, self.counter.count
-        parts, n = self.segments(text)
-        return n + sum(count(find(p)) for p in parts)
-
-    def chunk_map(self, chunk: str) -> list[tuple]:
-        """For each state at the chunk's start: (an end one character before it, head or None, tokens, tail, state)."""
-        step = self.splitter.step
-        runs = [[q, []] for q in range(N_STATES)]
-        i = 0
-        while i < len(chunk):
-            for run in runs:
-                run[0], ends = step(run[0], chunk[i])
-                run[1] += [i + e for e in ends]
-            i += 1
-            if all(e and e[-1] >= 0 for _, e in runs) and len({(q, e[-1]) for q, e in runs}) == 1:
-                break
-        rest, tail, state = 0, None, None
-        if i < len(chunk):  # from the end that all have in common, the rest is the same for all
-            common = runs[0][1][-1]
-            found = self.splitter.find(chunk[common:])
-            sure, doubt = found[:-3], found[-3:]
-            rest = self.counter.count(sure)
-            state, last, tail = START, 0, "".join(doubt)
-            for j, c in enumerate(tail):
-                state, ends = step(state, c)
-                for e in ends:
-                    rest += self.counter.count([tail[last : j + e]]) if j + e > last else 0
-                    last = j + e
-            tail = tail[last:]
-        out = []
-        for q, ends in runs:
-            minus, ends = bool(ends) and ends[0] < 0, [e for e in ends if e >= 0]
-            if not ends:
-                out.append((minus, None, 0, chunk, q))
-                continue
-            n = self.counter.count([chunk[a:b] for a, b in zip(ends, ends[1:], strict=False)])
-            out.append((minus, chunk[: ends[0]], n + rest, chunk[ends[-1] :] if tail is None else tail, q if state is None else state))
+    def _of_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of tokens of each piece (bytes from starts to ends)."""
+        raw, piece = data.tobytes(), self.counter.piece
+        out = np.zeros(len(starts), np.int64)
+        long = ends - starts > SHORT
+        for k in np.flatnonzero(long):
+            out[k] = piece(raw[starts[k] : ends[k]])
+        short = np.flatnonzero(~long)
+        number, names = pd.factorize(_HASH.runs(_HASH.prefix(_HASH.values[data]), starts[short], ends[short]))
+        spot = np.searchsorted(self._keys, names)
+        known = np.zeros(len(names), bool)
+        inner = spot < len(self._keys)
+        known[inner] = self._keys[spot[inner]] == names[inner]
+        if not known.all():
+            one = np.empty(len(names), np.int64)
+            one[number[::-1]] = short[::-1]
+            new = np.flatnonzero(~known)
+            new = new[np.argsort(names[new])]
+            counted = [piece(raw[starts[k] : ends[k]]) for k in one[new]]
+            if len(self._keys) > KEPT_PIECES:
+                old = np.sort(names[known])
+                kept = np.searchsorted(self._keys, old)
+                self._keys, self._counts = old, self._counts[kept]
+            spot = np.searchsorted(self._keys, names[new])
+            self._keys, self._counts = np.insert(self._keys, spot, names[new]), np.insert(self._counts, spot, counted)
+        out[short] = self._counts[np.searchsorted(self._keys, names)][number]
         return out
 
-    def compose(self, a: list[tuple], b: list[tuple]) -> list[tuple]:
-        out = []
-        for minus, head, n, tail, state in a:
-            cut, head_b, n_b, tail_b, state_b = b[state]
-            if head is None and cut and tail:  # the end one before b falls into a
-                head, tail, cut = tail[:-1], tail[-1:], False
-            elif head is not None and cut:
-                n, tail = n + self.counter.count([tail[:-1]]), tail[-1:]
-                cut = False
-            if head_b is None:
-                out.append((minus or cut, head, n, tail + tail_b, state_b))
-            elif head is None:
-                out.append((minus or cut, tail + head_b, n_b, tail_b, state_b))
-            else:
-                out.append((minus, head, n + self.counter.count([tail + head_b]) + n_b, tail_b, state_b))
+    def counts(self, every: list[str], chunk: int = CHUNK) -> np.ndarray:
+        """The number of tokens of each text."""
+        out = np.zeros(len(every), np.int64)
+        owner, parts = [], []
+        for i, text in enumerate(every):
+            own, out[i] = self.segments(text)
+            parts += own
+            owner += [i] * len(own)
+        joined = "".join(parts)
+        if not joined:
+            return out
+        at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        cuts = self.splitter.cuts(codes, at, chunk)
+        bytes_at = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF))])
+        n = self._of_pieces(np.frombuffer(joined.encode(), np.uint8), bytes_at[cuts[:-1]], bytes_at[cuts[1:]])
+        sums = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(cuts, at)]
+        np.add.at(out, owner, np.diff(sums))
         return out
 
-    def total(self, m: list[tuple]) -> int:
-        _, head, n, tail, state = m[START]
-        return self.counter.count([p for p in ([head] if head else []) + self.splitter.last(state, tail) if p]) + n
-
 
 _made: dict[str, Tokenizer] = {}
 
@@ -289,76 +309,30 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def count_tokens(
-    docs: DataFrame, path: str, limit: int = 512, chunk_chars: int = 65_536, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, limit: int = 512, chunk_chars: int = CHUNK, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     path: a byte-level BPE file of the tokenizers library, at the same place on every machine. No begin, end or added
     tokens are counted but those whose string is in the text, each as one token. A null text counts as empty, with no
-    token. Rows with the same doc_id are counted each for itself; an empty table gives an empty result.
+    token. Rows with the same doc_id are counted each for itself; an empty table gives an empty result. One pass over
+    the rows, without a shuffle; its memory is some 20 bytes for each character of the longest text.
     """
     rows = texts(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in batches:
-            n = [t.count(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in batches:
-            for i, text in enumerate(b.column(1).to_pylist()):
-                parts, special = t.segments(text)
-                chunks = [(s, p[a : a + chunk_chars]) for s, p in enumerate(parts) for a in range(0, max(len(p), 1), chunk_chars)]
-                one = pa.array([b.column(0)[i].as_py()] * len(chunks), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [one, pa.array(range(len(chunks)), pa.int64()), pa.array([c[0] for c in chunks], pa.int64()), pa.array([c[1] for c in chunks], pa.string()), pa.array([special] * len(chunks), pa.int64())],
-                    ["row_id", "pos", "segment", "chunk", "special"],
-                )
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        keys = ("minus", "head", "n", "tail", "state")
-        kind = pa.list_(pa.struct([("minus", pa.bool_()), ("head", pa.string()), ("n", pa.int64()), ("tail", pa.string()), ("state", pa.int32())]))
-        for b in batches:
-            maps = [[dict(zip(keys, m, strict=True)) for m in t.chunk_map(c)] for c in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(maps, kind)], ["row_id", "pos", "segment", "special", "map"])
-
-    def merged(pdf):
-        t = tokenizer(path)
-        pdf = pdf.sort_values("pos")
-        whole = None
-        for m in pdf["map"]:
-            m = [(x["minus"], x["head"], x["n"], x["tail"], x["state"]) for x in m]
-            whole = m if whole is None else t.compose(whole, m)
-        first = pdf.iloc[:1].copy()
-        first["map"] = [[dict(zip(("minus", "head", "n", "tail", "state"), m, strict=True)) for m in whole]]
-        return first[["row_id", "pos", "segment", "special", "map"]]
-
-    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
-            n = [t.total([(x["minus"], x["head"], x["n"], x["tail"], x["state"]) for x in m]) for m in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(3)], ["row_id", "n", "special"])
-
-    fits = F.length("text") <= chunk_chars
-    counted = rows.where(fits).select("doc_id", "n_bytes", "text").mapInArrow(short, f"doc_id {id_type}, n_bytes long, n_tokens long")
-    long = rows.where(~fits).withColumn("row_id", F.monotonically_increasing_id())
-    maps = (
-        long.select("row_id", "text")
-        .mapInArrow(cut, "row_id long, pos long, segment long, chunk string, special long")
-        .repartition("row_id", "pos")
-        .mapInArrow(mapped, f"row_id long, pos long, segment long, special long, map {MAP_TYPE}")
-    )
-    for _ in range(LEVELS):
-        maps = maps.withColumn("part", F.floor(F.col("pos") / FAN_IN)).groupBy("row_id", "segment", "part").applyInPandas(
-            merged, f"row_id long, pos long, segment long, special long, map {MAP_TYPE}"
-        ).withColumn("pos", F.floor(F.col("pos") / FAN_IN))
-    sums = (
-        maps.select("row_id", "pos", "segment", "special", "map").mapInArrow(closed, "row_id long, n long, special long")
-        .groupBy("row_id").agg((F.sum("n") + F.max("special")).alias("n_tokens"))
-    )
-    scanned = long.select("row_id", "doc_id", "n_bytes").join(sums, "row_id").select("doc_id", "n_bytes", "n_tokens")
-    return counted.unionByName(scanned).withColumn("over_limit", F.col("n_tokens") > limit)
+            every, n, i = b.column(2).to_pylist(), [], 0
+            while i < len(every):
+                j, size = i, 0
+                while j < len(every) and (j == i or size + len(every[j]) <= PIECE_CHARS):
+                    size += len(every[j])
+                    j += 1
+                n.append(t.counts(every[i:j], chunk_chars))
+                i = j
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], ["doc_id", "n_bytes", "n_tokens"])
+
+    counts = rows.select("doc_id", "n_bytes", "text").mapInArrow(counted, f"doc_id {id_type}, n_bytes long, n_tokens long")
+    return counts.withColumn("over_limit", F.col("n_tokens") > limit)
