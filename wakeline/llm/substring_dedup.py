@@ -56,13 +56,14 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(runs of each level, stretch, text, first, n): the n windows from word ``first`` on stand behind the same runs."""
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(runs of each level, stretch, text, first, n, fresh): the n windows from word ``first`` on stand behind the same
+    runs. Bit k of fresh tells that the row before has another place of the run of level k or k - 1."""
     lengths = run_lengths(window)
     hashes, at = _word_hashes(data, offsets)
     if len(hashes) < window:
         none = np.zeros(0, np.int64)
-        return [none] * len(lengths), none, none, none, none
+        return [none] * len(lengths), none, none, none, none, none
     i = np.arange(len(hashes) - lengths[0] + 1)
     runs = _LEVELS[0].runs(_LEVELS[0].prefix(hashes), i, i + lengths[0])
     least = _sliding_least((runs >> _PLACE_BITS << _PLACE_BITS) | (i.astype(np.uint64) & _PLACE), window - lengths[0] + 1)
@@ -72,13 +73,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[list[np
         starts.append(np.where(starts[-1] + n <= i + window, starts[-1], starts[-1] - n // 2))
     valid = i + window <= np.repeat(at[1:], np.diff(at))[: len(i)]
     begins = valid.copy()
-    begins[1:] &= ~valid[:-1] | np.any([s[1:] != s[:-1] for s in starts], axis=0)
+    moved = [s[1:] != s[:-1] for s in starts]
+    begins[1:] &= ~valid[:-1] | np.any(moved, axis=0)
     first = np.flatnonzero(begins)
+    fresh = np.zeros(len(first), np.int64)
+    for k in range(len(starts)):
+        on = ~valid[:-1] | moved[k] | moved[max(k - 1, 0)]
+        fresh |= np.where(first > 0, on[first - 1] if len(on) else True, True).astype(np.int64) << k
     n = np.diff(np.append(np.cumsum(valid)[first] - 1, valid.sum()))
     levels = [r.runs(r.prefix(hashes), s[first], s[first] + k).view(np.int64) for r, s, k in zip(_LEVELS, starts, lengths)]  # noqa: B905
     stretch = _STRETCHES.runs(_STRETCHES.prefix(hashes), first, first + n - 1 + window).view(np.int64)
     text = np.searchsorted(at, first, "right") - 1
-    return levels, stretch, text, first - at[text], n
+    return levels, stretch, text, first - at[text], n, fresh
 
 
 def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -97,17 +103,17 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, _, data, offsets in pieces(b.column(3)):
-                runs, stretch, text, first, n = anchors(data, offsets, window)
+                runs, stretch, text, first, n, fresh = anchors(data, offsets, window)
                 own = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, runs), pa.array(stretch), *(b.column(c).take(own) for c in range(3)), pa.array(first, pa.int32()), pa.array(n, pa.int32())],
-                    [*levels, "stretch", *ROW, "first", "n"],
+                    [*map(pa.array, runs), pa.array(stretch), *(b.column(c).take(own) for c in range(3)), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(fresh, pa.int32())],
+                    [*levels, "stretch", *ROW, "first", "n", "fresh"],
                 )
 
-    live = rows.select(*ROW, "text").mapInArrow(found, f"{', '.join(f'{c} long' for c in levels)}, stretch long, {row_type}, first int, n int")
+    live = rows.select(*ROW, "text").mapInArrow(found, f"{', '.join(f'{c} long' for c in levels)}, stretch long, {row_type}, first int, n int, fresh int")
     for k, run in enumerate(levels):
         on = levels[max(k - 1, 0) : k + 1]
-        again = keep(live.groupBy(*on).agg(F.count("*").alias("times")).where("times > 1").select(*on), "again")
+        again = keep(live.groupBy(*on).agg(F.sum(F.getbit("fresh", F.lit(k))).alias("times")).where("times > 1").select(*on), "again")
         live = keep(live.hint("merge").join(again, on).drop(*levels[:k]), f"level{k}")
         if not again.limit(1).count():  # no candidate survives
             break
