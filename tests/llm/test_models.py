@@ -112,16 +112,101 @@ def test_viterbi_skips_tokens_without_changing_the_path():
         assert list(field.decode(np.arange(n)[:, None], np.array([0, n]))) == field._path(weights)
 
 
+def word(rng):
+    return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9)))
+
+
 def test_the_field_finds_what_no_pattern_does(spark):
     rng = random.Random(8)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
-    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9)))
-    rows = [(i, " ".join([word() for _ in range(20)] + [f"token = {hexes(rng.randrange(12, 22))}"] + [word() for _ in range(20)])) for i in range(150)]
+    rows = [(i, " ".join([word(rng) for _ in range(20)] + [f"token = {hexes(rng.randrange(12, 22))}"] + [word(rng) for _ in range(20)])) for i in range(150)]
     rows.append((999, "some words token (ab12cd34ef5690) and more words"))  # no assignment, and too short for hex alone
     got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[999] == "crf:18:32" and all("crf" not in s for i, s in got.items() if i != 999)
 
 
+def test_recall_and_precision_of_secrets_without_cues(spark):
+    """Trained on assignments, the field finds secrets of the same looks that stand in plain text, and leaves numbers, dates,
+    names and addresses alone."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choices(letters, k=rng.randrange(20, 40)))
+    harmless = ["2024-01-31", "10.20.30.40", "555 123 4567", "v1.2.3", "ISBN 978-3", "user42", "README.md", "3.14159", "A4", "WORDS", "Some-Name"]
+    text = lambda secret: " ".join([word(rng) for _ in range(15)] + rng.choices(harmless, k=3) + [secret] + [word(rng) for _ in range(15)])
+    rows = [(i, text(f"{rng.choice(['password', 'api_key'])} = '{key()}'")) for i in range(300)] + [(i, text("")) for i in range(300, 600)]
+    planted = {i: key() for i in range(600, 700)}
+    rows += [(i, text(k)) for i, k in planted.items()]
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    found = {(i, texts[i][int(s.split(":")[1]) : int(s.split(":")[2])]) for i, spans in got.items() for s in spans.split(",") if s.startswith("crf")}
+    right = {x for x in found if planted.get(x[0]) == x[1]}
+    assert len(right) >= 95 and len(right) >= 0.95 * len(found)
+
+
+def test_spans_that_meet_others():
+    starts, reached = [3, 5, 20], [10, 10, 25]
+    apart = lambda s, e: all(not (x < e and s < y) for x, y in ((3, 10), (5, 7), (20, 25)))
+    assert all(secret_scan._apart(s, e, starts, reached) == apart(s, e) for s in range(30) for e in range(s + 1, 31))
+
+
+def test_sums_and_votes_of_languages_against_a_loop():
+    rng = np.random.default_rng(4)
+    names = ["de", "en", "es", "fr"]
+    family = {"de": "germanic", "en": "germanic", "es": "romance", "fr": "romance"}
+    dims = 1 << language_id.DIMS_BITS
+    pairs = {p: (rng.normal(size=dims).astype(np.float32), float(rng.uniform(0.5, 2))) for p in (("germanic", "romance"), ("de", "en"), ("es", "fr"))}
+    model = language_id.Model(names, family, pairs)
+    texts = ["Hello there", "ñandú!", "a", "x" * 300, "ÄÖÜ and 12 -- more", "zz zz"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got, score = model.predict(data, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+
+    def chance(pair, text):
+        folded = [32, 32, *((b | 32 if chr(b).isalpha() else 32) if b < 128 else b for b in text.encode()), 32, 32]
+        grams = [(a | b << 8 | c << 16) * 2654435761 % 2**32 >> 32 - language_id.DIMS_BITS for a, b, c in zip(folded, folded[1:], folded[2:])]
+        weights, size = pairs[pair]
+        return 1 / (1 + math.exp(-sum(float(weights[g]) for g in grams) / len(grams) / size * 3))
+
+    for text, lang, s in zip(texts, got, score, strict=True):
+        p = chance(("germanic", "romance"), text)
+        within = ("de", "en") if p >= 0.5 else ("es", "fr")
+        q = chance(within, text)
+        assert lang == within[q < 0.5] and math.isclose(s, max(p, 1 - p) * max(q, 1 - q), rel_tol=1e-4)
+
+
+def test_fit_of_grades_against_a_loop():
+    """One step of the gradient, summed row by row, moves weights and thresholds as the fit does; with enough steps the
+    thresholds are in order and a word of high grades has the greatest weight."""
+    rng = np.random.default_rng(2)
+    grade = rng.integers(0, 4, 60)
+    row = np.repeat(np.arange(60), 3)
+    word = np.where(rng.random(180) < 0.5, 10 + np.repeat(grade, 3), rng.integers(1, 6, 180)).astype(np.uint64)
+    model = toxicity.fit(row, word, np.ones(180), grade, steps=1, penalty=0.0)
+    names, n = sorted(set(word.tolist())), len(grade)
+    share = [(grade > k).mean() for k in range(3)]
+    theta = [max(-math.log(s / (1 - s)), 0.5 + k) for k, s in enumerate(share)]
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    by_word, by_theta = dict.fromkeys(names, 0.0), [0.0] * 3
+    for i in range(n):  # every weight is 0, so the score is, too
+        upper = 1.0 if grade[i] == 0 else sig(-theta[grade[i] - 1])
+        lower = 0.0 if grade[i] == 3 else sig(-theta[grade[i]])
+        p = upper - lower
+        d_up, d_low = upper * (1 - upper) / p, lower * (1 - lower) / p
+        for w in word[row == i].tolist():
+            by_word[w] -= (d_up - d_low) / n
+        if grade[i] > 0:
+            by_theta[grade[i] - 1] += d_up / n
+        if grade[i] < 3:
+            by_theta[grade[i]] -= d_low / n
+    want = {w: -0.5 * g / math.sqrt(1e-8 + g * g) for w, g in by_word.items()}
+    mine = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    assert all(math.isclose(mine.get(w, 0.0), x, rel_tol=1e-6, abs_tol=1e-9) for w, x in want.items())
+    moved = [t - 0.2 * g / math.sqrt(1e-4 + g * g) for t, g in zip(theta, by_theta, strict=True)]
+    assert np.allclose(model.thresholds, np.maximum.accumulate(np.array(moved) - 0.05 * np.arange(3)) + 0.05 * np.arange(3))
+    model = toxicity.fit(row, word, np.ones(180), grade)
+    mine = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    assert (np.diff(model.thresholds) > 0).all() and mine[13] == max(mine.values())
+
+
 def test_severity_of_held_out_texts(spark, awkward, nothing):
     rng = random.Random(6)
     clean = ["".join(rng.choices("abcdefg", k=4)) for _ in range(200)]

@@ -33,10 +33,10 @@ _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of each text, a blank before and after it, and the offsets of each text's own."""
+    """Hashed trigrams of each text, two blanks before and after it, and the offsets of each text's own."""
     n = len(offsets) - 1
     spaced = np.full(len(data) + 2 * n + 2, 32, np.uint32)
-    spaced[np.arange(len(data)) + np.repeat(2 * np.arange(n) + 1, np.diff(offsets))] = _FOLD[data]
+    spaced[np.arange(len(data)) + np.repeat(2 * np.arange(n) + 2, np.diff(offsets))] = _FOLD[data]
     code = spaced[:-2] | spaced[1:-1] << np.uint32(8) | spaced[2:] << np.uint32(16)
     return (code * np.uint32(2654435761)) >> np.uint32(32 - DIMS_BITS), offsets + 2 * np.arange(n + 1)
 
@@ -112,7 +112,7 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, epochs: i
 
 
 def train(docs: DataFrame, rows_each: int = 1500, epochs: int = 12, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from at most about ``rows_each`` rows of each language, drawn by a hash of the id; their texts are
+    """A model from at most about ``rows_each`` rows of each language, drawn by a hash of id and text; their texts are
     counted whole, on the executors, and only their trigram counts come to the driver."""
     usable = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text is not null and lang is not null and text rlike '\\\\p{L}'"
@@ -120,7 +120,7 @@ def train(docs: DataFrame, rows_each: int = 1500, epochs: int = 12, id_col: str
     sizes = {r["lang"]: r["count"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().collect()}
     if not sizes:
         return Model([], {}, {})
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1_000_000))
     wanted = F.lit(False)
     for lang, n in sorted(sizes.items()):
         wanted = wanted | ((F.col("lang") == lang) & (draw < int(1_000_000 * rows_each / n)))
@@ -136,7 +136,7 @@ def train(docs: DataFrame, rows_each: int = 1500, epochs: int = 12, id_col: str
                     value.append((c / np.linalg.norm(c)).astype(np.float32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["id", "lang", "i", "v"])
 
-    drawn = usable.where(wanted).select("id", "lang", "text").mapInArrow(counted, "id string, lang string, i array<int>, v array<float>").toArrow()
+    drawn = usable.where(wanted).select("id", "lang", "text").mapInArrow(counted, "id string, lang string, i array<int>, v array<float>").limit(4 * rows_each * len(sizes)).toArrow()
     drawn = drawn.sort_by([("id", "ascending")])
     lang = np.array(drawn.column("lang").to_pylist(), object)
     rows = list(zip((np.asarray(x.values) for x in drawn.column("i")), (np.asarray(x.values) for x in drawn.column("v")), strict=True))

@@ -1,9 +1,11 @@
 """Secrets by fixed patterns, and by a linear-chain conditional random field that adds what these miss.
 
-Tokens are runs of letters, digits, + / _ . - and bytes beyond ASCII. The field tags each token as the begin or inside of a secret
-or outside. Its features are the token's shape, the shapes and words of its neighbours, what stands between them
-(=, :, quotes) and how much of the text is digits. It learns from the secrets that the patterns find in a bounded
-sample of the texts, by the exact gradient of the conditional likelihood.
+Tokens are runs of letters, digits, + / _ . - and bytes beyond ASCII. The field tags each token as the begin or inside of
+a secret or outside. Its features are the token's shape, the shapes and words of its neighbours, what stands between
+them (=, :, quotes) and how much of the text is digits. It learns from the secrets that the patterns find in a bounded
+sample of the texts, by the exact gradient of the conditional likelihood. Every other secret is learned with the
+patterns' own cues hidden (the words beside it, and what stands between), so that the field must know a secret by its
+looks and its surroundings as well, and finds those that no pattern does.
 
 Viterbi decoding is exact and yet skips most tokens: where outside beats the other tags by more than any two
 transitions could make good, the best path is outside there, and the chain falls apart into short pieces.
@@ -13,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,8 @@ _OTHER_THAN_HEX[[*range(48, 58), *range(97, 103)]] = False
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 N_SHAPES, N_WORDS, N_GAPS, N_FILES = 2048, 4096, 8, 32
+#: The features that hold the patterns' cues: the words of the token and before it, and what stands around it.
+CUES = [3, 4, 5, 6]
 #: Where each kind of feature begins among the weights.
 _SIZES = [N_SHAPES, N_SHAPES, N_SHAPES, N_WORDS, N_WORDS, N_GAPS, N_GAPS, N_FILES]
 _AT = np.concatenate([[0], np.cumsum(_SIZES)])
@@ -178,24 +184,30 @@ class Field:
         return path[::-1]
 
 
-def fit(found: list[np.ndarray], tags: list[np.ndarray], steps: int = 80, ridge: float = 1e-3) -> Field:
-    """The field of greatest penalised likelihood for chains of features and tags, by Adagrad on the exact gradient,
-    all chains side by side."""
+def fit(found: list[np.ndarray], tags: list[np.ndarray], weights: np.ndarray, steps: int = 80, ridge: float = 1e-3) -> Field:
+    """The field of greatest penalised likelihood for weighted chains of features and tags, by Adagrad on the exact
+    gradient, all chains side by side."""
     n, longest = len(found), max(map(len, found))
-    f = np.zeros((n, longest, len(_SIZES)), np.int64)
+    f = np.zeros((len(_SIZES), n, longest), np.int32)
     y = np.zeros((n, longest), np.int64)
     mask = np.zeros((n, longest), bool)
     for i, (x, t) in enumerate(zip(found, tags, strict=True)):
-        f[i, : len(x)], y[i, : len(x)], mask[i, : len(x)] = x, t, True
+        f[:, i, : len(x)], y[i, : len(x)], mask[i, : len(x)] = x.T, t, True
     allowed = np.ones((3, 3))
     allowed[OUT, INSIDE] = 0
     w, a = np.zeros((_AT[-1], 3)), np.zeros((3, 3))
     gw, ga = np.full_like(w, 1e-8), np.full_like(a, 1e-8)
+    heavy = weights[:, None, None]
     truth = np.eye(3)[y] * mask[..., None]
+    both = mask[:, :-1] & mask[:, 1:]
     moved = np.zeros((3, 3))
-    np.add.at(moved, (np.where(mask[:, :-1] & mask[:, 1:], y[:, :-1], 0), y[:, 1:]), (mask[:, :-1] & mask[:, 1:]).astype(float))
+    np.add.at(moved, (np.where(both, y[:, :-1], 0), y[:, 1:]), both * weights[:, None])
+    shrink = ridge * weights.sum() / 100
     for _ in range(steps):
-        score = np.exp(np.clip(w[f].sum(2), -30, 30))
+        score = w[f[0]]
+        for k in range(1, len(f)):
+            score += w[f[k]]
+        score = np.exp(np.clip(score, -30, 30))
         move = np.exp(np.clip(a, -20, 20)) * allowed
         alpha, scale = np.zeros((n, longest, 3)), np.ones((n, longest))
         for t in range(longest):
@@ -207,14 +219,15 @@ def fit(found: list[np.ndarray], tags: list[np.ndarray], steps: int = 80, ridge:
             ahead = beta[:, t + 1] * score[:, t + 1] / scale[:, t + 1, None]
             live = mask[:, t + 1]
             beta[:, t] = np.where(live[:, None], ahead @ move.T, 1)
-            pairs += (alpha[live, t].T @ ahead[live]) * move
+            pairs += ((alpha[live, t] * weights[live, None]).T @ ahead[live]) * move
         chance = alpha * beta * mask[..., None]
         chance /= np.maximum(chance.sum(2, keepdims=True), 1e-12)
-        grad = ridge * w * n / 100
-        diff = (chance - truth).reshape(-1, 3)
-        for k in range(len(_SIZES)):
-            np.add.at(grad, f[:, :, k].reshape(-1), diff)
-        step_a = pairs - moved + ridge * a * n / 100
+        grad = shrink * w
+        diff = ((chance - truth) * heavy).reshape(-1, 3)
+        for c in range(3):
+            for k in range(len(f)):
+                grad[:, c] += np.bincount(f[k].ravel(), diff[:, c], len(w))
+        step_a = pairs - moved + shrink * a
         gw += grad**2
         ga += step_a**2
         w -= 0.5 * grad / np.sqrt(gw)
@@ -222,46 +235,92 @@ def fit(found: list[np.ndarray], tags: list[np.ndarray], steps: int = 80, ridge:
     return Field(w.astype(np.float32), np.where(allowed > 0, a, -1e6))
 
 
-def train(docs: DataFrame, sample_rows: int = 20_000, reach: int = 24) -> Field | None:
-    """A field from the rows (doc_id, text) of a sample of about ``sample_rows`` texts, drawn by a hash: the tokens
-    around each secret that the patterns find, and as many around random tokens. None if they find no secret."""
+def lessons(text: str, data: np.ndarray, offsets: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(features, tags, weight) of the chains that a text teaches: the tokens around each secret of the patterns, once as
+    they are and once with the cues hidden, and those around one token drawn by a hash of the text, which stand for all
+    the text's tokens."""
+    starts, ends, _, found = features(data, offsets)
+    if not len(starts):
+        return
+    code_at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    first, last = code_at[starts], code_at[ends]
+    tag = np.zeros(len(starts), np.int8)
+    for s, e in _taught(text):
+        inside = np.arange(np.searchsorted(last, s, "right"), np.searchsorted(first, e, "left"))
+        tag[inside] = INSIDE
+        tag[inside[:1]] = BEGIN
+    hidden = found.copy()
+    hidden[:, CUES] = _AT[CUES]
+    any_one = int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "big") % len(starts)
+    for k in [any_one, *np.flatnonzero(tag == BEGIN).tolist()]:
+        lo, hi = max(0, k - reach), min(len(starts), k + reach)
+        while lo and tag[lo] == INSIDE:
+            lo -= 1
+        if tag[lo:hi].any():
+            yield found[lo:hi], tag[lo:hi], 1.0
+            yield hidden[lo:hi], tag[lo:hi], 1.0
+        else:
+            for x in (found, hidden):
+                yield x[lo:hi], tag[lo:hi], len(starts) / (hi - lo) / 2
+
+
+def trusted_lessons(chains: list[tuple[np.ndarray, np.ndarray, float]]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """The chains without those in which a token counts as outside although most tokens of its shape are secrets: no
+    pattern has found it, which does not tell that it is none."""
+    shape = np.concatenate([f[:, 0] for f, _, _ in chains])
+    outside = np.concatenate([t == OUT for _, t, _ in chains])
+    weight = np.repeat([w for *_, w in chains], [len(t) for _, t, _ in chains])
+    often = np.bincount(shape, weight * ~outside, N_SHAPES) > np.bincount(shape, weight * outside, N_SHAPES)
+    return [(f, t, w) for f, t, w in chains if not often[f[t == OUT, 0]].any()]
+
+
+def train(docs: DataFrame, sample_rows: int = 10_000, reach: int = 12) -> Field | None:
+    """A field from the rows (doc_id, text) of a sample of about ``sample_rows`` texts, drawn by a hash of id and text,
+    and at most 8 chains for each of them. None if the patterns find no secret in it. The chains, some kilobytes each,
+    are all that comes to the driver."""
     n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1, sample_rows / max(n, 1))))
+    drawn = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1, sample_rows / max(n, 1))))
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            chains, tags = [], []
-            all_texts = b.column(1).to_pylist()
-            for i, data, offsets in each(b.column(1)):
-                text = all_texts[i]
-                starts, ends, _, found = features(data, offsets)
-                if not len(starts):
-                    continue
-                secrets = _taught(text)
-                tag = np.zeros(len(starts), np.int64)
-                for s, e in secrets:
-                    s, e = len(text[:s].encode()), len(text[:e].encode())
-                    inside = np.flatnonzero((starts < e) & (ends > s))
-                    tag[inside] = INSIDE
-                    tag[inside[:1]] = BEGIN
-                spots = np.flatnonzero(tag == BEGIN)[:50].tolist() + [int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "big") % len(starts)]
-                for k in spots:
-                    lo, hi = max(0, k - reach), min(len(starts), k + reach)
-                    while lo and tag[lo] == INSIDE:
-                        lo -= 1
-                    if tag[lo:hi].any() or k % 8 == 0:
-                        chains.append(found[lo:hi].astype(np.int32).ravel())
-                        tags.append(tag[lo:hi].astype(np.int8))
-            yield pa.RecordBatch.from_arrays([pa.array(chains, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int8()))], ["f", "t"])
-
-    got = drawn.select("doc_id", "text").mapInArrow(taught, "f array<int>, t array<tinyint>").toArrow()
-    chains = sorted(((np.asarray(f.values).reshape(-1, len(_SIZES)), np.asarray(t.values)) for f, t in zip(got.column("f"), got.column("t"), strict=True)), key=lambda x: x[0].tobytes())
-    if not any(t.any() for _, t in chains):
+            all_texts = b.column(0).to_pylist()
+            chains = [x for i, data, offsets in each(b.column(0)) for x in lessons(all_texts[i], data, offsets, reach)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f.astype(np.int32).ravel() for f, _, _ in chains], pa.list_(pa.int32())), pa.array([t for _, t, _ in chains], pa.list_(pa.int8())), pa.array([w for _, _, w in chains], pa.float64())],
+                ["f", "t", "w"],
+            )
+
+    got = drawn.select("text").mapInArrow(taught, "f array<int>, t array<tinyint>, w double").limit(8 * sample_rows).toArrow()
+    chains = sorted(
+        ((np.asarray(f.values).reshape(-1, len(_SIZES)), np.asarray(t.values), w.as_py()) for f, t, w in zip(got.column("f"), got.column("t"), got.column("w"), strict=True)),
+        key=lambda x: (x[0].tobytes(), x[1].tobytes(), x[2]),
+    )
+    if not any(t.any() for _, t, _ in chains):
         return None
-    return fit([c[0] for c in chains], [c[1] for c in chains])
+    chains = trusted_lessons(chains)
+    return fit([c[0] for c in chains], [c[1] for c in chains], np.array([c[2] for c in chains]))
+
+
+def field_spans(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) in code points of each secret that the field finds, whatever the patterns do."""
+    starts, ends, at, found = features(data, offsets)
+    tags = field.decode(found, at)
+    begin = np.flatnonzero(tags == BEGIN)
+    after = np.append(np.flatnonzero(tags != INSIDE), len(tags))
+    last = after[np.searchsorted(after, begin, "right")] - 1
+    text = np.searchsorted(at, begin, "right") - 1
+    code_at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    zero = code_at[offsets[text]]
+    return text, code_at[starts[begin]] - zero, code_at[ends[last]] - zero
+
+
+def _apart(start: int, end: int, starts: list[int], reached: list[int]) -> bool:
+    """Whether a span meets none of those that begin at starts (sorted), reached being the furthest end so far."""
+    k = bisect_left(starts, end)
+    return not k or reached[k - 1] <= start
 
 
-def scan_secrets(docs: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, sample_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     spans lists kind:start:end, in code points, by start: the patterns' spans, and of kind crf those that the field
@@ -282,18 +341,13 @@ def scan_secrets(docs: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_
             base = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in x) for x in spans]
             counts = [[sum(k == kind for _, k, _ in x) for x in spans] for kind in range(3)]
             for i, _, data, offsets in pieces(b.column(1)) if field else ():
-                starts, ends, at, found = features(data, offsets)
-                tags = field.decode(found, at)
-                for k in np.flatnonzero(tags == BEGIN):
-                    last = k
-                    while last + 1 < len(tags) and tags[last + 1] == INSIDE:
-                        last += 1
-                    row = int(np.searchsorted(at, k, "right")) - 1
-                    before = data[offsets[row] : starts[k]]
-                    s = int(((before & 0xC0) != 0x80).sum())
-                    e = s + int(((data[starts[k] : ends[last]] & 0xC0) != 0x80).sum())
-                    if all(e <= x or s >= y for x, kind, y in spans[i + row] if kind < 3):
-                        spans[i + row].append((s, 3, e))
+                before: dict[int, tuple[list[int], list[int]]] = {}
+                for row, start, end in zip(*(x.tolist() for x in field_spans(field, data, offsets)), strict=True):
+                    if row not in before:
+                        own = spans[i + row]
+                        before[row] = [x for x, _, _ in own], list(accumulate((y for _, _, y in own), max))
+                    if _apart(start, end, *before[row]):
+                        spans[i + row].append((start, 3, end))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), *(pa.array(c, pa.int64()) for c in counts),
