@@ -274,7 +274,7 @@ def trusted_lessons(chains: list[tuple[np.ndarray, np.ndarray, float]]) -> list[
     return [(f, t, w) for f, t, w in chains if not often[f[t == OUT, 0]].any()]
 
 
-def train(docs: DataFrame, sample_rows: int = 10_000, reach: int = 12) -> Field | None:
+def train(docs: DataFrame, sample_rows: int = 10_000, reach: int = 8) -> Field | None:
     """A field from the rows (doc_id, text) of a sample of about ``sample_rows`` texts, drawn by a hash of id and text,
     and at most 8 chains for each of them. None if the patterns find no secret in it. The chains, some kilobytes each,
     are all that comes to the driver."""
