@@ -103,7 +103,7 @@ def test_kalman_covariances(spark):
 
     rng = np.random.default_rng(1)
     y = np.cumsum(rng.normal(size=(40, 2)) * 0.1, axis=0) + rng.normal(size=(40, 2)) * 0.3
-    q, r, mean = estimate(y, 50)
+    (q,), (r,), (mean,) = estimate([y], 50)
     for m in (q, r):
         assert np.allclose(m, m.T) and (np.linalg.eigvalsh(m) > -1e-12).all()
     assert np.allclose(mean[0], y[0]) and np.abs(np.diff(mean, axis=0)).sum() < np.abs(np.diff(y, axis=0)).sum()

@@ -1,49 +1,77 @@
 """A two-dimensional local-level model of each track: expectation-maximisation of its covariances, then smoothing.
 
 State and observation are (lon, lat), both matrices the identity. The noise covariances Q and R start at 0.1 I; the
-first state is the first observation, known exactly. Each track's sample is a group of its own."""
+first state is the first observation, known exactly. A track's sample is one row, and the recursions run over all
+tracks of an Arrow batch side by side."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators.tracks import stride
 
-SCHEMA = "track_id {id}, direction string, n long, status string, q array<array<double>>, r array<array<double>>, lon array<double>, lat array<double>"
+#: Positions, filling included, that the recursions run over at a time.
+BLOCK = 200_000
+
+
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Inverses of (..., 2, 2) matrices, pseudo-inverses where they are singular."""
+    a, b, c, d = m[..., 0, 0], m[..., 0, 1], m[..., 1, 0], m[..., 1, 1]
+    det = a * d - b * c
+    singular = np.abs(det) <= 1e-15 * (m * m).sum((-2, -1))
+    out = np.stack([np.stack([d, -b], -1), np.stack([-c, a], -1)], -2) / np.where(singular, 1, det)[..., None, None]
+    if singular.any():
+        out[singular] = np.linalg.pinv(m[singular])
+    return out
 
 
-def _smooth(y: np.ndarray, q: np.ndarray, r: np.ndarray, x0: np.ndarray, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smoothed means, covariances, and the covariance of each state with the one before."""
-    n = len(y)
-    mean, cov, ahead = np.empty((n, 2)), np.empty((n, 2, 2)), np.empty((n, 2, 2))
-    for t in range(n):
+def _smooth(y: np.ndarray, n: np.ndarray, q: np.ndarray, r: np.ndarray, x0: np.ndarray, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smoothed means, covariances, and the covariance of each state with the one before, for y (steps, tracks, 2) of
+    which each track has n; what is beyond is filling."""
+    steps, tracks = y.shape[:2]
+    mean, cov, ahead = np.empty((steps, tracks, 2)), np.empty((steps, tracks, 2, 2)), np.empty((steps, tracks, 2, 2))
+    for t in range(steps):
         x, p = (x0, p0) if t == 0 else (mean[t - 1], cov[t - 1] + q)
         ahead[t] = p
-        gain = p @ np.linalg.pinv(p + r)
-        mean[t] = x + gain @ (y[t] - x)
+        gain = p @ _inverse(p + r)
+        mean[t] = x + (gain @ (y[t] - x)[..., None])[..., 0]
         cov[t] = p - gain @ p
-    lag = np.zeros((n, 2, 2))
-    for t in range(n - 2, -1, -1):
-        j = cov[t] @ np.linalg.pinv(ahead[t + 1])
-        mean[t] = mean[t] + j @ (mean[t + 1] - mean[t])
-        cov[t] = cov[t] + j @ (cov[t + 1] - ahead[t + 1]) @ j.T
-        lag[t + 1] = cov[t + 1] @ j.T
+    lag = np.zeros((steps, tracks, 2, 2))
+    for t in range(steps - 2, -1, -1):
+        on = np.flatnonzero(t < n - 1)
+        j = cov[t, on] @ _inverse(ahead[t + 1, on])
+        turned = j.swapaxes(-1, -2)
+        mean[t, on] += (j @ (mean[t + 1, on] - mean[t, on])[..., None])[..., 0]
+        cov[t, on] += j @ (cov[t + 1, on] - ahead[t + 1, on]) @ turned
+        lag[t + 1, on] = cov[t + 1, on] @ turned
     return mean, cov, lag
 
 
-def estimate(y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Q, R and the smoothed states after ``rounds`` rounds of expectation-maximisation."""
-    q, r, x0, p0 = np.eye(2) * 0.1, np.eye(2) * 0.1, y[0], np.zeros((2, 2))
+def estimate(samples: list[np.ndarray], rounds: int = 100) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Q, R (tracks, 2, 2) and the smoothed states after ``rounds`` rounds of expectation-maximisation, for samples (n, 2)
+    of two positions at least."""
+    n = np.array([len(s) for s in samples])
+    y = np.zeros((n.max(), len(n), 2))
+    for k, s in enumerate(samples):
+        y[: len(s), k] = s
+        y[len(s) :, k] = s[-1]
+    own = (np.arange(n.max())[:, None] < n)[..., None]
+    q = r = np.broadcast_to(np.eye(2) * 0.1, (len(n), 2, 2))
+    x0, p0 = y[0], np.zeros((len(n), 2, 2))
     for _ in range(rounds):
-        mean, cov, lag = _smooth(y, q, r, x0, p0)
-        step, miss = np.diff(mean, axis=0), y - mean
-        q = (step.T @ step + cov[1:].sum(0) + cov[:-1].sum(0) - lag[1:].sum(0) - lag[1:].sum(0).T) / (len(y) - 1)
-        r = (miss.T @ miss + cov.sum(0)) / len(y)
+        mean, cov, lag = _smooth(y, n, q, r, x0, p0)
+        step, miss, cov = np.diff(mean, axis=0) * own[1:], (y - mean) * own, cov * own[..., None]
+        lag, before = lag.sum(0), (cov[:-1] * own[1:, ..., None]).sum(0)
+        q = (np.einsum("tki,tkj->kij", step, step) + cov[1:].sum(0) + before - lag - lag.swapaxes(-1, -2)) / (n - 1)[:, None, None]
+        r = (np.einsum("tki,tkj->kij", miss, miss) + cov.sum(0)) / n[:, None, None]
         x0, p0 = mean[0], cov[0]
-    return q, r, _smooth(y, q, r, x0, p0)[0]
+    mean = _smooth(y, n, q, r, x0, p0)[0]
+    return q, r, [mean[: len(s), k] for k, s in enumerate(samples)]
 
 
 def kalman_em(tracks: DataFrame, step: int = 100, rounds: int = 100) -> DataFrame:
@@ -53,12 +81,25 @@ def kalman_em(tracks: DataFrame, step: int = 100, rounds: int = 100) -> DataFram
     """
     id_type = dict(tracks.dtypes)["track_id"]
     sampled = stride(tracks, step).withColumn("direction", F.lit("forward")).unionByName(stride(tracks, step, backwards=True).withColumn("direction", F.lit("reverse")))
+    one = F.array_sort(F.collect_list(F.struct("pos", "lon", "lat")))
+    rows = sampled.groupBy("track_id", "direction").agg(one.alias("y")).select("track_id", "direction", F.transform("y", lambda p: p["lon"]).alias("lon"), F.transform("y", lambda p: p["lat"]).alias("lat"))
 
-    def fitted(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("pos")[["lon", "lat"]].to_numpy()
-        if len(y) < 2:
-            return pd.DataFrame([[*key, len(y), "too_short", None, None, None, None]], columns=["track_id", "direction", "n", "status", "q", "r", "lon", "lat"])
-        q, r, mean = estimate(y, rounds)
-        return pd.DataFrame([[*key, len(y), "ok", q.tolist(), r.tolist(), mean[:, 0], mean[:, 1]]], columns=["track_id", "direction", "n", "status", "q", "r", "lon", "lat"])
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            samples = [np.stack([np.asarray(x.values), np.asarray(y.values)], 1) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            n = np.array([len(s) for s in samples])
+            out: list[tuple] = [("too_short", None, None, None, None)] * len(b)
+            order = [k for k in np.argsort(n, kind="stable") if n[k] > 1]
+            while order:  # the longest first, as many together as a block holds
+                some = order[-max(1, BLOCK // n[order[-1]]) :]
+                del order[-len(some) :]
+                q, r, means = estimate([samples[k] for k in some], rounds)
+                for i, k in enumerate(some):
+                    out[k] = ("ok", q[i].tolist(), r[i].tolist(), means[i][:, 0].tolist(), means[i][:, 1].tolist())
+            matrix, line = pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64())
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), matrix, matrix, line, line))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *columns], ["track_id", "direction", "n", "status", "q", "r", "lon", "lat"])
 
-    return sampled.select("track_id", "direction", "pos", "lon", "lat").groupBy("track_id", "direction").applyInPandas(fitted, SCHEMA.format(id=id_type))
+    return rows.mapInArrow(
+        fitted, f"track_id {id_type}, direction string, n long, status string, q array<array<double>>, r array<array<double>>, lon array<double>, lat array<double>"
+    )
