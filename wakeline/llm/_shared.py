@@ -44,10 +44,10 @@ def same_row(prefix: str) -> Column:
     return F.col("doc_id").eqNullSafe(F.col(f"{prefix}doc_id")) & (F.col("text_a") == F.col(f"{prefix}text_a")) & (F.col("text_b") == F.col(f"{prefix}text_b"))
 
 
-def near_keys(rows: DataFrame, key: Column, wanted: DataFrame, bits: int = 20) -> DataFrame:
+def near_keys(rows: DataFrame, key: Column, wanted: DataFrame, bits: int = 20, apart: bool = False) -> DataFrame:
     """The rows whose hash ``key`` ends in the same bits as a value of ``wanted``'s only column: all that have a partner
-    there and a few others. It leaves most rows where they are before an exact join that is shuffled. What is broadcast
-    is at most 2 ** bits numbers, whatever the data."""
+    there and a few others; with ``apart`` all the other rows. It leaves most rows where they are before an exact join
+    that is shuffled. What is broadcast is at most 2 ** bits numbers, whatever the data."""
     mask = F.lit((1 << bits) - 1)
     ends = wanted.select(F.col(wanted.columns[0]).bitwiseAND(mask).alias("__near")).distinct()
-    return rows.withColumn("__near", key.bitwiseAND(mask)).join(F.broadcast(ends), "__near", "left_semi").drop("__near")
+    return rows.withColumn("__near", key.bitwiseAND(mask)).join(F.broadcast(ends), "__near", "left_anti" if apart else "left_semi").drop("__near")

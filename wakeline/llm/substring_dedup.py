@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm._bytes import Rolling, each, pieces, words
-from wakeline.llm._shared import ROW, keep, same_row, texts, with_row_key
+from wakeline.llm._shared import ROW, keep, near_keys, same_row, texts, with_row_key
 
 _BYTES, _STRETCHES, _FINE, _FINE2, *_LEVELS = (Rolling(k) for k in range(1, 40))
 _PLACE_BITS = np.uint64(28)
@@ -121,6 +121,7 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     settled = live.join(stretches.where("times > 1").select(run, "stretch"), [run, "stretch"]).select(*ROW, "first", "n")
     mixed = stretches.groupBy(run).agg(F.count("*").alias("kinds")).where("kinds > 1").select(run)
     opened = stretches.join(keep(mixed, "mixed"), run).groupBy(*(F.col(f"one.{c}").alias(f"o_{c}") for c in ROW)).agg(F.collect_list(F.struct("one.first", "one.n", "times")).alias("spots"))
+    opened = keep(opened, "opened")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +137,7 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
                 )
 
     fine = keep(
-        rows.join(opened, same_row("o_")).select(*ROW, "text", "spots").mapInArrow(hashed, f"a long, b long, {row_type}, first int, times long"), "windows"
+        near_keys(rows, F.col("text_a"), opened.select("o_text_a")).join(opened, same_row("o_")).select(*ROW, "text", "spots").mapInArrow(hashed, f"a long, b long, {row_type}, first int, times long"), "windows"
     )
     twice = keep(fine.groupBy("a", "b").agg(F.sum("times").alias("total")).where("total > 1").select("a", "b"), "twice")
     single = fine.where("times = 1").hint("merge").join(twice, ["a", "b"]).select(*ROW, "first", F.lit(1).alias("n"))
@@ -154,7 +155,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """
     rows = with_row_key(texts(docs, id_col, text_col))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    spots = repeated_windows(rows, window)
+    spots = keep(repeated_windows(rows, window), "spots")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,6 +178,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    return rows.join(spots, same_row("s_"), "left").select("doc_id", "text", "spots").mapInArrow(
+    # texts are shuffled only where something may go from them
+    near, apart = (near_keys(rows, F.col("text_a"), spots.select("s_text_a"), apart=x) for x in (False, True))
+    found = near.join(spots, same_row("s_"), "left").select("doc_id", "text", "spots")
+    return found.unionByName(apart.select("doc_id", "text", F.lit(None).cast(spots.schema["spots"].dataType).alias("spots"))).mapInArrow(
         kept, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
