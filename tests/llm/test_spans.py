@@ -127,6 +127,23 @@ def test_clean_rows_stay_beside_contaminated_ones_of_the_same_id(spark):
     assert Counter(map(tuple, left.collect())) == Counter(d for d in docs if leak not in (d[1] or ""))
 
 
+def test_rows_without_an_id_are_judged_each_by_its_own_words(spark):
+    leak = "one two three four five six seven eight nine ten"
+    n = 5000
+    docs = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit(leak + " x"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("clean x"), F.col("id").cast("string"))).alias("text"))
+    got = find_contamination(docs, spark.createDataFrame([(1, leak)], "item_id long, text string")).groupBy("n_words", "n_hit", "contaminated").count().collect()
+    assert sorted(map(tuple, got)) == [(2, 0, False, n * 9 // 10), (11, 10, True, n // 10)]
+
+
+def test_shuffled_and_broadcast_benchmarks_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    items = spark.createDataFrame([(i, " ".join(rng.choices("abcdef", k=14))) for i in range(20)] + [(99, "z z")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefz", k=60))) for i in range(50)] + [(50 + i, r.text) for i, r in enumerate(items.collect())], "doc_id long, text string")
+    want = sorted(map(tuple, find_contamination(docs, items).collect()))
+    monkeypatch.setattr("wakeline.llm.decontamination.BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, find_contamination(docs, items).collect())) == want
+
+
 def shingles(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

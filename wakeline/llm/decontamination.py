@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm._shared import texts
+from wakeline.llm._shared import ROW, keep, near_keys, same_row, text_hashes, texts, with_row_key
 
 #: What separates words: ASCII other than digits and letters (applied to text with A-Z in lower case).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The benchmark's side of a join is broadcast up to this many rows; beyond, the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: The benchmark's side of a join is broadcast up to this many bytes; beyond, the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -40,41 +40,45 @@ def _places(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def with_prints(rows: DataFrame, window: int, gram: int, short: list[int] = []) -> DataFrame:  # noqa: B006
-    """rows with column prints for column h, the hashes of the words: a struct (print, at, len) for each window in turn.
+def prints_of(rows: DataFrame, window: int, gram: int, short: list[int] = []) -> DataFrame:  # noqa: B006
+    """rows with column prints for column h, the hashes of the words: for each length, first ``window``, then the short
+    ones, an array of its windows' prints in turn.
 
-    A window's print is the smallest hash of its k-grams. Each step is a column of its own, as an expression used
-    within a lambda would be evaluated for every element.
+    A window's print is the smallest hash of its k-grams, that of a short one the hash of its words. Each step is a
+    column of its own, as an expression used within a lambda would be evaluated for every element.
     """
     carry = [c for c in rows.columns if c != "h"]
     grams = F.transform(_places(F.size("h") - (gram - 1)), lambda i: F.xxhash64(F.slice("h", i, gram)))
-    stepped = rows.select("*", grams.alias("grams"))
-    of_windows = F.transform(
-        _places(F.size("grams") - (window - gram)),
-        lambda i: F.struct(F.array_min(F.slice("grams", i, window - gram + 1)).alias("print"), i.alias("at"), F.lit(window).alias("len")),
-    )
+    of_windows = F.transform(_places(F.size("grams") - (window - gram)), lambda i: F.array_min(F.slice("grams", i, window - gram + 1)))
 
     def of_length(n: int) -> Column:
         """Windows of n words; a function of its own, as Spark gives further parameters of a lambda a meaning."""
-        return F.transform(
-            _places(F.size("h") - (n - 1)),
-            lambda i: F.struct(F.xxhash64(F.slice("h", i, n), F.lit(n)).alias("print"), i.alias("at"), F.lit(n).alias("len")),
-        )
+        return F.transform(_places(F.size("h") - (n - 1)), lambda i: F.xxhash64(F.slice("h", i, n), F.lit(n)))
+
+    return rows.select("*", grams.alias("grams")).select(*carry, F.array(of_windows, *(of_length(n) for n in short)).alias("prints"))
+
+
+def _placed(prints: Column, lengths: list[int]) -> Column:
+    """The prints of all lengths as structs (print, at, len), at from 1."""
+
+    def of_length(k: int, n: int) -> Column:
+        return F.transform(prints[k], lambda p, i: F.struct(p.alias("print"), (i + 1).alias("at"), F.lit(n).alias("len")))
 
-    of_short = [of_length(n) for n in short]
-    return stepped.select(*carry, (F.concat(of_windows, *of_short) if short else of_windows).alias("prints"))
+    return F.concat(*(of_length(k, n) for k, n in enumerate(lengths)))
 
 
-def _with_size_check(side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+def _with_size_check(side: DataFrame, size: Column) -> DataFrame:
+    """side, to be broadcast if its rows of ``size`` bytes are small together."""
+    total = side.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(side) if total <= BROADCAST_BYTES else side
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     """item_id, len, print, words: every distinct window of every item; an item of fewer words is one window."""
     words = benchmark.select(F.col(id_col).alias("item_id"), words_of(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
     hashed = words.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    whole = with_prints(hashed.where(F.size("w") >= window), window, gram)
-    long = whole.select("item_id", "w", F.explode("prints").alias("p")).select(
+    whole = prints_of(hashed.where(F.size("w") >= window), window, gram)
+    long = whole.select("item_id", "w", F.explode(_placed(F.col("prints"), [window])).alias("p")).select(
         "item_id", "p.len", "p.print", F.expr("slice(w, p.at, p.len)").alias("words")
     )
     short = hashed.where(F.size("w").between(1, window - 1)).select(
@@ -93,58 +97,57 @@ def find_contamination(
     none. Of rows with the same doc_id, each is judged by its own words. An empty benchmark hits nothing, and an
     empty table of documents gives an empty result.
     """
-    return _found(docs, benchmark, window, gram, id_col, text_col, item_id_col, item_text_col).drop("text_hash")
+    rows = with_row_key(texts(docs, id_col, text_col))
+    found = _found(rows, benchmark, window, gram, item_id_col, item_text_col)
+    sized = rows.select(*ROW, F.size(words_of(ascii_lower(F.col("text")))).cast("long").alias("n_words"))
+    return sized.join(found, same_row("f_"), "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, id_col: str, text_col: str, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """find_contamination's rows with text_hash, which tells rows with the same doc_id apart."""
-    windows = benchmark_windows(benchmark.where(F.col(item_id_col).isNotNull()), window, gram, item_id_col, item_text_col).persist()
+def _found(rows: DataFrame, benchmark: DataFrame, window: int, gram: int, item_id_col: str, item_text_col: str) -> DataFrame:
+    """ROW (with f_ before the names), n_hit, n_items, items_sha256 for the keys of contaminated rows."""
+    windows = keep(benchmark_windows(benchmark.where(F.col(item_id_col).isNotNull()), window, gram, item_id_col, item_text_col), "windows")
     short = sorted(r["len"] for r in windows.where(F.col("len") < window).select("len").distinct().collect())
-    rows = texts(docs, id_col, text_col)
+    lengths = [window, *short]
 
-    known = _with_size_check(windows.select("print").distinct())
-    loose = rows.select("doc_id", F.transform(words_of(ascii_lower(F.col("text"))), lambda x: F.xxhash64(x)).alias("h"))
-    hits = (
-        with_prints(loose, window, gram, short)
-        .select("doc_id", F.explode(F.array_distinct(F.col("prints.print"))).alias("print"))
+    known = _with_size_check(windows.select("print").distinct(), F.lit(8))
+    loose = rows.select(*ROW, F.transform(words_of(ascii_lower(F.col("text"))), lambda x: F.xxhash64(x)).alias("h"))
+    hits = keep(
+        prints_of(loose, window, gram, short)
+        .select(*ROW, F.explode(F.array_distinct(F.flatten("prints"))).alias("print"))
         .join(known, "print", "left_semi")
-        .groupBy("doc_id").agg(F.collect_set("print").alias("hit_prints"))
-        .withColumnRenamed("doc_id", "hit_doc")
-    )
-    words = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left").select(
-        "doc_id", F.monotonically_increasing_id().alias("row_id"), F.xxhash64("text").alias("text_hash"), "hit_prints", words_of(ascii_lower(F.col("text"))).alias("w")
+        .groupBy(*(F.col(c).alias(f"h_{c}") for c in ROW)).agg(F.collect_set("print").alias("hit_prints")),
+        "hits",
     )
-    hashed = F.when(F.col("hit_prints").isNotNull(), F.transform("w", lambda x: F.xxhash64(x)))
+    # texts are shuffled only where they have hits, but for the few that share the last bits of a hash
+    near = near_keys(rows, F.col("text_a"), hits.select("h_text_a")).join(hits, same_row("h_"))
+    words = near.select(*ROW, "hit_prints", words_of(ascii_lower(F.col("text"))).alias("w"))
     judged = (
-        with_prints(words.withColumn("h", hashed), window, gram, short)
-        .select("*", F.filter("prints", lambda s: F.array_contains("hit_prints", s["print"])).alias("near"))
-        .select(
-            "doc_id", "row_id", "text_hash", F.size("w").cast("long").alias("n_words"),
-            F.transform("near", lambda s: F.struct(s["print"].alias("print"), s["at"].alias("at"), s["len"].alias("len"), F.slice("w", s["at"], s["len"]).alias("words"))).alias("found"),
-        )
+        prints_of(words.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))), window, gram, short)
+        .select(*ROW, "w", F.filter(_placed(F.col("prints"), lengths), lambda s: F.array_contains("hit_prints", s["print"])).alias("near"))
+        .select(*ROW, F.explode(F.transform("near", lambda s: F.struct(s["print"].alias("print"), s["at"].alias("at"), s["len"].alias("len"), F.slice("w", s["at"], s["len"]).alias("words")))).alias("f"))
     )
-    items = _with_size_check(windows.select("item_id", F.col("print").alias("i_print"), F.col("words").alias("i_words")))
+    items = windows.select("item_id", F.col("print").alias("i_print"), F.col("words").alias("i_words"))
+    items = _with_size_check(items, F.octet_length(F.array_join("i_words", "")) + 8 * F.size("i_words") + F.octet_length(F.col("item_id").cast("string")) + 16)
     same = (F.col("f.print") == F.col("i_print")) & (F.col("f.words") == F.col("i_words"))
     return (
-        judged.select("doc_id", "row_id", "text_hash", "n_words", F.explode_outer("found").alias("f"))
-        .join(items, same, "left")
-        .groupBy("doc_id", "row_id", "text_hash", "n_words")
-        .agg(
-            F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("f.at", "f.len"))).alias("spans"),
-            F.collect_set(F.col("item_id").cast("string")).alias("items"),
-        )
+        judged.join(items, same)
+        .groupBy(*(F.col(c).alias(f"f_{c}") for c in ROW))
+        .agg(F.collect_set(F.struct("f.at", "f.len")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
         .select(
-            "doc_id", "text_hash", "n_words",
+            *(f"f_{c}" for c in ROW),
             F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))).cast("long").alias("n_hit"),
             F.size("items").cast("long").alias("n_items"),
             F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         )
-        .withColumn("contaminated", F.col("n_hit") > 0)
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated documents, all columns kept; of rows with one doc_id only those go whose text is."""
-    bad = _found(docs, benchmark, window, gram, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct()
-    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")) & (own == F.col("__hash")), "left_anti")
+    """docs without the contaminated documents, all columns kept; of rows with one doc_id, or none, only those go whose text
+    is contaminated."""
+    bad = _found(with_row_key(texts(docs, id_col, text_col)), benchmark, window, gram, "item_id", "text").select(*(F.col(f"f_{c}").alias(f"__{c}") for c in ROW))
+    a, b = text_hashes(F.col(text_col))
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__doc_id")) & (a == F.col("__text_a")) & (b == F.col("__text_b")), "left_anti")
