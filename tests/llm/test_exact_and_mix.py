@@ -32,11 +32,25 @@ def test_exact_dedup_of_awkward_rows(awkward):
         assert sum(r.kept for r in found) == 1
 
 
-@pytest.mark.parametrize(("fan_in", "rounds"), [(2, 1), (3, 2), (8, 2)])
-def test_runs_of_any_shape_agree(awkward, fan_in, rounds):
-    of = lambda d: sorted((r.text_sha256, r.group_size) for r in d.collect())
+@pytest.mark.parametrize(("fan_in", "run_rows"), [(2, 20), (2, 2), (3, 3), (8, 1)])
+def test_runs_of_any_shape_agree(awkward, fan_in, run_rows):
+    of = lambda d: sorted(map(tuple, d.drop("keep_row").collect()), key=str)
     digests = digest_rows(awkward)
-    assert of(merge_runs(digests, fan_in, rounds)) == of(merge_runs(digests))
+    assert of(merge_runs(digests, fan_in, run_rows)) == of(merge_runs(digests))
+
+
+def test_runs_are_merged_in_small_batches(spark):
+    docs = spark.range(3000, numPartitions=7).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("x")).otherwise((F.col("id") % 500).cast("string")).alias("text"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = merge_runs(digest_rows(docs), 2, 1000).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    groups = {}
+    for i in range(3000):
+        groups.setdefault("x" if i % 3 == 0 else str(i % 500), []).append(i)
+    assert sorted((r.text_sha256, r.keep_id, r.group_size) for r in got) == sorted((hashlib.sha256(t.encode()).hexdigest(), min(i), len(i)) for t, i in groups.items())
 
 
 def test_dropping_copies_keeps_columns_and_one_row_each(awkward, nothing):
@@ -45,6 +59,12 @@ def test_dropping_copies_keeps_columns_and_one_row_each(awkward, nothing):
     assert exact_dedup(nothing).count() == 0 and drop_exact_copies(nothing).count() == 0
 
 
+def test_repeated_rows_without_a_text_stay_as_they_are(spark):
+    rows = [(1, None, "en"), (1, None, "en"), (None, "", "fr"), (2, "a b", "en"), (2, "a  b", "de"), (2, "a  b", "de"), (3, "ab", None)]
+    left = drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, None, "en"), (2, "a  b", "de")], key=str)
+
+
 def test_mix_of_awkward_rows(awkward, nothing):
     rows = mix_sources(awkward).collect()
     assert len(rows) == awkward.count() and mix_sources(nothing).count() == 0
