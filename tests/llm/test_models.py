@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -231,42 +232,63 @@ def test_severity_of_held_out_texts(spark, awkward, nothing):
         assert not any(r.toxic for r in toxicity.grade_toxicity(docs, none).collect())
 
 
-def test_probabilities_sum_to_one_and_both_paths_agree(spark):
+def kneser_ney(texts, order=quality_lm.ORDER):
+    """p(character, context) of the interpolated modified model in its textbook form, from the raw counts of texts."""
+    full = Counter()
+    for t in texts:
+        padded = (quality_lm.START,) * (order - 1) + tuple(int(c) for c in quality_lm.codes_of(t))
+        full.update(padded[i : i + order] for i in range(len(t)))
+    counts = {order: full}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts, of_context = {}, {}
+    for k, c in counts.items():
+        n = [sum(x == i for x in c.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        discounts[k] = [0.0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] and n[i + 1] else i * 0.5 for i in (1, 2, 3)]
+        for g, x in c.items():
+            total, given = of_context.get((k, g[:-1]), (0, 0.0))
+            of_context[k, g[:-1]] = total + x, given + discounts[k][min(x, 3)]
+
+    def p(c, context):
+        k = len(context) + 1
+        lower = p(c, context[1:]) if context else 1 / (len(counts[1]) + 1)
+        if (k, context) not in of_context:
+            return lower
+        total, given = of_context[k, context]
+        x = counts[k].get((*context, c), 0)
+        return (x - discounts[k][min(x, 3)]) / total + given / total * lower
+
+    return p, sorted({g[-1] for g in counts[1]})
+
+
+def test_perplexities_are_those_of_raw_counts_however_few_rows_are_hot(spark):
     rng = random.Random(1)
-    docs = spark.createDataFrame([(i, " ".join(rng.choices(["the", "then", "other", "né"], k=20)), "en") for i in range(60)], "doc_id long, text string, lang string")
-    model = quality_lm.train(docs.select("text")).collect()
-    p = {(r.k, r.gram): r.logp for r in model if r.logp is not None}
-    g = {(r.k, r.gram): r.gamma for r in model if r.gamma is not None}
-    rest = p[0, 0]
-
-    def logp(k, context, c):
-        if k == 0:
-            return rest
-        gram = (context << 16 | c) & (1 << 16 * k) - 1
-        if (k, gram) in p:
-            return p[k, gram]
-        return rest if k == 1 else g.get((k - 1, context & (1 << 16 * (k - 1)) - 1), 0.0) + logp(k - 1, context, c)
-
-    for context in ("the", " ot", "q z", "é t"):
-        number = 0
-        for c in context:
-            number = number << 16 | ord(c)
-        total = sum(math.exp(logp(4, number, gram)) for k, gram in p if k == 1) + math.exp(logp(4, number, 0xFFFE))
-        assert math.isclose(total, 1, rel_tol=1e-6)
-    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
-    a = {r.doc_id: r.perplexity for r in quality_lm.classify_quality(docs, labels).collect()}
-    b = {r.doc_id: r.perplexity for r in quality_lm.classify_quality(docs, labels, broadcast_rows=3).collect()}
-    assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-4) for i in a)
+    docs = [(i, " ".join(rng.choices(["the", "then", "other", "né", "中文", "\t"], k=20)), "en") for i in range(60)] + [(60, "never seen: XYZ", "en"), (61, "the", "en"), (61, "the", "en"), (None, "other then", None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    p, known = kneser_ney([t for i, t, _ in docs if i is not None and i < 40])
+    for context in ("the ", "é t ", "q zz", "thet"):
+        codes = tuple(int(c) for c in quality_lm.codes_of(context))
+        assert math.isclose(sum(p(c, codes) for c in known) + p(4095, codes), 1, rel_tol=1e-9)
+    model, rest = quality_lm.train(table.where("doc_id < 40").select("text"))
+    rows = table.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    want = {}
+    for r in rows.collect():
+        padded = (quality_lm.START,) * 4 + tuple(int(c) for c in quality_lm.codes_of(r.text))
+        want[r.row] = sum(math.log(p(padded[i + 4], padded[i : i + 4])) for i in range(len(r.text))) / len(r.text)
+    for hot in (1, 100, 500_000):
+        got = quality_lm.score(rows, model, rest, hot).collect()
+        assert len(got) == len(want) and all(math.isclose(r.logp / r.n, want[r.row], rel_tol=1e-9) for r in got)
 
 
 def test_quality_of_awkward_rows(spark, awkward, nothing):
     rng = random.Random(2)
-    good = [(i, " ".join(rng.choices(["plain", "words", "of", "trusted", "text"], k=40)), "en") for i in range(100)]
-    bad = [(i, "".join(rng.choices("QZX#@!%", k=200)), "fr") for i in range(100, 120)]
+    good = [(i, " ".join(rng.choices(["plain", "words", "of", "trusted", "text"], k=40)), "en") for i in range(600)]
+    bad = [(i, "".join(rng.choices("QZX#@!%", k=200)), "fr") for i in range(600, 620)]
     docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(80)] + [(None, 1)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i < 500)) for i in range(520)] + [(None, 1)], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality_lm.classify_quality(docs, labels).collect()}
-    assert not any(got[i].keep for i in range(100, 120)) and sum(got[i].keep for i in range(100)) >= 95
+    assert not any(got[i].keep for i in range(600, 620)) and sum(got[i].keep for i in range(600)) >= 0.95 * 600
     for marks in (labels, labels.limit(0)):
         odd = quality_lm.classify_quality(awkward, marks).collect()
         assert len(odd) == awkward.count() and all(r.keep in (True, False) for r in odd)

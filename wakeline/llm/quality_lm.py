@@ -1,12 +1,15 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-An n-gram of up to four characters is one 64-bit number, the last character lowest, so its context and its ending are
+An n-gram of up to five characters is one 64-bit number, the last character lowest, so its context and its ending are
 shifts and masks. Trusted texts are counted within each task first; counts of all orders then meet their contexts and
-shorter n-grams in joins that Spark shards by n-gram. Each text's perplexity is compared with a quantile of the
-trusted texts' perplexities in its own language.
-
-The table of probabilities is broadcast if it has at most ``BROADCAST_ROWS`` rows; beyond, each text's distinct
-n-grams are joined to it, order by order.
+shorter n-grams in joins that Spark shards by n-gram. The model is a table of what each n-gram adds to the logarithm of
+a character's probability, as the last one (gain) and as what stands before it (weight), so a text's logarithm is a sum
+of look-ups, each on its own.
+
+Each text's n-grams are counted and joined to this table, sharded by n-gram. Two things keep that join small, at every
+size alike: the ``hot_rows`` most frequent n-grams are added up before anything is sent, so no very frequent key is left
+in the join, and n-grams that are surely in no row of the table, by a bitmap of fixed size, are not sent. Each text's
+perplexity is compared with a quantile of the trusted texts' perplexities in its own language.
 """
 
 from __future__ import annotations
@@ -15,39 +18,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm._shared import keep
+from wakeline.llm._bytes import mix
+from wakeline.llm._shared import keep, near_keys
 
-ORDER, BITS = 4, 16
-START = 2
-BROADCAST_ROWS = 4_000_000
+ORDER, BITS = 5, 12
+START = 0
+#: Rows of the model that every task gets, and bits of the bitmap of all the others: bounds on what is broadcast.
+HOT_ROWS, MAP_BITS = 500_000, 26
 #: Characters worked on at a time; distinct n-grams that a task holds before it sends them.
 PIECE_CHARS, HELD = 1 << 20, 2_000_000
 _MASK = [np.uint64((1 << BITS * k) - 1) for k in range(ORDER + 1)]
+#: Where an n-gram's order stands in its key.
+_ORDER_AT = BITS * ORDER
+
+
+def codes_of(text: str) -> np.ndarray:
+    """A code of 12 bits for each character: its number below 2048, else a hash from 2048 on; any control or white space
+    character is a blank."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.where(c < 2048, np.maximum(c, 32), 2048 + (mix(c) & np.uint64(2047)))
 
 
 def _grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, end, n-grams of full order that end at each character, offsets by text) for pieces of the texts; any
-    white space is a blank, and what is beyond the basic plane is one character."""
+    """(first, end, n-grams of full order that end at each character, offsets by text) for pieces of the texts."""
     i = 0
     while i < len(texts):
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j]) <= PIECE_CHARS):
             size += len(texts[j])
             j += 1
-        pad = chr(START) * (ORDER - 1)
-        code = np.frombuffer((pad + pad.join(texts[i:j])).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        code[code > 0xFFFF] = 0xFFFD
-        code[(code >= 9) & (code <= 13)] = 32
-        gram = code[ORDER - 1 :].copy()
-        for k in range(1, ORDER):
-            gram |= code[ORDER - 1 - k : len(code) - k] << np.uint64(BITS * k)
         lengths = np.array([len(t) for t in texts[i:j]])
-        ends = np.cumsum(lengths + ORDER - 1) - (ORDER - 1)
-        real = np.concatenate([np.arange(e - n, e) for e, n in zip(ends, lengths, strict=True)]) if size else np.zeros(0, int)
-        yield i, j, gram[real], np.concatenate([[0], np.cumsum(lengths)])
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        place = np.arange(size) + np.repeat(np.arange(1, j - i + 1) * (ORDER - 1), lengths)
+        code = np.full(size + (j - i) * (ORDER - 1), START, np.uint64)
+        code[place] = codes_of("".join(texts[i:j]))
+        gram = np.zeros(size, np.uint64)
+        for k in range(ORDER):
+            gram |= code[place - k] << np.uint64(BITS * k)
+        yield i, j, gram, at
         i = j
 
 
@@ -76,15 +87,22 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """k, gram, logp, gamma for the texts of a column text: of each n-gram of order k that occurs, the logarithms of its
-    probability and of the weight that it, as a context, gives to shorter ones (null if it is none). k 0 is the rest:
-    logp is that of a character never seen."""
+def _key(k: int, gram: Column) -> Column:
+    return gram.bitwiseOR(F.lit(k << _ORDER_AT))
+
+
+def train(trusted: DataFrame) -> tuple[DataFrame, float] | None:
+    """The model for the texts of a column text: rows (key, gain, weight, heat), and the logarithm of the probability of
+    a character never seen; None without a text. key is an n-gram with its order. gain: what an n-gram that occurs adds
+    to the logarithm that its contexts' weights and its shorter endings give. weight: the logarithm of the weight that
+    it, as a context, gives to shorter ones. heat: how often it occurs."""
     mask = lambda k: F.lit((1 << BITS * k) - 1).cast("long")
     counts = {ORDER: keep(count_grams(trusted), "grams")}
+    if not counts[ORDER].limit(1).count():
+        return None
     for k in range(ORDER - 1, 0, -1):  # the number of different characters before it
         counts[k] = counts[k + 1].groupBy(F.col("gram").bitwiseAND(mask(k)).alias("gram")).agg(F.count("*").alias("n"))
-    found, backoff = None, None
+    found, rows, rest = None, None, 0.0
     for k in range(1, ORDER + 1):
         n1, n2, n3, n4, kinds = counts[k].agg(*[F.coalesce(F.sum((F.col("n") == i).cast("int")), F.lit(0)) for i in (1, 2, 3, 4)], F.count("*")).first()
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -92,129 +110,136 @@ def train(trusted: DataFrame) -> DataFrame:
         discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         # a context's key: the characters before the last
         keyed = counts[k].withColumn("context", F.shiftrightunsigned("gram", BITS)).withColumn("discount", discount)
-        contexts = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("given"))
+        contexts = keep(keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("given")), "contexts")
         share = (F.col("n") - F.col("discount")) / F.col("total")
         gamma = F.col("given") / F.col("total")
         joined = keyed.join(contexts, "context")
         if k == 1:
-            now = joined.select("gram", (share + gamma / (kinds + 1)).alias("p"))
-            rest = contexts.select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), F.log(gamma / (kinds + 1)).alias("logp"))
+            total, given = contexts.select("total", "given").first()  # one row: the empty context
+            rest = float(np.log(given / total / (kinds + 1)))
+            now = joined.select("gram", (share + gamma / (kinds + 1)).alias("p")).withColumn("gain", F.log("p") - rest)
         else:
             shorter = found.select(F.col("gram").alias("shorter"), F.col("p").alias("p_shorter"))
             now = joined.withColumn("shorter", F.col("gram").bitwiseAND(mask(k - 1))).join(shorter, "shorter").select(
-                "gram", (share + gamma * F.col("p_shorter")).alias("p")
+                "gram", (share + gamma * F.col("p_shorter")).alias("p"), (F.log(share + gamma * F.col("p_shorter")) - F.log(gamma * F.col("p_shorter"))).alias("gain")
             )
-            weights = contexts.select(F.lit(k - 1).alias("k"), F.col("context").alias("gram"), F.log(gamma).alias("gamma"))
-            backoff = weights if backoff is None else backoff.unionByName(weights)
+            weights = contexts.select(_key(k - 1, F.col("context")).alias("key"), F.lit(0.0).alias("gain"), F.log(gamma).alias("weight"), F.lit(0).cast("long").alias("heat"))
+            rows = rows.unionByName(weights)
         found = keep(now, f"order{k}")
-        logs = found.select(F.lit(k).alias("k"), "gram", F.log("p").alias("logp"))
-        rows = logs.unionByName(rest) if k == 1 else rows.unionByName(logs)
-    return keep(rows.join(backoff, ["k", "gram"], "full_outer"), "model")
-
-
-def _score_in_place(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, logp, n by a broadcast of the whole table."""
-    got = model.toArrow()
-    order, gram = got.column("k").to_numpy(), got.column("gram").to_numpy().view(np.uint64)
-    logp, gamma = (got.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("logp", "gamma"))
-    rest = float(logp[order == 0][0]) if (order == 0).any() else 0.0
-    tables = {}
-    for k in range(1, ORDER + 1):
-        for name, value in (("p", logp), ("g", gamma)):
-            use = (order == k) & ~np.isnan(value)
-            sort = np.argsort(gram[use])
-            tables[name, k] = gram[use][sort], value[use][sort].astype(np.float32)
-    shared = rows.sparkSession.sparkContext.broadcast(tables)
-
-    def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        names, values = table
-        if not len(names):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        return names[at] == keys, values[at]
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+        heat = counts[ORDER].groupBy(F.col("gram").bitwiseAND(mask(k)).alias("gram")).agg(F.sum("n").alias("heat"))
+        gains = found.join(heat, "gram").select(_key(k, F.col("gram")).alias("key"), "gain", F.lit(0.0).alias("weight"), "heat")
+        rows = gains if rows is None else rows.unionByName(gains)
+    return keep(rows.groupBy("key").agg(F.sum("gain").alias("gain"), F.sum("weight").alias("weight"), F.sum("heat").alias("heat")), "model"), rest
+
+
+def _bit(key, bits: int):
+    """The place of a key in the bitmap, for columns and arrays alike."""
+    if isinstance(key, Column):
+        return key.bitwiseXOR(F.shiftrightunsigned(key, 23)).bitwiseXOR(F.shiftrightunsigned(key, 41)).bitwiseAND(F.lit((1 << bits) - 1))
+    return (key ^ (key >> np.uint64(23)) ^ (key >> np.uint64(41))) & np.uint64((1 << bits) - 1)
+
+
+def _shared_parts(model: DataFrame, hot_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, gains, weights) of the most frequent rows, sorted by key, and the bitmap of the others: at most about
+    ``hot_rows`` rows and 2 ** MAP_BITS bits come to the driver, whatever the data."""
+    n = model.count()
+    cut = -1 if n <= hot_rows else model.agg(F.percentile_approx("heat", 1 - hot_rows / n, 10_000)).first()[0]
+    got = model.where(F.col("heat") > cut).limit(2 * hot_rows).select("key", "gain", "weight").toArrow().sort_by("key")
+    hot = [got.column(c).to_numpy() for c in ("key", "gain", "weight")]
+    bit = _bit(F.col("key"), MAP_BITS)
+    size = 1 << 15
+    marks = model.where(F.col("heat") <= cut).groupBy(F.floor(bit / size).alias("page")).agg(F.bitmap_construct_agg(bit % size).alias("bits"))
+    bitmap = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for r in marks.toLocalIterator():
+        bitmap[r.page * size // 8 : (r.page + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
+    return hot[0].view(np.uint64), hot[1], hot[2], bitmap
+
+
+def score(rows: DataFrame, model: DataFrame, rest: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """row, logp, n for the texts of rows (row, text): the sum of the logarithms of all characters, and their number."""
+    shared = rows.sparkSession.sparkContext.broadcast(_shared_parts(model, hot_rows))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, gains, weights, bitmap = shared.value
         for b in batches:
-            total, n = np.zeros(len(b)), np.zeros(len(b), np.int64)
-            for i, j, gram, at in _grams(b.column(2).to_pylist()):
+            row = b.column(0).to_numpy()
+            for i, j, gram, at in _grams(b.column(1).to_pylist()):
                 names, place = np.unique(gram, return_inverse=True)
-                value, open_ = np.zeros(len(names)), np.arange(len(names))
-                for k in range(ORDER, 0, -1):
-                    keys = names[open_] & _MASK[k]
-                    hit, p = look(t["p", k], keys)
-                    value[open_[hit]] += p[hit]
-                    open_, keys = open_[~hit], keys[~hit]
-                    if k > 1:
-                        known, g = look(t["g", k - 1], keys >> np.uint64(BITS))
-                        value[open_] += np.where(known, g, 0)
-                value[open_] += rest
+                value = np.full(len(names), rest)
+                open_ = []  # (n-gram's number, key, whether as a context) of what is not among the hot rows
+                for k in range(1, ORDER + 1):
+                    for before in (False, True) if k < ORDER else (False,):
+                        keys = ((names >> np.uint64(BITS)) if before else names) & _MASK[k] | np.uint64(k << _ORDER_AT)
+                        spot = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
+                        hit = hot[spot] == keys if len(hot) else np.zeros(len(keys), bool)
+                        value[hit] += (weights if before else gains)[spot[hit]]
+                        bit = _bit(keys, MAP_BITS)
+                        left = np.flatnonzero(~hit & ((bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0))
+                        open_.append((left, keys[left], before))
                 sums = np.concatenate([[0], np.cumsum(value[place])])
-                total[i:j], n[i:j] = sums[at[1:]] - sums[at[:-1]], np.diff(at)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), pa.array(n)], ["doc_id", "lang", "logp", "n"])
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "lang", "text").mapInArrow(scored, f"doc_id {id_type}, lang string, logp double, n long")
-
-
-def _perplexities_by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """row_id, logp, n by joins of each text's distinct n-grams to the sharded table."""
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, _, gram, at in _grams(b.column(1).to_pylist()):
-                for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    names, n = np.unique(gram[s:e], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(names), i + k))), pa.array(names.view(np.int64)), pa.array(n)], ["row_id", "gram", "times"])
-
-    table = model.select(F.col("k").alias("m_k"), F.col("gram").alias("m_gram"), "logp", "gamma")
-    rest = model.where("k = 0").select(F.col("logp").alias("rest"))
-    left = rows.select("row_id", "text").mapInArrow(distinct, "row_id long, gram long, times long").withColumn("sum", F.lit(0.0))
-    done = None
-    for k in range(ORDER, 0, -1):
-        own = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1).cast("long")) if k < ORDER else F.col("gram")
-        of = lambda kk: table.where(F.col("m_k") == kk)
-        joined = left.withColumn("own", own).join(of(k).select("m_gram", "logp"), F.col("own") == F.col("m_gram"), "left").drop("m_gram")
-        hit = joined.where("logp is not null").select("row_id", "times", (F.col("sum") + F.col("logp")).alias("sum"))
-        done = hit if done is None else done.unionByName(hit)
-        left = joined.where("logp is null").drop("logp")
-        if k > 1:
-            left = left.withColumn("context", F.shiftrightunsigned("own", BITS)).join(of(k - 1).select("m_gram", "gamma"), F.col("context") == F.col("m_gram"), "left").select(
-                "row_id", "gram", "times", (F.col("sum") + F.coalesce("gamma", F.lit(0.0))).alias("sum")
+                n = np.diff(at)
+                zero = np.zeros(j - i, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(row[i:j]), pa.array(row[i:j]), pa.array(zero), pa.array(zero), pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(n)], ["row", "key", "last", "before", "logp", "n"])
+                if any(len(x) for x, _, _ in open_):
+                    yield from _to_join(row[i:j], place, np.repeat(np.arange(j - i), n), open_, len(names))
+
+    def _to_join(row: np.ndarray, place: np.ndarray, text: np.ndarray, open_: list, n_names: int) -> Iterator[pa.RecordBatch]:
+        """The keys of each text that are to be joined, each once."""
+        for left, keys, before in open_:
+            number = np.full(n_names, -1)
+            number[left] = np.arange(len(left))
+            use = np.flatnonzero(number[place] >= 0)
+            if not len(use):
+                continue
+            distinct, spot = np.unique(keys, return_inverse=True)
+            pair, times = np.unique(text[use] * len(distinct) + spot[number[place[use]]], return_counts=True)
+            times, none = times.astype(np.int32), np.zeros(len(pair), np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[pair // len(distinct)]), pa.array(distinct[pair % len(distinct)].view(np.int64)), pa.array(none if before else times), pa.array(times if before else none), pa.array(np.zeros(len(pair))), pa.array(np.zeros(len(pair), np.int64))],
+                ["row", "key", "last", "before", "logp", "n"],
             )
-    unseen = left.join(F.broadcast(rest)).select("row_id", "times", (F.col("sum") + F.col("rest")).alias("sum"))
-    return done.unionByName(unseen).groupBy("row_id").agg(F.sum(F.col("sum") * F.col("times")).alias("logp"), F.sum("times").alias("n"))
+
+    asked = rows.select("row", "text").mapInArrow(counted, "row long, key long, last int, before int, logp double, n long")
+    # a text's own sum has the row as its key and counts nothing there
+    found = asked.join(model.select("key", "gain", "weight").hint("shuffle_hash"), "key", "left")
+    added = F.col("logp") + F.col("last") * F.coalesce("gain", F.lit(0.0)) + F.col("before") * F.coalesce("weight", F.lit(0.0))
+    return found.groupBy("row").agg(F.sum(added).alias("logp"), F.sum("n").alias("n"))
 
 
 def classify_quality(
-    docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.1, broadcast_rows: int = BROADCAST_ROWS,
+    docs: DataFrame, labels: DataFrame, quantile: float = 0.99, hot_rows: int = HOT_ROWS,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trust_col: str = "quality",
 ) -> DataFrame:
     """Per row of docs: doc_id, perplexity, threshold, keep.
 
     Trusted are the rows that a label has trust_col 1 for; one in five of them, by a hash of the id, does not train the
-    model but sets the thresholds. A row is kept if its perplexity is at most its language's threshold, ``slack`` times
-    the quantile of these rows in that language; a language without any takes the quantile of all of them. A null or empty text has no perplexity and is not kept; a null language is a language of its
-    own; without trusted rows nothing has a perplexity and nothing is kept. Rows with the same doc_id are judged each
-    for itself. An empty table gives an empty result.
+    model but sets the thresholds. A row is kept if its perplexity is at most its language's threshold, the quantile of
+    these rows in that language; a language without any takes the quantile of all of them. A null or empty text has no
+    perplexity and is not kept; a null language is a language of its own; without trusted rows nothing has a perplexity
+    and nothing is kept. Rows with the same doc_id are judged each for itself; control characters count as blanks, and
+    characters from number 2048 on share 2048 codes. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     trusted_ids = labels.where(F.col(trust_col) == 1).select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
     sets_limit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(5)) == 0
-    model = train(rows.where("text != ''").hint("merge").join(trusted_ids.where(~sets_limit), "doc_id", "left_semi").select("text"))
-    if model.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        scored = _score_in_place(rows, model)
+    teachers = keep(trusted_ids.where(~sets_limit), "teachers")
+    # texts are shuffled to their labels only where there may be one
+    near = near_keys(rows.where("text != '' and doc_id is not null"), F.xxhash64("doc_id"), teachers.select(F.xxhash64("doc_id")))
+    made = train(near.hint("merge").join(teachers, "doc_id", "left_semi").select("text"))
+    # rows alike in id and text share their sums, which leaves their mean
+    row = F.xxhash64(F.col("doc_id"), F.col("text"))
+    scored = rows.select("doc_id", "lang", row.alias("row"))
+    if made is None:
+        scored = scored.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
     else:
-        stored = keep(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-        sums = _perplexities_by_join(stored, model)
-        scored = stored.drop("text").join(sums, "row_id", "left").drop("row_id")
-    trained = model.where("k = 0").limit(1).count() > 0
-    scored = keep(scored.select("doc_id", "lang", F.when(F.lit(trained) & (F.col("n") > 0), F.exp(-F.col("logp") / F.col("n"))).alias("perplexity")), "perplexities")
+        sums = score(rows.select(row.alias("row"), "text"), *made, hot_rows)
+        scored = scored.join(sums, "row", "left").select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
+    scored = keep(scored, "perplexities")
     judged = scored.join(trusted_ids.where(sets_limit), "doc_id", "left_semi").where("perplexity is not null")
     limits = judged.groupBy(F.col("lang").alias("t_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
     overall = judged.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("overall"))
     return (
         scored.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")), "left").join(F.broadcast(overall))
-        .select("doc_id", "perplexity", (F.coalesce("own", "overall") * slack).alias("threshold"))
+        .select("doc_id", "perplexity", F.coalesce("own", "overall").alias("threshold"))
         .withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
     )
