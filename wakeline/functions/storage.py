@@ -22,11 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def fresh_path(spark: SparkSession, hint: str = "table") -> str:
+    """A path in the shared folder that nothing has been written to; forget deletes what is written there."""
+    path = f"{shared_dir(spark)}/wakeline-{hint}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def settle(df: DataFrame, hint: str = "table") -> DataFrame:
     """df written to the shared folder and read back: lineage ends here, later uses see the same rows and any machine may
     be lost."""
-    path = f"{shared_dir(df.sparkSession)}/wakeline-{hint}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = fresh_path(df.sparkSession, hint)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.storage import settle
 
-# Tags of areas and ways that are water, tags to be swept out, and the viewer's line colours.
+# Tags of areas and ways that are water, and tags to be swept out.
 AREA_TAGS_INCLUDE = {
     "natural": ["bay", "cape", "isthmus", "strait", "water"],
     "place": ["island", "islet", "sea", "ocean"],
@@ -183,6 +183,11 @@ def replace_rows(rows: DataFrame, old: DataFrame, new: DataFrame, key: str = "id
     return rows.join(gone, key, "left_anti").unionByName(new)
 
 
+def repeated_ids(rows: DataFrame, key: str = "id") -> DataFrame:
+    """The keys that more than one row has, and how many: what an upsert would replace."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def remove_by_id(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_anti")
 

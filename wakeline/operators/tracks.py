@@ -44,8 +44,9 @@ def slice_segments(tracks: DataFrame, segments: DataFrame) -> DataFrame:
     is on (block[, track]) and is broadcast only if Spark finds the table of segments small.
     """
     block = 4096
-    keyed = segments.where("last >= first and last >= 0").withColumn(
-        "__block", F.explode(F.sequence(F.floor(F.greatest(F.col("first"), F.lit(0)) / block), F.floor(F.col("last") / block)))
+    most = tracks.agg(F.coalesce(F.max("row_id"), F.lit(-1))).first()[0]  # an open end makes no blocks beyond the tracks' own
+    keyed = segments.where(f"last >= first and last >= 0 and first <= {most}").withColumn(
+        "__block", F.explode(F.sequence(F.floor(F.greatest(F.col("first"), F.lit(0)) / block), F.floor(F.least(F.col("last"), F.lit(most)) / block)))
     )
     on = ["__block"] + ([TRACK] if TRACK in segments.columns else [])
     return tracks.withColumn("__block", F.floor(F.col("row_id") / block)).join(keyed, on).where("row_id between first and last").drop("__block", "first", "last")

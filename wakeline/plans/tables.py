@@ -72,17 +72,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def area_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """area_id, ring, node_id of the suppliers' items that went out in one month."""
-    return _area_nodes_of(table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1995-03-01 00:00:00' and l_shipdate < timestamp_ntz'1995-04-01 00:00:00'"))
-
-
-def all_area_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """area_id, ring, node_id of all items of the suppliers."""
-    return _area_nodes_of(table(spark, sf_dir, "lineitem"))
-
-
-def _area_nodes_of(lines: DataFrame) -> DataFrame:
-    return lines.select(F.col("l_suppkey").alias("area_id"), F.when(F.col("l_linenumber") > 3, 1).otherwise(0).alias("ring"), F.col("l_partkey").alias("node_id"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("area_id"), F.when(F.col("l_linenumber") > 3, 1).otherwise(0).alias("ring"), F.col("l_partkey").alias("node_id"))
 
 
 def rectangle(x0, y0, x1, y1):
@@ -104,8 +95,8 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def border_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """way_id, points: by turns along a rectangle's lower side, across it, and along the side and beyond."""
-    rect = rectangles(spark, sf_dir).where("area_id <= 10")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("way_id"), (F.col("p_partkey") % 10 + 1).alias("area_id"))
+    rect = rectangles(spark, sf_dir)
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("way_id"), (F.col("p_partkey") % 100 + 1).alias("area_id"))
     p = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
     x0, y0, w, h = F.col("x0"), F.col("y0"), F.col("w"), F.col("h")
     points = (

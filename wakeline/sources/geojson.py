@@ -82,10 +82,10 @@ def model_tables(features: DataFrame) -> dict[str, DataFrame]:
 def read_geometries(spark: SparkSession, path: str) -> DataFrame:
     """ord, id, geom_type, coordinates of the bare geometries of a GeometryCollection: polygons and lines, ids from 0."""
     docs = spark.read.schema("geometries array<struct<type:string, coordinates:string>>").option("multiLine", True).json(path)
-    parts = docs.select(F.posexplode("geometries").alias("ord", "g")).where("g.type in ('Polygon', 'LineString')")
+    parts = docs.select(F.col("_metadata.file_path").alias("src"), F.posexplode("geometries").alias("ord", "g")).where("g.type in ('Polygon', 'LineString')")
     from wakeline.operators.features import renumber
 
-    return renumber(parts.select("ord", F.col("g.type").alias("geom_type"), F.col("g.coordinates").alias("coordinates")), "ord")
+    return renumber(parts.select("src", "ord", F.col("g.type").alias("geom_type"), F.col("g.coordinates").alias("coordinates")), "src", "ord").drop("src")
 
 
 def _number(value: Column) -> Column:
@@ -168,12 +168,31 @@ def write_lines(features: DataFrame, path: str, *order: str) -> None:
     features.repartitionByRange(*order).sortWithinPartitions(*order).select("feature").write.text(path)
 
 
-def documents(features: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """group, document: one FeatureCollection for each group, as one string; for documents that fit into a row."""
+def documents(features: DataFrame, group: list[str], order: list[str], most_bytes: int = 1 << 30) -> DataFrame:
+    """group, document: one FeatureCollection for each group, as one string. A document is a row, so one of more than
+    ``most_bytes`` is an error; write_lines has no such bound."""
+    large = features.groupBy(*group).agg(F.sum(F.octet_length("feature") + 2).alias("size")).where(F.col("size") > most_bytes).first()
+    if large:
+        raise ValueError(f"a document of {large['size']} bytes: write its features on lines of their own")
     inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "feature"))), lambda s: s["feature"]), ", ")
     return features.groupBy(*group).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), inner, F.lit("]}")).alias("document"))
 
 
+def write_documents(features: DataFrame, path: str, group: list[str], order: list[str], name: Column) -> None:
+    """A file for each group's document in the folder ``path``, named by ``name``, an expression of the group's columns.
+    The tasks write them; the driver renames one file a document."""
+    from urllib.parse import unquote
+
+    spark, staged = features.sparkSession, f"{path}/_staged"
+    documents(features, group, order).select(name.alias("file"), "document").repartition("file").write.partitionBy("file").text(staged)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(staged)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for one in fs.globStatus(jvm.org.apache.hadoop.fs.Path(staged, "file=*/part-*")):
+        fs.rename(one.getPath(), jvm.org.apache.hadoop.fs.Path(path, unquote(one.getPath().getParent().getName().removeprefix("file="))))
+    fs.delete(folder, True)
+
+
 def write_segment_csv(sliced: DataFrame, path: str, group: list[str]) -> None:
     """time,lat,lon files of each group, in folders by group."""
     sliced.select(*group, time_text(F.col("time_ns")).alias("time"), "lat", "lon").repartition(*group).sortWithinPartitions(*group, "time").write.partitionBy(*group).option("header", True).csv(path)

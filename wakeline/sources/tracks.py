@@ -15,13 +15,14 @@ def _value(name: str) -> Column:
     return F.when(~F.lower(F.trim(name)).isin(*NULLS), F.trim(name))
 
 
-def read_tracks(spark: SparkSession, path: str, coerce: bool = True) -> DataFrame:
-    """track_id (the file's name up to its first dot), time_ns, lat, lon of one file, a folder's .csv files or a glob.
+def read_tracks(spark: SparkSession, path: str, coerce: bool = True, only: str | None = "*.csv") -> DataFrame:
+    """track_id (the file's name up to its first dot), time_ns, lat, lon of one file, a folder's .csv files or a glob;
+    with ``only`` another pattern of names, or None, all of a folder's files.
 
     Empty fields, blanks and null in any case are missing. A time that is none is missing, too, or with coerce unset
-    an error. Times are text with up to nine decimals or whole nanoseconds. Columns beyond the three are not read.
+    an error. Times are text with up to nine decimals or whole nanoseconds. A file with other columns is an error.
     """
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").schema("time string, lat string, lon string").option("enforceSchema", False).csv(path)
+    raw = spark.read.option("header", True).options(**({"pathGlobFilter": only} if only else {})).schema("time string, lat string, lon string").option("enforceSchema", False).csv(path)
     text = _value("time")
     time_ns = F.when(text.rlike("^-?[0-9]+$"), text.try_cast("long")).otherwise(time_from_text(text))
     if not coerce:
