@@ -7,8 +7,8 @@ a character's probability, as the last one (gain) and as what stands before it (
 of look-ups, each on its own.
 
 Each text's n-grams are counted and joined to this table, sharded by n-gram. Two things keep that join small, at every
-size alike: the ``hot_rows`` most frequent n-grams are added up before anything is sent, so no very frequent key is left
-in the join, and n-grams that are surely in no row of the table, by a bitmap of fixed size, are not sent. Each text's
+size alike: n-grams that are more than ``hot_share`` of all are added up before anything is sent, so no very frequent key
+is left in the join and its rows grow with the text, and n-grams that are surely in no row of the table, by a bitmap of fixed size, are not sent. Each text's
 perplexity is compared with a quantile of the trusted texts' perplexities in its own language.
 """
 
@@ -26,8 +26,9 @@ from wakeline.llm._shared import keep, near_keys
 
 ORDER, BITS = 5, 12
 START = 0
-#: Rows of the model that every task gets, and bits of the bitmap of all the others: bounds on what is broadcast.
-HOT_ROWS, MAP_BITS = 500_000, 26
+#: Least share of an order's occurrences for a row of the model that every task gets, at most ORDER / HOT_SHARE rows of 24
+#: bytes, whatever the data; bits of the bitmap of all the others.
+HOT_SHARE, MAP_BITS = 1 / 3_000_000, 26
 #: Characters worked on at a time; distinct n-grams that a task holds before it sends them.
 PIECE_CHARS, HELD = 1 << 20, 2_000_000
 _MASK = [np.uint64((1 << BITS * k) - 1) for k in range(ORDER + 1)]
@@ -139,25 +140,24 @@ def _bit(key, bits: int):
     return (key ^ (key >> np.uint64(23)) ^ (key >> np.uint64(41))) & np.uint64((1 << bits) - 1)
 
 
-def _shared_parts(model: DataFrame, hot_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, gains, weights) of the most frequent rows, sorted by key, and the bitmap of the others: at most about
-    ``hot_rows`` rows and 2 ** MAP_BITS bits come to the driver, whatever the data."""
-    n = model.count()
-    cut = -1 if n <= hot_rows else model.agg(F.percentile_approx("heat", 1 - hot_rows / n, 10_000)).first()[0]
-    got = model.where(F.col("heat") > cut).limit(2 * hot_rows).select("key", "gain", "weight").toArrow().sort_by("key")
+def _shared_parts(model: DataFrame, hot_share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, gains, weights) of the most frequent rows, sorted by key, and the bitmap of the others: at most
+    ORDER / ``hot_share`` rows and 2 ** MAP_BITS bits come to the driver, as the heats of an order add up to all characters."""
+    cut = hot_share * model.agg(F.sum("heat")).first()[0] / ORDER
+    got = model.where(F.col("heat") >= cut).select("key", "gain", "weight").toArrow().sort_by("key")
     hot = [got.column(c).to_numpy() for c in ("key", "gain", "weight")]
     bit = _bit(F.col("key"), MAP_BITS)
     size = 1 << 15
-    marks = model.where(F.col("heat") <= cut).groupBy(F.floor(bit / size).alias("page")).agg(F.bitmap_construct_agg(bit % size).alias("bits"))
+    marks = model.where(F.col("heat") < cut).groupBy(F.floor(bit / size).alias("page")).agg(F.bitmap_construct_agg(bit % size).alias("bits"))
     bitmap = np.zeros((1 << MAP_BITS) // 8, np.uint8)
     for r in marks.toLocalIterator():
         bitmap[r.page * size // 8 : (r.page + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
     return hot[0].view(np.uint64), hot[1], hot[2], bitmap
 
 
-def score(rows: DataFrame, model: DataFrame, rest: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+def score(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT_SHARE) -> DataFrame:
     """row, logp, n for the texts of rows (row, text): the sum of the logarithms of all characters, and their number."""
-    shared = rows.sparkSession.sparkContext.broadcast(_shared_parts(model, hot_rows))
+    shared = rows.sparkSession.sparkContext.broadcast(_shared_parts(model, hot_share))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, gains, weights, bitmap = shared.value
@@ -207,7 +207,7 @@ def score(rows: DataFrame, model: DataFrame, rest: float, hot_rows: int = HOT_RO
 
 
 def classify_quality(
-    docs: DataFrame, labels: DataFrame, quantile: float = 0.99, hot_rows: int = HOT_ROWS,
+    docs: DataFrame, labels: DataFrame, quantile: float = 0.99, hot_share: float = HOT_SHARE,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trust_col: str = "quality",
 ) -> DataFrame:
     """Per row of docs: doc_id, perplexity, threshold, keep.
@@ -232,7 +232,7 @@ def classify_quality(
     if made is None:
         scored = scored.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
     else:
-        sums = score(rows.select(row.alias("row"), "text"), *made, hot_rows)
+        sums = score(rows.select(row.alias("row"), "text"), *made, hot_share)
         scored = scored.join(sums, "row", "left").select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
     scored = keep(scored, "perplexities")
     judged = scored.join(trusted_ids.where(sets_limit), "doc_id", "left_semi").where("perplexity is not null")
