@@ -11,6 +11,7 @@ from wakeline.llm.jaccard_join import jaccard_classes
 from wakeline.llm.language_id import identify
 from wakeline.llm.mixing import mix_sources
 from wakeline.llm.quality_lm import classify_quality
+from wakeline.llm.resampling import resample
 from wakeline.llm.secret_scan import scan_secrets
 from wakeline.llm.substring_dedup import remove_repeats
 from wakeline.llm.token_counts import count_tokens
@@ -59,7 +60,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op9_quality_classifier, op10_jaccard_join)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op9_quality_classifier, op10_jaccard_join, op13_importance_resampling)}
 
 ORACLE_SQL = {
     "op4_substring_dedup": r"""
@@ -132,4 +137,41 @@ ORACLE_SQL = {
         )
         SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - prefix)) AS BIGINT) AS taken FROM p
     """,
+    "op13_importance_resampling": r"""
+        WITH bit AS (
+            SELECT list(c ORDER BY i) AS crc FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) t(i)
+            )
+        ), dw AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), bw AS (
+            SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), df AS (
+            SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM dw
+        ), bf AS (
+            SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM bw
+        ), hashed AS (
+            SELECT gram, xor(list_reduce(
+                list_prepend(4294967295, list_transform(range(0, strlen(gram)), lambda i: CAST('0x' || hex(encode(gram))[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+                lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1])
+            ), 4294967295) % 10000 AS bucket
+            FROM (SELECT gram FROM df UNION SELECT gram FROM bf), bit
+        ), s AS (
+            SELECT bucket, count(*) AS s FROM df JOIN hashed USING (gram) GROUP BY bucket
+        ), t AS (
+            SELECT bucket, count(*) AS t FROM bf JOIN hashed USING (gram) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+            FROM s LEFT JOIN t USING (bucket)
+        ), weights AS (
+            SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS gain FROM df JOIN hashed USING (gram) JOIN gains USING (bucket) GROUP BY doc_id
+        ), scored AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (gain - ((gain % n) + n) % n) // n ELSE 0 END AS weight,
+                CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+            FROM dw LEFT JOIN weights USING (doc_id)
+        ), drawn AS (
+            SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) END AS place FROM scored
+        )
+        SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN place <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank FROM drawn
+    """,
 }
