@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.llm._shared import table
+from wakeline.llm.collocations import mine_phrases
 from wakeline.llm.decontamination import find_contamination
 from wakeline.llm.exact_dedup import exact_dedup
 from wakeline.llm.jaccard_join import jaccard_classes
@@ -64,7 +65,11 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op9_quality_classifier, op10_jaccard_join, op13_importance_resampling)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op9_quality_classifier, op10_jaccard_join, op13_importance_resampling, op12_collocations)}
 
 ORACLE_SQL = {
     "op4_substring_dedup": r"""
@@ -147,9 +152,9 @@ ORACLE_SQL = {
         ), bw AS (
             SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
         ), df AS (
-            SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM dw
+            SELECT doc_id, unnest(list_concat(w, list_transform(list_zip(w, w[2:], true), lambda x: x[1] || ' ' || x[2]))) AS gram FROM dw
         ), bf AS (
-            SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM bw
+            SELECT unnest(list_concat(w, list_transform(list_zip(w, w[2:], true), lambda x: x[1] || ' ' || x[2]))) AS gram FROM bw
         ), hashed AS (
             SELECT gram, xor(list_reduce(
                 list_prepend(4294967295, list_transform(range(0, strlen(gram)), lambda i: CAST('0x' || hex(encode(gram))[2 * i + 1 : 2 * i + 2] AS BIGINT))),
@@ -174,4 +179,34 @@ ORACLE_SQL = {
         )
         SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN place <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank FROM drawn
     """,
+    "op12_collocations": r"""
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents
+        ), word AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+        ), gram AS (
+            SELECT lang, 1 AS size, unnest(w) AS phrase FROM word
+            UNION ALL SELECT lang, 2, unnest(list_transform(list_zip(w, w[2:], true), lambda x: x[1] || ' ' || x[2])) FROM word
+            UNION ALL SELECT lang, 3, unnest(list_transform(list_zip(w, w[2:], w[3:], true), lambda x: x[1] || ' ' || x[2] || ' ' || x[3])) FROM word
+        ), f AS (
+            SELECT lang, size, phrase, count(*) AS f FROM gram GROUP BY ALL
+        ), n AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+        ), cand AS (
+            SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10
+        ), cut AS (
+            SELECT lang, phrase, size, a, k, l, r, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score
+            FROM (SELECT lang, phrase, size, a, k, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM cand))
+            JOIN (SELECT lang, phrase AS first_part, f AS l FROM f WHERE f >= 10) USING (lang, first_part)
+            JOIN (SELECT lang, phrase AS rest, f AS r FROM f WHERE f >= 10) USING (lang, rest)
+        ), low AS (
+            SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inner_part AS (
+            SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM cand WHERE size = 3) GROUP BY ALL
+        ), kept AS (
+            SELECT low.* FROM low LEFT JOIN inner_part USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }
