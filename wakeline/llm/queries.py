@@ -16,6 +16,7 @@ from wakeline.llm.resampling import resample
 from wakeline.llm.secret_scan import scan_secrets
 from wakeline.llm.substring_dedup import remove_repeats
 from wakeline.llm.token_counts import count_tokens
+from wakeline.llm.token_files import tokens_to_files
 from wakeline.llm.toxicity import grade_toxicity
 
 
@@ -69,7 +70,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op9_quality_classifier, op10_jaccard_join, op13_importance_resampling, op12_collocations)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_language_id, op4_substring_dedup, op5_exact_dedup, op6_benchmark_decontamination, op7_secret_scan, op8_mix_sources, op9_quality_classifier, op10_jaccard_join, op11_token_files, op12_collocations, op13_importance_resampling)}
 
 ORACLE_SQL = {
     "op4_substring_dedup": r"""
