@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wakeline.llm._bytes import Rolling, mix, words
+from wakeline.llm._bytes import Rolling, mix, pieces, words
 from wakeline.llm._shared import keep
 
 DEPTH = 2
@@ -32,7 +33,7 @@ MOST_BITS = 25
 #: Cells are sent and merged in blocks of 2 ** BLOCK_BITS.
 BLOCK_BITS = 16
 #: Texts are worked on this many bytes at a time, and up to the next mark that no phrase crosses.
-STREAM_BYTES = 8 << 20
+STREAM_BYTES = 2 << 20
 #: Phrases of one language that are ranked by one task before the best of all tasks are.
 RANKED_ROWS = 500_000
 
@@ -49,21 +50,19 @@ _FIRST, _SECOND = Rolling(12), Rolling(13)
 def streams(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
     """(language, bytes) for the columns text and lang of a batch: the texts of each language one after another, parted by
     a mark, cut after marks into stretches of about STREAM_BYTES."""
-    texts, langs = batch.column(0), batch.column(1)
-    by_lang: dict[str, list[str]] = {}
-    for text, lang in zip(texts.to_pylist(), langs.to_pylist(), strict=True):
-        if text:
-            by_lang.setdefault("und" if lang is None else lang, []).append(text)
-    for lang, own in by_lang.items():
-        data = np.frombuffer("\n".join(own).encode("utf-8", "surrogatepass"), np.uint8)
-        at = 0
-        while at < len(data):
-            end = at + STREAM_BYTES
-            if end < len(data):
-                mark = MARKS[data[end:]]
-                end += int(mark.argmax()) if mark.any() else len(mark)
-            yield lang, _LOWER[data[at:end]]
-            at = end
+    langs = pc.fill_null(batch.column(1), "und")
+    for lang in pc.unique(langs).to_pylist():
+        for i, j, data, offsets in pieces(batch.column(0).filter(pc.equal(langs, lang)), STREAM_BYTES):
+            line = np.full(len(data) + j - i, 10, np.uint8)
+            line[np.arange(len(data)) + np.repeat(np.arange(j - i), np.diff(offsets))] = _LOWER[data]
+            at = 0
+            while at < len(line):
+                end = at + 2 * STREAM_BYTES
+                if end < len(line):
+                    mark = MARKS[line[end:]]
+                    end += int(mark.argmax()) if mark.any() else len(mark)
+                yield lang, line[at:end]
+                at = end
 
 
 def runs_of(data: np.ndarray, lang: str, most: int, rolling: Rolling = _FIRST) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
