@@ -13,6 +13,7 @@ is run again leaves no trace: the partitions are ranges of doc_id, and a partiti
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -161,18 +162,45 @@ class FileReader:
             yield parts
 
 
-class _Words(dict):
-    """The ids of words as little-endian bytes, by the tokenizer where they are not known yet."""
+#: Letters that have one form, whose lower case is one letter, and that the tokenizer takes as parts of words.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[{_LETTER}]+").fullmatch
+#: Between such a letter and ASCII that is neither letter nor apostrophe one token always ends and another begins.
+_PARTS = re.compile(f"(?<=[{_LETTER}])(?=[\x00-&(-@\\[-`{{-\x7f])|(?<=[\x00-&(-@\\[-`{{-\x7f])(?=[{_LETTER}])").split
+
+
+class Words(dict):
+    """The ids of stretches without blanks as little-endian bytes, from the tokenizer where they are not known yet.
+
+    A stretch falls into parts that no token and no normal form reaches across. Parts of plain letters go to the
+    tokenizer's model directly, as its normal form and pre-tokenizer leave them whole; all else takes the whole way, as
+    does what might hold a special token."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if _PLAIN(c)}
+        # whether words of plain letters are what the whole way makes of them, for this tokenizer
+        self.direct = all(self._whole(w) == self._plain(w) for w in ("a", "Word", "ÉTÉ", "straße", "nothing" * 9))
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word.lower().translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.direct and _PLAIN(word):
+            ids = self._plain(word)
+        else:
+            parts = _PARTS(word) if self.direct and "<|" not in word else [word]
+            ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self._whole(word)
         if len(word) < 100:
             if len(self) >= KNOWN_WORDS:
                 self.clear()
@@ -184,11 +212,11 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str, block_ids: i
     """The records of the files, of docs (doc_id, text) in the order of each partition.
 
     The tokenizer's words never hold white space and its normal form does not reach across it, so a text's ids are those
-    of the stretches between its spaces, in turn; a task asks the tokenizer once for each different one."""
+    of the stretches between its blanks, in turn; a task asks the tokenizer once for each different one."""
     id_type = docs.schema["doc_id"].dataType
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = _Words(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, last = Words(tokenizer), np.array([end_id], "<u4").tobytes()
         of = words.__getitem__
         file = None
 
