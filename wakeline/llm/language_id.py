@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm._bytes import pieces
+from wakeline.llm._shared import draw
 
 # Languages by family. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -111,19 +112,13 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, epochs: i
     return weights, float(np.median(sizes)) or 1.0
 
 
-def train(docs: DataFrame, rows_each: int = 1500, epochs: int = 12, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from at most about ``rows_each`` rows of each language, drawn by a hash of id and text; their texts are
-    counted whole, on the executors, and only their trigram counts come to the driver."""
+def train(docs: DataFrame, rows_each: int = 1500, epochs: int = 12, languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model from at most ``rows_each`` rows of each of the ``languages`` languages that most rows have, drawn by a hash
+    of id and text; the texts are counted whole, on the executors, and only their trigram counts come to the driver."""
     usable = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text is not null and lang is not null and text rlike '\\\\p{L}'"
     )
-    sizes = {r["lang"]: r["count"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().collect()}
-    if not sizes:
-        return Model([], {}, {})
-    draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (draw < int(1_000_000 * rows_each / n)))
+    drawn = draw(usable, rows_each, [F.col("id"), F.col("text")], F.col("lang"), languages)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,21 +131,23 @@ def train(docs: DataFrame, rows_each: int = 1500, epochs: int = 12, id_col: str
                     value.append((c / np.linalg.norm(c)).astype(np.float32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["id", "lang", "i", "v"])
 
-    drawn = usable.where(wanted).select("id", "lang", "text").mapInArrow(counted, "id string, lang string, i array<int>, v array<float>").limit(4 * rows_each * len(sizes)).toArrow()
-    drawn = drawn.sort_by([("id", "ascending")])
-    lang = np.array(drawn.column("lang").to_pylist(), object)
-    rows = list(zip((np.asarray(x.values) for x in drawn.column("i")), (np.asarray(x.values) for x in drawn.column("v")), strict=True))
-    languages = sorted(set(lang))
-    family = {x: next((f for f, members in FAMILIES.items() if x in members), x) for x in languages}
+    got = drawn.select("id", "lang", "text").mapInArrow(counted, "id string, lang string, i array<int>, v array<float>").toArrow()
+    if not len(got):
+        return Model([], {}, {})
+    got = got.sort_by([("id", "ascending")])
+    lang = np.array(got.column("lang").to_pylist(), object)
+    rows = list(zip((np.asarray(x.values) for x in got.column("i")), (np.asarray(x.values) for x in got.column("v")), strict=True))
+    learned = sorted(set(lang))
+    family = {x: next((f for f, members in FAMILIES.items() if x in members), x) for x in learned}
     own = np.array([family[x] for x in lang], object)
     pairs = {}
     for labels, a, b in [
         *((own, a, b) for a, b in combinations(sorted(set(family.values())), 2)),
-        *((lang, a, b) for a, b in combinations(languages, 2) if family[a] == family[b]),
+        *((lang, a, b) for a, b in combinations(learned, 2) if family[a] == family[b]),
     ]:
         chosen = np.flatnonzero((labels == a) | (labels == b))
         pairs[a, b] = _svm([rows[i] for i in chosen], np.where(labels[chosen] == a, 1.0, -1.0), epochs, 1e-4)
-    return Model(languages, family, pairs)
+    return Model(learned, family, pairs)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,15 +188,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def drop_unidentified(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows that are und or have a lower score than ``least_score``, all columns kept, in one pass."""
+    """docs without the rows that are und or have a lower score than ``least_score``, all columns kept, in one pass.
+
+    Where no row has a language to learn from, nothing is known of any row's and only null and letterless texts go."""
     model = train(docs.where(~held_out(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col)
     names = docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = b.column(len(names))
-            stay = np.array(known.is_valid()) & bool(model.languages)
-            for i, j, data, offsets in pieces(known):
+            stay = np.array(known.is_valid())
+            for i, j, data, offsets in pieces(known) if model.languages else ():
                 if stay[i:j].any():
                     stay[i:j] &= model.predict(data, offsets)[1] >= least_score
             yield b.filter(pa.array(stay)).select(names)
