@@ -18,7 +18,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm._bytes import each, pieces, words
-from wakeline.llm._shared import texts
+from wakeline.llm._shared import draw, texts
 
 # The patterns, and the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -51,6 +51,8 @@ _LOWER[65:91] += 32
 N_SHAPES, N_WORDS, N_GAPS, N_FILES = 2048, 4096, 8, 32
 #: The features that hold the patterns' cues: the words of the token and before it, and what stands around it.
 CUES = [3, 4, 5, 6]
+#: Chains that one text of the sample teaches at most.
+CHAINS = 16
 #: Where each kind of feature begins among the weights.
 _SIZES = [N_SHAPES, N_SHAPES, N_SHAPES, N_WORDS, N_WORDS, N_GAPS, N_GAPS, N_FILES]
 _AT = np.concatenate([[0], np.cumsum(_SIZES)])
@@ -275,22 +277,21 @@ def trusted_lessons(chains: list[tuple[np.ndarray, np.ndarray, float]]) -> list[
 
 
 def train(docs: DataFrame, sample_rows: int = 10_000, reach: int = 8) -> Field | None:
-    """A field from the rows (doc_id, text) of a sample of about ``sample_rows`` texts, drawn by a hash of id and text,
-    and at most 8 chains for each of them. None if the patterns find no secret in it. The chains, some kilobytes each,
-    are all that comes to the driver."""
-    n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1, sample_rows / max(n, 1))))
+    """A field from at most ``sample_rows`` different texts (doc_id, text), drawn by a hash of id and text, and the first
+    ``CHAINS`` chains of each of them. None if the patterns find no secret in it. The chains, some kilobytes each, are all
+    that comes to the driver."""
+    drawn = draw(docs, sample_rows, [F.col("doc_id").cast("string"), F.col("text")], seed=5)
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_texts = b.column(0).to_pylist()
-            chains = [x for i, data, offsets in each(b.column(0)) for x in lessons(all_texts[i], data, offsets, reach)]
+            chains = [x for i, data, offsets in each(b.column(0)) for x in islice(lessons(all_texts[i], data, offsets, reach), CHAINS)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f.astype(np.int32).ravel() for f, _, _ in chains], pa.list_(pa.int32())), pa.array([t for _, t, _ in chains], pa.list_(pa.int8())), pa.array([w for _, _, w in chains], pa.float64())],
                 ["f", "t", "w"],
             )
 
-    got = drawn.select("text").mapInArrow(taught, "f array<int>, t array<tinyint>, w double").limit(8 * sample_rows).toArrow()
+    got = drawn.select("text").mapInArrow(taught, "f array<int>, t array<tinyint>, w double").toArrow()
     chains = sorted(
         ((np.asarray(f.values).reshape(-1, len(_SIZES)), np.asarray(t.values), w.as_py()) for f, t, w in zip(got.column("f"), got.column("t"), got.column("w"), strict=True)),
         key=lambda x: (x[0].tobytes(), x[1].tobytes(), x[2]),
