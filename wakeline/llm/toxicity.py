@@ -121,15 +121,15 @@ def train(
     docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic",
     least_rows: int = 5, least_z: float = 2.5,
 ) -> Severity:
-    """A model from at most about ``sample_rows`` labelled rows, drawn by a hash of the id, whole texts. The vocabulary
+    """A model from about ``sample_rows`` labelled rows, drawn by a hash of the id, whole texts, repeated rows once. The vocabulary
     is what at least ``least_rows`` of them have and a z score of ``least_z`` tells apart. With grades
     beyond 1 these are the grades; with 0 and 1 alone severities are those of grades_from_flags."""
     graded = labels.select(F.col(id_col).alias("l_id"), F.col(grade_col).cast("int").alias("grade")).where("l_id is not null and grade >= 0").groupBy("l_id").agg(F.max("grade").alias("grade"))
     n = graded.count()
-    million = F.lit(1_000_000)
-    drawn = lambda c: F.pmod(F.xxhash64(c.cast("string"), F.lit(3)), million) < int(1_000_000 * min(1.0, sample_rows / max(n, 1)))
+    top = (1 << 63) - 1
+    drawn = lambda c: F.shiftrightunsigned(F.xxhash64(c.cast("string"), F.lit(3)), 1) <= min(top, (sample_rows + 40) * top // max(n, 1))
     rows = docs.where(drawn(F.col(id_col)) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    some = rows.join(graded.where(drawn(F.col("l_id"))), F.col("doc_id") == F.col("l_id")).select("doc_id", "grade", "text")
+    some = rows.join(graded.where(drawn(F.col("l_id"))), F.col("doc_id") == F.col("l_id")).select("doc_id", "grade", "text").dropDuplicates(["doc_id", "text"])
 
     def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
