@@ -67,8 +67,11 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge_runs(digests: DataFrame, fan_in: int = 8, run_rows: int = RUN_ROWS) -> DataFrame:
-    """One row for each identity: keep_id and keep_row (of the row that stays) and group_size."""
-    rounds = max(1, math.ceil(math.log(max(digests.count() / run_rows, 1), fan_in)))
+    """One row for each identity: keep_id and keep_row (of the row that stays) and group_size.
+
+    There are fan_in ** rounds runs, as many rounds as leave each run about ``run_rows`` rows, and two at least; the rows
+    that come out are the same for any of them."""
+    rounds = max(2, math.ceil(math.log(max(digests.count() / run_rows, 1), fan_in)))
     n_runs = fan_in**rounds
 
     def digit(number: Column, place: int) -> Column:
