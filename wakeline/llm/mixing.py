@@ -61,15 +61,23 @@ def mix_sources(
     """Per row of docs: doc_id, size, source_size, target, taken.
 
     size counts words; a null or empty text has none and is taken zero times. A null source is a source of its own.
-    Ties of the key fall to doc_id, then size; rows repeated with both alike share the key and each has its own place.
-    Sources without words get target 0. An empty table gives an empty result. Reruns agree, as all keys are hashes.
+    The key is the hash of the doc_id, or of the size where that is null; ties fall to doc_id, then size. Of rows alike in
+    source, doc_id and size within a partition of the input all but one have keys of their own, so that they spread over
+    the ranges. The number of ranges follows the number of rows and has no influence on the result. Sources without words
+    get target 0. An empty table gives an empty result. Reruns agree, as all keys are hashes.
     """
+    # rows alike in source, id and size get keys of their own, as they may be a third of all; which of them gets which
+    # makes no difference to the rows of the result
+    alike = W.partitionBy("source", "doc_id", "size", "part").orderBy("doc_id")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string")))
+    own = F.when(F.col("nth") == 1, own).otherwise(F.concat_ws(" ", own, "part", "nth"))
     sized = keep(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        ).withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))),
+        ).withColumn("part", F.spark_partition_id()).withColumn("nth", F.row_number().over(alike)).withColumn("key", F.md5(F.concat(F.lit(seed), own)))
+        .drop("part", "nth"),
         "sizes",
     )
     digits = max(1, min(6, math.ceil(math.log(max(sized.count() / DOCS_PER_RANGE, 1), 16)) + 1))
