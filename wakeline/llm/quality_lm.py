@@ -156,14 +156,15 @@ def _shared_parts(model: DataFrame, hot_share: float) -> tuple[np.ndarray, np.nd
 
 
 def score(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT_SHARE) -> DataFrame:
-    """row, logp, n for the texts of rows (row, text): the sum of the logarithms of all characters, and their number."""
+    """row, row_b, logp, n for the texts of rows (row, row_b, text), row and row_b two hashes that tell them apart: the sum of the logarithms of all characters, and their number."""
+    names_out = ["row", "row_b", "key", "last", "before", "logp", "n"]
     shared = rows.sparkSession.sparkContext.broadcast(_shared_parts(model, hot_share))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, gains, weights, bitmap = shared.value
         for b in batches:
-            row = b.column(0).to_numpy()
-            for i, j, gram, at in _grams(b.column(1).to_pylist()):
+            row, row_b = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, j, gram, at in _grams(b.column(2).to_pylist()):
                 names, place = np.unique(gram, return_inverse=True)
                 value = np.full(len(names), rest)
                 open_ = []  # (n-gram's number, key, whether as a context) of what is not among the hot rows
@@ -179,11 +180,11 @@ def score(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT
                 sums = np.concatenate([[0], np.cumsum(value[place])])
                 n = np.diff(at)
                 zero = np.zeros(j - i, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(row[i:j]), pa.array(row[i:j]), pa.array(zero), pa.array(zero), pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(n)], ["row", "key", "last", "before", "logp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(row[i:j]), pa.array(row_b[i:j]), pa.array(row[i:j]), pa.array(zero), pa.array(zero), pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(n)], names_out)
                 if any(len(x) for x, _, _ in open_):
-                    yield from _to_join(row[i:j], place, np.repeat(np.arange(j - i), n), open_, len(names))
+                    yield from _to_join(row[i:j], row_b[i:j], place, np.repeat(np.arange(j - i), n), open_, len(names))
 
-    def _to_join(row: np.ndarray, place: np.ndarray, text: np.ndarray, open_: list, n_names: int) -> Iterator[pa.RecordBatch]:
+    def _to_join(row: np.ndarray, row_b: np.ndarray, place: np.ndarray, text: np.ndarray, open_: list, n_names: int) -> Iterator[pa.RecordBatch]:
         """The keys of each text that are to be joined, each once."""
         for left, keys, before in open_:
             number = np.full(n_names, -1)
@@ -195,15 +196,15 @@ def score(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT
             pair, times = np.unique(text[use] * len(distinct) + spot[number[place[use]]], return_counts=True)
             times, none = times.astype(np.int32), np.zeros(len(pair), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row[pair // len(distinct)]), pa.array(distinct[pair % len(distinct)].view(np.int64)), pa.array(none if before else times), pa.array(times if before else none), pa.array(np.zeros(len(pair))), pa.array(np.zeros(len(pair), np.int64))],
-                ["row", "key", "last", "before", "logp", "n"],
+                [pa.array(row[pair // len(distinct)]), pa.array(row_b[pair // len(distinct)]), pa.array(distinct[pair % len(distinct)].view(np.int64)), pa.array(none if before else times), pa.array(times if before else none), pa.array(np.zeros(len(pair))), pa.array(np.zeros(len(pair), np.int64))],
+                names_out,
             )
 
-    asked = rows.select("row", "text").mapInArrow(counted, "row long, key long, last int, before int, logp double, n long")
+    asked = rows.select("row", "row_b", "text").mapInArrow(counted, "row long, row_b long, key long, last int, before int, logp double, n long")
     # a text's own sum has the row as its key and counts nothing there
     found = asked.join(model.select("key", "gain", "weight").hint("shuffle_hash"), "key", "left")
     added = F.col("logp") + F.col("last") * F.coalesce("gain", F.lit(0.0)) + F.col("before") * F.coalesce("weight", F.lit(0.0))
-    return found.groupBy("row").agg(F.sum(added).alias("logp"), F.sum("n").alias("n"))
+    return found.groupBy("row", "row_b").agg(F.sum(added).alias("logp"), F.sum("n").alias("n"))
 
 
 def classify_quality(
@@ -227,13 +228,13 @@ def classify_quality(
     near = near_keys(rows.where("text != '' and doc_id is not null"), F.xxhash64("doc_id"), teachers.select(F.xxhash64("doc_id")))
     made = train(near.hint("merge").join(teachers, "doc_id", "left_semi").select("text"))
     # rows alike in id and text share their sums, which leaves their mean
-    row = F.xxhash64(F.col("doc_id"), F.col("text"))
-    scored = rows.select("doc_id", "lang", row.alias("row"))
+    row = [F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), F.xxhash64(F.lit(1), F.col("doc_id"), F.col("text")).alias("row_b")]
+    scored = rows.select("doc_id", "lang", *row)
     if made is None:
         scored = scored.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
     else:
-        sums = score(rows.select(row.alias("row"), "text"), *made, hot_share)
-        scored = scored.join(sums, "row", "left").select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
+        sums = score(rows.select(*row, "text"), *made, hot_share)
+        scored = scored.join(sums, ["row", "row_b"], "left").select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
     scored = keep(scored, "perplexities")
     judged = scored.join(trusted_ids.where(sets_limit), "doc_id", "left_semi").where("perplexity is not null")
     limits = judged.groupBy(F.col("lang").alias("t_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
