@@ -122,9 +122,10 @@ def relative_seconds(tracks: DataFrame) -> DataFrame:
 
 
 def time_text(time_ns: Column) -> Column:
-    """A nanosecond time as text with nine decimals."""
-    seconds = F.floor(time_ns / 1_000_000_000)
-    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad((time_ns - seconds * 1_000_000_000).cast("string"), 9, "0"))
+    """A nanosecond time as text with nine decimals. Whole numbers throughout: a double has too few digits for them."""
+    part = F.pmod(time_ns, F.lit(1_000_000_000))
+    seconds = F.call_function("div", time_ns - part, F.lit(1_000_000_000))
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad(part.cast("string"), 9, "0"))
 
 
 def time_from_text(text: Column) -> Column:
