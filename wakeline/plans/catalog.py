@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wakeline.functions import geo
 from wakeline.operators import coastline, edits, features, graph, kalman, spatial, tracks
 from wakeline.plans import tables as t
-from wakeline.sources import geojson
+from wakeline.sources import geojson, osm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -475,6 +475,16 @@ def grid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.groupBy("area_id").agg(F.count("*").alias("n_pieces"), F.round(F.sum(geo.polygon_area(F.col("rings"))), 6).alias("area"))
 
 
+@query("""WITH r AS (SELECT s_suppkey AS k, unnest(range(0, s_suppkey % 5 + 1)) AS ring FROM supplier), a AS (SELECT *, (20 - 2 * ring) * (20 - 2 * ring) * 1.0::DOUBLE AS area FROM r)
+SELECT 2 * o.k + 1 AS id, o.k * 100 + o.ring * 10 AS node_id, CASE WHEN h.k IS NULL THEN 1 ELSE 2 END AS n_rings, o.area - coalesce(h.area, 0) AS area
+FROM a o LEFT JOIN a h ON h.k = o.k AND h.ring = o.ring + 1 WHERE o.ring % 2 = 0""")
+def multipolygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of relations with islands in holes: id, the least node of the outer ring, rings and area of each."""
+    return osm.areas(t.nested_squares(spark, sf_dir)).select(
+        "id", F.array_min(F.try_element_at("ring_node_ids", F.lit(1))).alias("node_id"), F.size("rings").alias("n_rings"), geo.polygon_area(F.col("rings")).alias("area")
+    )
+
+
 @query()
 def coastline_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = t.way_shapes(spark, sf_dir).where("size(node_ids) > 1").select("ord", F.col("way_id").alias("id"), "points", "node_ids", "tags", F.lit(None).cast(geojson.BOX).alias("bbox"))

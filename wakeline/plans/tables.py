@@ -105,3 +105,24 @@ def border_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(p(x0 + w / 2, y0), p(x0 + w + 1, y0)))
     )
     return part.join(rect, "area_id").select("way_id", points.alias("points"))
+
+
+def nested_squares(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """nodes, ways and relations as of a map extract: each supplier a relation of one to five squares, each within the one
+    before, every square of two ways that meet at opposite corners, the second one turned round for every other square,
+    and beside them a way that closes nothing."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    ring = s.withColumn("ring", F.explode(F.sequence(F.lit(0), (F.col("k") % 5).cast("int"))))
+    x0, y0, side = (F.col("k") * 37 % 300 - 150 + F.col("ring")).cast("double"), (F.col("k") * 53 % 140 - 70 + F.col("ring")).cast("double"), (20 - 2 * F.col("ring")).cast("double")
+    base = F.col("k") * 100 + F.col("ring") * 10
+    corner = F.posexplode(F.array(*(F.struct((x0 + side * dx).alias("lon"), (y0 + side * dy).alias("lat")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1)))))
+    nodes = ring.select(base.alias("base"), corner.alias("n", "p")).select((F.col("base") + F.col("n")).alias("id"), "p.lat", "p.lon", F.create_map().cast("map<string,string>").alias("tags"))
+    back = F.array(base, base + 3, base + 2)
+    refs = F.explode(F.array(F.struct(base.alias("id"), F.array(base, base + 1, base + 2).alias("refs")), F.struct((base + 1).alias("id"), F.when(F.col("ring") % 2 == 0, F.reverse(back)).otherwise(back).alias("refs"))))
+    stub = F.struct((F.col("k") * 100 + 90).alias("id"), F.array(F.col("k") * 100, F.col("k") * 100 + 2).alias("refs"))
+    ways = ring.select(refs.alias("w")).unionByName(s.where("k % 2 = 0").select(stub.alias("w"))).select("w.id", "w.refs", F.create_map().cast("map<string,string>").alias("tags"))
+    member = F.struct(F.lit("way").alias("type"), F.col("id").alias("ref"), F.lit("").alias("role"))
+    relations = ways.groupBy(F.floor(F.col("id") / 100).alias("id2")).agg(F.collect_list(member).alias("members")).select(
+        F.col("id2").alias("id"), "members", F.create_map(F.lit("type"), F.lit("multipolygon")).alias("tags")
+    )
+    return {"nodes": nodes, "ways": ways, "relations": relations}

@@ -3,14 +3,13 @@ multipolygon relations, and the extraction of coastlines and the water areas tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeline.functions import planar
 from wakeline.operators.features import AREA_TAGS_INCLUDE, has_any_tag, renumber, with_tag
-from wakeline.operators.spatial import _has
 
 _TAGS = "tag array<struct<_k:string, _v:string>>"
 
@@ -54,34 +53,101 @@ def located(refs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     )
 
 
-def assemble_rings(ends: pd.DataFrame) -> list[list[tuple[int, bool]]]:
-    """Rings of the ways (way_id, head, tail) of one relation, as lists of (way_id, reversed); ways that close no ring
-    are left out."""
-    rings, rest = [], []
-    for r in ends.sort_values("way_id").itertuples(index=False):
-        (rings if r.head == r.tail else rest).append([(r.way_id, False)] if r.head == r.tail else r)
-    while rest:
-        first = rest.pop(0)
-        chain, start, end = [(first.way_id, False)], first.head, first.tail
-        while end != start:
-            k = next((i for i, r in enumerate(rest) if end in (r.head, r.tail)), None)
+def close_rings(heads: np.ndarray, tails: np.ndarray) -> list[list[tuple[int, bool]]]:
+    """Rings of the ways whose end nodes these are, as lists of (way, reversed).
+
+    A walk takes the first unused way at each node; where it comes to a node that it has been at, what lies between is a
+    ring, and where it can't go on, it goes back a way and tries the next. Every way is taken up once, ways that are part
+    of no ring are in none, and no ring comes to a node twice."""
+    at: dict[int, list[int]] = {}
+    for k, (a, b) in enumerate(zip(heads.tolist(), tails.tolist(), strict=True)):
+        at.setdefault(a, []).append(k)
+        if b != a:
+            at.setdefault(b, []).append(k)
+    rings, used = [], np.zeros(len(heads), bool)
+    for first in range(len(heads)):
+        if used[first]:
+            continue
+        node = int(heads[first])
+        path, spot, here = [], {node: 0}, node  # (way, reversed) so far, and after how many ways each node was reached
+        while True:
+            ways = at[here]
+            while ways and used[ways[-1]]:
+                ways.pop()
+            k = next((w for w in ways if not used[w]), None)
             if k is None:
-                break
-            r = rest.pop(k)
-            back = r.head != end
-            chain.append((r.way_id, back))
-            end = r.head if back else r.tail
-        if end == start:
-            rings.append(chain)
+                if not path:
+                    break
+                way, back = path.pop()  # it leads nowhere else
+                del spot[here]
+                here = int(tails[way] if back else heads[way])
+                continue
+            used[k] = True
+            back = int(heads[k]) != here
+            path.append((k, back))
+            here = int(heads[k] if back else tails[k])
+            if here in spot:
+                rings.append(path[spot[here] :])
+                for way, b in rings[-1][:-1]:
+                    del spot[int(heads[way] if b else tails[way])]
+                path = path[: spot[here]]
+            else:
+                spot[here] = len(path)
     return rings
 
 
+def nest(rings: list[np.ndarray]) -> list[tuple[int, list[int]]]:
+    """(outer ring, its holes) of rings (closed, of x and y) that do not cross: what lies in an even number of others is
+    an outer ring, the rest are holes of the smallest ring around them. A point within each ring tells where it lies, so
+    rings may touch."""
+    if len(rings) == 1:
+        return [(0, [])]
+    box = np.array([[*r.min(0), *r.max(0)] for r in rings])
+    size = np.array([abs(planar.ring_area(r)) for r in rings])
+    depth, parent = np.zeros(len(rings), int), np.full(len(rings), -1)
+    for k, r in enumerate(rings):
+        around = np.flatnonzero((box[:, 0] <= box[k, 0]) & (box[:, 1] <= box[k, 1]) & (box[:, 2] >= box[k, 2]) & (box[:, 3] >= box[k, 3]) & (size > size[k]))
+        if len(around):
+            point = planar.inner_point(r)
+            around = [j for j in around if planar.inside(point[None], planar.sides(rings[j]))[0]]
+            depth[k] = len(around)
+            parent[k] = min(around, key=lambda j: size[j], default=-1)
+    return [(k, [j for j in range(len(rings)) if parent[j] == k and depth[j] % 2]) for k in np.flatnonzero(depth % 2 == 0).tolist()]
+
+
+def _rings_of(ways: pa.Table) -> pa.Table:
+    """The rows of one relation (relation_id, way_id, node_ids, points) as its areas."""
+    ways = ways.sort_by("way_id").combine_chunks()
+    ids, points = ways.column("node_ids").combine_chunks(), ways.column("points").combine_chunks()
+    cut = np.append(np.asarray(ids.offsets), 0)[: len(ids) + 1]
+    node = np.asarray(ids.values)
+    xy = np.stack([np.asarray(points.values.field("lon")), np.asarray(points.values.field("lat"))], 1) if len(points) else np.zeros((0, 2))
+    whole, shapes = [], []
+    for ring in close_rings(node[cut[:-1]], node[cut[1:] - 1]):
+        spots = [np.arange(cut[w], cut[w + 1])[:: -1 if back else 1] for w, back in ring]
+        spots = np.concatenate([spots[0], *(x[1:] for x in spots[1:])])
+        if len(spots) >= 4:
+            whole.append(spots)
+            shapes.append(xy[spots])
+    found = nest(shapes) if shapes else []
+    lists = [[whole[k] for k in (outer, *holes)] for outer, holes in found]
+    flat = [r for area in lists for r in area]
+    spots = np.concatenate([np.zeros(0, np.int64), *flat])
+    of_ring = pa.array(np.cumsum([0, *(len(r) for r in flat)]), pa.int32())
+    of_area = pa.array(np.cumsum([0, *(len(x) for x in lists)]), pa.int32())
+    pairs = pa.StructArray.from_arrays([pa.array(xy[spots, 0]), pa.array(xy[spots, 1])], ["lon", "lat"])
+    nested = [pa.ListArray.from_arrays(of_area, pa.ListArray.from_arrays(of_ring, x)) for x in (pairs, pa.array(node[spots]))]
+    relation = pa.array([ways.column("relation_id")[0].as_py()] * len(lists), pa.int64())
+    return pa.table([relation, pa.array(range(len(lists)), pa.int32()), *nested], ["relation_id", "part", "rings", "ring_node_ids"])
+
+
 def areas(tables: dict[str, DataFrame]) -> DataFrame:
     """id, tags, rings, ring_node_ids: one row for each outer ring, its own holes after it.
 
     Closed ways of four nodes or more are areas of twice their id; multipolygon and boundary relations of twice their
-    id and one. A relation's member ways are put together by their end nodes; a hole belongs to the outer ring that
-    has its first point. A relation's members meet in one task, as one row of a result must hold them anyway.
+    id and one. A relation's member ways are put together by their end nodes, and rings are outer ones or holes by how
+    they lie in each other, whatever the members' roles say: an island in a hole is an area of its own. A relation's
+    members meet in one task, as one row of a result must hold them anyway; a relation with no ring gives no row.
     """
     ways, nodes = tables["ways"], tables["nodes"]
     way_refs = ways.select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "node_id"))
@@ -91,33 +157,10 @@ def areas(tables: dict[str, DataFrame]) -> DataFrame:
         (F.col("way_id") * 2).alias("id"), "tags", F.array("points").alias("rings"), F.array("node_ids").alias("ring_node_ids")
     )
     multi = tables["relations"].where(F.try_element_at("tags", F.lit("type")).isin("multipolygon", "boundary"))
-    members = multi.select(F.col("id").alias("relation_id"), F.explode("members").alias("m")).where("m.type = 'way'").select("relation_id", F.col("m.ref").alias("way_id"), F.when(F.col("m.role") == "inner", "inner").otherwise("outer").alias("role")).distinct()
-
-    def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
-        shapes = {r.way_id: ([(p["lon"], p["lat"]) for p in r.points], list(r.node_ids)) for r in pdf.itertuples(index=False)}
-        ends = pd.DataFrame({"way_id": pdf["way_id"], "head": [x[0] for x in pdf["node_ids"]], "tail": [x[-1] for x in pdf["node_ids"]], "role": pdf["role"]})
-
-        def rings(role: str) -> Iterator[tuple[list, list]]:
-            for chain in assemble_rings(ends[ends["role"] == role]):
-                points, ids = [], []
-                for way_id, back in chain:
-                    p, i = shapes[way_id]
-                    p, i = (p[::-1], i[::-1]) if back else (p, i)
-                    points, ids = points + p[bool(points) :], ids + i[bool(ids) :]
-                yield points, ids
-
-        outers, out = [(p, i, []) for p, i in rings("outer")], []
-        for p, i in rings("inner"):
-            home = next((o for o in outers if _has(o[0], p[0])), None)
-            if home:
-                home[2].append((p, i))
-        for k, (p, i, holes) in enumerate(outers):
-            every = [(p, i), *holes]
-            out.append((int(pdf["relation_id"].iloc[0]), k, [[{"lon": x, "lat": y} for x, y in r] for r, _ in every], [n for _, n in every]))
-        return pd.DataFrame(out, columns=["relation_id", "part", "rings", "ring_node_ids"])
-
-    joined = members.join(lines, "way_id").groupBy("relation_id").applyInPandas(
-        put_together, "relation_id long, part int, rings array<array<struct<lon:double,lat:double>>>, ring_node_ids array<array<long>>"
+    members = multi.select(F.col("id").alias("relation_id"), F.explode("members").alias("m")).where("m.type = 'way'").select("relation_id", F.col("m.ref").alias("way_id")).distinct()
+
+    joined = members.join(lines, "way_id").select("relation_id", "way_id", "node_ids", "points").groupBy("relation_id").applyInArrow(
+        _rings_of, "relation_id long, part int, rings array<array<struct<lon:double,lat:double>>>, ring_node_ids array<array<long>>"
     )
     made = joined.join(multi.select(F.col("id").alias("relation_id"), "tags"), "relation_id").select((F.col("relation_id") * 2 + 1).alias("id"), "tags", "rings", "ring_node_ids")
     return simple.unionByName(made)
