@@ -47,7 +47,7 @@ def test_random_rings_in_random_pieces_come_back():
 def test_holes_go_to_the_smallest_ring_around_them():
     outers = [square(0, 0, 10), square(2, 2, 6), square(20, 0, 5)]
     rings = [square(1, 1, 8), outers[0], square(3, 3, 4), outers[1], outers[2], square(0, 9.5, 0.5), square(21, 1, 1), square(23, 1, 1)]
-    found = {k: sorted(h) for k, h in osm.nest(rings)}
+    found = {k: sorted(h) for k, h in planar.nest(rings)}
     assert found == {1: [0, 5], 3: [2], 4: [6, 7]}
 
 

@@ -96,25 +96,6 @@ def close_rings(heads: np.ndarray, tails: np.ndarray) -> list[list[tuple[int, bo
     return rings
 
 
-def nest(rings: list[np.ndarray]) -> list[tuple[int, list[int]]]:
-    """(outer ring, its holes) of rings (closed, of x and y) that do not cross: what lies in an even number of others is
-    an outer ring, the rest are holes of the smallest ring around them. A point within each ring tells where it lies, so
-    rings may touch."""
-    if len(rings) == 1:
-        return [(0, [])]
-    box = np.array([[*r.min(0), *r.max(0)] for r in rings])
-    size = np.array([abs(planar.ring_area(r)) for r in rings])
-    depth, parent = np.zeros(len(rings), int), np.full(len(rings), -1)
-    for k, r in enumerate(rings):
-        around = np.flatnonzero((box[:, 0] <= box[k, 0]) & (box[:, 1] <= box[k, 1]) & (box[:, 2] >= box[k, 2]) & (box[:, 3] >= box[k, 3]) & (size > size[k]))
-        if len(around):
-            point = planar.inner_point(r)
-            around = [j for j in around if planar.inside(point[None], planar.sides(rings[j]))[0]]
-            depth[k] = len(around)
-            parent[k] = min(around, key=lambda j: size[j], default=-1)
-    return [(k, [j for j in range(len(rings)) if parent[j] == k and depth[j] % 2]) for k in np.flatnonzero(depth % 2 == 0).tolist()]
-
-
 def _rings_of(ways: pa.Table) -> pa.Table:
     """The rows of one relation (relation_id, way_id, node_ids, points) as its areas."""
     ways = ways.sort_by("way_id").combine_chunks()
@@ -129,7 +110,7 @@ def _rings_of(ways: pa.Table) -> pa.Table:
         if len(spots) >= 4:
             whole.append(spots)
             shapes.append(xy[spots])
-    found = nest(shapes) if shapes else []
+    found = planar.nest(shapes) if shapes else []
     lists = [[whole[k] for k in (outer, *holes)] for outer, holes in found]
     flat = [r for area in lists for r in area]
     spots = np.concatenate([np.zeros(0, np.int64), *flat])
