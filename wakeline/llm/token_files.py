@@ -35,8 +35,8 @@ TAIL = struct.Struct("<QQq8s")  # bytes of the chunk index, bytes of the documen
 BLOCK_IDS = 1 << 16
 #: A file holds the ids of about this many bytes of text.
 FILE_BYTES = 32 << 20
-#: Words whose ids a task remembers.
-KNOWN_WORDS = 500_000
+#: Words whose ids a worker remembers: this many of the latest, and the last full set before them.
+KNOWN_WORDS = 350_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -183,6 +183,7 @@ class Words(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.before: dict[str, bytes] = {}
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if _PLAIN(c)}
         # whether words of plain letters are what the whole way makes of them, for this tokenizer
@@ -196,18 +197,32 @@ class Words(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if self.direct and _PLAIN(word):
-            ids = self._plain(word)
-        else:
-            parts = _PARTS(word) if self.direct and "<|" not in word else [word]
-            ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self._whole(word)
+        ids = self.before.get(word)
+        if ids is None:
+            if self.direct and _PLAIN(word):
+                ids = self._plain(word)
+            else:
+                parts = _PARTS(word) if self.direct and "<|" not in word else [word]
+                ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self._whole(word)
         if len(word) < 100:
             if len(self) >= KNOWN_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
 
+_known: dict[str, Words] = {}
+
+
+def known_words(path: str) -> Words:
+    """The words that this worker has met with a tokenizer; one tokenizer at a time."""
+    if path not in _known:
+        _known.clear()
+        _known[path] = Words(path)
+    return _known[path]
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str, block_ids: int) -> DataFrame:
     """The records of the files, of docs (doc_id, text) in the order of each partition.
 
@@ -216,7 +231,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str, block_ids: i
     id_type = docs.schema["doc_id"].dataType
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = Words(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, last = known_words(tokenizer), np.array([end_id], "<u4").tobytes()
         of = words.__getitem__
         file = None
 
