@@ -39,6 +39,8 @@ def near_pairs(a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.nd
     none = np.zeros(0, np.int64)
     if not len(a_lo) or not len(b_lo):
         return none, none
+    if len(a_lo) * len(b_lo) <= 1 << 13:  # strips would not pay
+        return np.nonzero(((a_lo[:, None] <= b_hi[None]) & (b_lo[None] <= a_hi[:, None])).all(2))
     left, right = max(a_lo[:, 0].min(), b_lo[:, 0].min()), min(a_hi[:, 0].max(), b_hi[:, 0].max())
     if left > right:
         return none, none

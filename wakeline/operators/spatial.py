@@ -1,16 +1,19 @@
 """Spatial joins and cuts. A join of shapes is an equi-join on the cells of a grid that their boxes touch, followed by
-the exact test; only the exact tests of lines and the cutting of polygons are Python, on Arrow batches."""
+the exact test; only the exact tests of shapes and the cutting of polygons are Python, on Arrow batches."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.functions.geo import bbox, contains_point, ring_key
+from wakeline.functions import planar
+from wakeline.functions.geo import bbox, contains_point, overlaps, ring_key
 
 Point = tuple[float, float]
 
@@ -28,6 +31,101 @@ def points_in_areas(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> D
     return placed.join(spread, "cell").where(contains_point(F.col("rings"), F.col("lat"), F.col("lon"))).select("point_id", "area_id")
 
 
+def near_shapes(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
+    """a_id, b_id of the shapes (a_id and b_id, with rings or points) whose boxes meet. Only ids and boxes are dealt out by
+    cells, and a pair is taken in one cell alone, that of the lower left corner of what the boxes share."""
+    def dealt(shapes: DataFrame, name: str) -> DataFrame:
+        outline = F.try_element_at("rings", F.lit(1)) if "rings" in shapes.columns else F.col("points")
+        return shapes.select(f"{name}_id", bbox(outline).alias(f"{name}_box")).where(f"{name}_box is not null").withColumn("cell", F.explode(cells(F.col(f"{name}_box"), cell)))
+
+    x, y = F.greatest("a_box.min_lon", "b_box.min_lon"), F.greatest("a_box.min_lat", "b_box.min_lat")
+    own = (F.floor(x / cell) == F.col("cell.x")) & (F.floor(y / cell) == F.col("cell.y"))
+    return dealt(a, "a").join(dealt(b, "b"), "cell").where(overlaps(F.col("a_box"), F.col("b_box")) & own).select("a_id", "b_id")
+
+
+def _arrays(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The rings of each area of a column, or the points of each line as one."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rings = column.values if pa.types.is_list(column.type.value_type) else column
+    xy = np.stack([np.asarray(rings.values.field(c)) for c in ("lon", "lat")], 1)
+    of_ring, of_shape = np.asarray(rings.offsets), np.asarray(column.offsets)
+    for k in range(len(column)):
+        if rings is column:
+            yield [xy[of_ring[k] : of_ring[k + 1]]]
+        else:
+            yield [xy[of_ring[r] : of_ring[r + 1]] for r in range(of_shape[k], of_shape[k + 1])]
+
+
+def _sides(rings: list[np.ndarray], area: bool) -> np.ndarray:
+    """The sides of a shape; none for a line of one point, an area without an inner, or where a coordinate is missing."""
+    rings = [r for r in rings if len(r) > (2 if area else 1)]
+    if not rings or any(np.isnan(r).any() for r in rings):
+        return np.zeros((0, 4))
+    made = planar.oriented(rings) if area else planar.sides(rings[0])
+    return made[(made[:, :2] != made[:, 2:]).any(1)]
+
+
+def _with_shapes(pairs: DataFrame, a: DataFrame, b: DataFrame) -> tuple[DataFrame, bool, bool]:
+    kinds = ["rings" in x.columns for x in (a, b)]
+    a, b = (x.select(f"{n}_id", F.col("rings" if area else "points").alias(f"{n}_shape")) for x, n, area in ((a, "a", kinds[0]), (b, "b", kinds[1])))
+    return pairs.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "a_shape", "b_shape"), *kinds
+
+
+def relations(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
+    """a_id, b_id, matrix for the shapes (a_id and b_id, with rings or points) whose boxes meet; all others are apart.
+
+    matrix has nine letters, T or F: whether inner, border and outer of a (in turn) have points in common with those of b;
+    ``holds`` asks it. The border of an area are its rings, that of a line its ends. Points closer than some 1e-9 count as
+    one. Shapes with a missing coordinate, and what is a single point, have no points."""
+    rows, a_area, b_area = _with_shapes(near_shapes(a, b, cell), a, b)
+
+    def related(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True)
+            found = [planar.relation(_sides(x, a_area), _sides(y, b_area), a_area, b_area) for x, y in shapes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["a_id", "b_id", "matrix"])
+
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(related, f"a_id {types['a_id']}, b_id {types['b_id']}, matrix string")
+
+
+def holds(relation: str, matrix: Column) -> Column:
+    """Whether a relation of a to b holds by their matrix: intersects, contains, within, covers, covered_by, touches, equals,
+    overlaps. A contains b if no point of b is outside and the inners meet; it covers b even if b runs along its border
+    alone. overlaps is meant for shapes of one kind."""
+    meet = ~matrix.rlike("^FF.FF")
+    return {
+        "intersects": meet, "contains": matrix.rlike("^T.....FF"), "within": matrix.rlike("^T.F..F"), "covers": meet & matrix.rlike("^......FF"),
+        "covered_by": meet & matrix.rlike("^..F..F"), "touches": meet & matrix.startswith("F"), "equals": matrix.rlike("^T.F..FFF"), "overlaps": matrix.rlike("^T.T...T"),
+    }[relation]
+
+
+def intersections(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
+    """a_id, b_id, part (from 1), rings: the areas that the areas (a_id and b_id, rings) have in common, each with its holes.
+    What meets in points or lines alone has no row."""
+    rows, *_ = _with_shapes(near_shapes(a, b, cell), a, b)
+    types = dict(rows.dtypes)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, part, of_area, of_ring, points = [], [], [0], [0], []
+            for k, (x, y) in enumerate(zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True)):
+                x, y = _sides(x, True), _sides(y, True)
+                for n, rings in enumerate(planar.intersection(x, y) if len(x) and len(y) else [], 1):
+                    row.append(k)
+                    part.append(n)
+                    points += rings
+                    of_ring += [len(r) for r in rings]
+                    of_area.append(len(rings))
+            xy = np.concatenate([np.zeros((0, 2)), *points])
+            pairs = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["lon", "lat"])
+            nested = pa.ListArray.from_arrays(pa.array(np.cumsum(of_area), pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum(of_ring), pa.int32()), pairs))
+            own = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(part, pa.int32()), nested], ["a_id", "b_id", "part", "rings"])
+
+    return rows.mapInArrow(shared, f"a_id {types['a_id']}, b_id {types['b_id']}, part int, rings array<array<struct<lon:double,lat:double>>>")
+
+
 def _on_border(line: list[Point], rings: list[list[Point]]) -> bool:
     """Whether every part of the line runs along sides of the rings."""
     sides = [(a, b) for r in rings for a, b in zip(r, r[1:], strict=False)]

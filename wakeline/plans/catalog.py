@@ -475,6 +475,47 @@ def grid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.groupBy("area_id").agg(F.count("*").alias("n_pieces"), F.round(F.sum(geo.polygon_area(F.col("rings"))), 6).alias("area"))
 
 
+@query(f"""WITH {_RECTANGLES}, p AS (
+    SELECT a.area_id AS a_id, b.area_id AS b_id, a.x0 AS x0, a.x0 + a.w AS x1, a.y0 AS y0, a.y0 + a.h AS y1, b.x0 AS u0, b.x0 + b.w AS u1, b.y0 AS v0, b.y0 + b.h AS v1
+    FROM rects a JOIN rects b ON a.area_id <> b.area_id AND a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.h AND b.y0 <= a.y0 + a.h
+) SELECT a_id, b_id, x0 <= u0 AND u1 <= x1 AND y0 <= v0 AND v1 <= y1 AS contains, u0 <= x0 AND x1 <= u1 AND v0 <= y0 AND y1 <= v1 AS within,
+    x1 = u0 OR u1 = x0 OR y1 = v0 OR v1 = y0 AS touches FROM p""")
+def area_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the suppliers' rectangles, without their holes, lie to each other; those apart have no row."""
+    outer = t.rectangles(spark, sf_dir).select("area_id", F.slice("rings", 1, 1).alias("rings"))
+    found = spatial.relations(outer.withColumnRenamed("area_id", "a_id"), outer.withColumnRenamed("area_id", "b_id"), cell=8.0)
+    says = lambda r: spatial.holds(r, F.col("matrix")).alias(r)
+    return found.where(F.col("a_id") != F.col("b_id")).where(says("intersects")).select("a_id", "b_id", says("contains"), says("within"), says("touches"))
+
+
+@query(f"""WITH {_RECTANGLES}, l AS (
+    SELECT p_partkey AS way_id, x0 AS ax, y0 AS ay, CASE p_partkey % 3 WHEN 2 THEN x0 + w + 1 ELSE x0 + w END AS bx, CASE p_partkey % 3 WHEN 1 THEN y0 + h ELSE y0 END AS ey, w
+    FROM part JOIN rects ON area_id = p_partkey % 100 + 1
+), m AS (SELECT way_id, CASE way_id % 3 WHEN 2 THEN ax + w / 2 ELSE ax END AS ax, ay, bx, ey FROM l), c AS (
+    SELECT area_id, way_id, (ay = ey AND (ay = y0 OR ay = y0 + h)) AS along FROM m JOIN rects ON ax >= x0 AND bx <= x0 + w AND ay >= y0 AND ey <= y0 + h
+) SELECT area_id, way_id, NOT along AS contains FROM c""")
+def lines_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that an area, without its hole, covers, and whether it contains them or they run along its border."""
+    outer = t.rectangles(spark, sf_dir).select(F.col("area_id").alias("a_id"), F.slice("rings", 1, 1).alias("rings"))
+    found = spatial.relations(outer, t.border_lines(spark, sf_dir).withColumnRenamed("way_id", "b_id"), cell=8.0)
+    return found.where(spatial.holds("covers", F.col("matrix"))).select(F.col("a_id").alias("area_id"), F.col("b_id").alias("way_id"), spatial.holds("contains", F.col("matrix")).alias("contains"))
+
+
+@query(f"""WITH {_RECTANGLES}, p AS (
+    SELECT a.area_id AS a_id, b.area_id AS b_id,
+        greatest(0, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * greatest(0, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0))
+        - CASE WHEN a.hole THEN greatest(0, least(a.x0 + 2, b.x0 + b.w) - greatest(a.x0 + 1, b.x0)) * greatest(0, least(a.y0 + 2, b.y0 + b.h) - greatest(a.y0 + 1, b.y0)) ELSE 0 END
+        - CASE WHEN b.hole THEN greatest(0, least(a.x0 + a.w, b.x0 + 2) - greatest(a.x0, b.x0 + 1)) * greatest(0, least(a.y0 + a.h, b.y0 + 2) - greatest(a.y0, b.y0 + 1)) ELSE 0 END
+        + CASE WHEN a.hole AND b.hole THEN greatest(0, least(a.x0 + 2, b.x0 + 2) - greatest(a.x0 + 1, b.x0 + 1)) * greatest(0, least(a.y0 + 2, b.y0 + 2) - greatest(a.y0 + 1, b.y0 + 1)) ELSE 0 END AS area
+    FROM rects a JOIN rects b ON a.area_id < b.area_id
+) SELECT a_id, b_id, round(area, 6) AS area FROM p WHERE area > 0""")
+def area_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the suppliers' rectangles, with their holes, have in common, as shapes; here their areas."""
+    areas = t.rectangles(spark, sf_dir).select("area_id", "rings")
+    found = spatial.intersections(areas.withColumnRenamed("area_id", "a_id"), areas.withColumnRenamed("area_id", "b_id"), cell=8.0).where("a_id < b_id")
+    return found.groupBy("a_id", "b_id").agg(F.round(F.sum(geo.polygon_area(F.col("rings"))), 6).alias("area"))
+
+
 @query("""WITH r AS (SELECT s_suppkey AS k, unnest(range(0, s_suppkey % 5 + 1)) AS ring FROM supplier), a AS (SELECT *, (20 - 2 * ring) * (20 - 2 * ring) * 1.0::DOUBLE AS area FROM r)
 SELECT 2 * o.k + 1 AS id, o.k * 100 + o.ring * 10 AS node_id, CASE WHEN h.k IS NULL THEN 1 ELSE 2 END AS n_rings, o.area - coalesce(h.area, 0) AS area
 FROM a o LEFT JOIN a h ON h.k = o.k AND h.ring = o.ring + 1 WHERE o.ring % 2 = 0""")
