@@ -144,6 +144,7 @@ def test_osm_pbf(spark, tmp_path):
     assert tables["nodes"].count() == 8 and tables["nodes"].where("id = 9").first().tags == {"a": "b"}
     assert tables["nodes"].where("id = 3").first().lat == 4.0
     check_extract(tables)
+    check_extract(osm.read_pbf(spark, str(tmp_path / "a.osm.pbf"), once=True))
 
 
 def test_destutter_stream_over_micro_batches(spark, tmp_path):

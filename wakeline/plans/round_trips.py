@@ -12,7 +12,7 @@ from wakeline.functions.storage import fresh_path
 from wakeline.operators import edits, features, graph, tracks
 from wakeline.plans import tables as t
 from wakeline.plans.catalog import _RECTANGLES, _SEGMENTS_SQL, _STILL, _TRACKS, _WAY_NODES, _WAYS, _numbered, _segments, query
-from wakeline.sources import geojson, osm
+from wakeline.sources import geojson, osm, osm_pbf
 from wakeline.sources import tracks as csv_tracks
 
 # tracks
@@ -187,3 +187,49 @@ def checked_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_partkey AS node_id, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) > 1")
 def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.repeated_ids(t.way_nodes(spark, sf_dir), "node_id")
+
+
+# map extracts
+
+
+def _as_extract(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Nodes and ways of the tables, and relations of each customer's ways, as an extract has them."""
+    shapes = t.way_shapes(spark, sf_dir)
+    no_tags = F.create_map().cast("map<string,string>")
+    member = F.struct(F.lit("way").alias("type"), F.col("o_orderkey").alias("ref"), F.col("o_orderstatus").alias("role"))
+    owned = t.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return {
+        "nodes": t.nodes(spark, sf_dir).select(F.col("node_id").alias("id"), "lat", "lon", no_tags.alias("tags")),
+        "ways": shapes.select(F.col("way_id").alias("id"), F.col("node_ids").alias("refs"), "tags"),
+        "relations": owned.withColumn("tags", F.create_map(F.lit("type"), F.lit("route"))),
+    }
+
+
+@query(f"""WITH {_WAY_NODES}, {_WAYS}
+SELECT 'way' AS kind, way_id AS id, nat AS label, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos) AS refs, round(min(lat), 6) AS min_lat FROM way_nodes JOIN ways USING (way_id) GROUP BY way_id, nat
+UNION ALL SELECT 'relation', o_custkey, 'route', string_agg(CAST(o_orderkey AS VARCHAR) || o_orderstatus, ',' ORDER BY o_orderkey), NULL FROM orders GROUP BY o_custkey""")
+def pbf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways with their nodes' places, and relations, written as an extract in blocks and read again."""
+    path = fresh_path(spark, "extract").removeprefix("file://")
+    osm_pbf.write_pbf(_as_extract(spark, sf_dir), path)
+    back = osm.read_pbf(spark, path)
+    of_way = osm.located(back["ways"].select("id", F.posexplode("refs").alias("pos", "node_id")), back["nodes"], "id")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    ways = of_way.join(back["ways"].select("id", F.try_element_at("tags", F.lit("natural")).alias("label")), "id").select(
+        F.lit("way").alias("kind"), "id", "label", text(F.col("node_ids")).alias("refs"), F.round(F.array_min(F.transform("points", lambda p: p["lat"])), 6).alias("min_lat")
+    )
+    relations = back["relations"].select(
+        F.lit("relation").alias("kind"), "id", F.element_at("tags", "type").alias("label"),
+        F.array_join(F.transform("members", lambda m: F.concat(m["ref"].cast("string"), m["role"])), ",").alias("refs"), F.lit(None).cast("double").alias("min_lat"),
+    )
+    return ways.unionByName(relations)
+
+
+@query(f"""WITH {_WAY_NODES}, {_WAYS}, c AS (SELECT way_id, count(*) AS n_nodes FROM way_nodes JOIN ways USING (way_id) WHERE nat = 'coastline' GROUP BY way_id)
+SELECT row_number() OVER (ORDER BY way_id) AS id, CAST(way_id AS VARCHAR) AS osm_id, n_nodes FROM c""")
+def pbf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coastlines of an extract in blocks, decoded once, with the water areas at them looked for, too."""
+    path = fresh_path(spark, "extract").removeprefix("file://")
+    osm_pbf.write_pbf(_as_extract(spark, sf_dir), path)
+    found = osm.extract_water(osm.read_pbf(spark, path, once=True))
+    return found["ways"].select("id", F.element_at("tags", "OSM_way_id").alias("osm_id"), F.size("node_ids").cast("long").alias("n_nodes"))

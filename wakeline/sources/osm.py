@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import planar
+from wakeline.functions.storage import fresh_path
 from wakeline.operators.features import AREA_TAGS_INCLUDE, has_any_tag, renumber, with_tag
 
 _TAGS = "tag array<struct<_k:string, _v:string>>"
@@ -31,16 +32,27 @@ def read_xml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def read_pbf(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The same tables of .osm.pbf files, decoded block by block on the executors."""
-    from wakeline.sources.osm_pbf import OsmPbf
+def read_pbf(spark: SparkSession, path: str, once: bool = False) -> dict[str, DataFrame]:
+    """The same tables of .osm.pbf files, a file, a folder or a pattern, decoded by ranges of bytes on the executors.
+
+    Each table's scan decodes its own kind of elements alone. With ``once`` the file is decoded a single time, to columns
+    in the shared folder by kind, for work that reads the tables again and again."""
+    from wakeline.sources.osm_pbf import SCHEMA, OsmPbf
 
     spark.dataSource.register(OsmPbf)
-    rows = spark.read.format("osm_pbf").load(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    made = fresh_path(spark, "pbf") if once else None
+    if once:
+        spark.read.format("osm_pbf").load(path).write.partitionBy("kind").option("compression", "zstd").parquet(made)
+
+    def rows() -> DataFrame:
+        """A scan of its own, as those of one query share what has been pushed to them."""
+        return spark.read.schema(SCHEMA).parquet(made) if once else spark.read.format("osm_pbf").load(path)
+
     return {
-        "nodes": rows.where("kind = 'node'").select("id", "lat", "lon", "tags"),
-        "ways": rows.where("kind = 'way'").select("id", "refs", "tags"),
-        "relations": rows.where("kind = 'relation'").select("id", "members", "tags"),
+        "nodes": rows().where("kind = 'node'").select("id", "lat", "lon", "tags"),
+        "ways": rows().where("kind = 'way'").select("id", "refs", "tags"),
+        "relations": rows().where("kind = 'relation'").select("id", "members", "tags"),
     }
 
 

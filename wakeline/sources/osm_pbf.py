@@ -1,20 +1,39 @@
-"""A data source for .osm.pbf files. The driver reads the blocks' headers only; each block is a partition's work."""
+"""A data source for .osm.pbf files: files, folders and patterns, read by ranges of bytes.
+
+The driver lists the files and cuts them into ranges. A task finds the first block that begins in its range, by the mark
+that every block's header has, and goes on from header to header. A filter on ``kind`` is taken over by the reader: of
+blocks without elements of that kind only the group's numbers are looked at. Numbers are decoded by the column."""
 
 from __future__ import annotations
 
+import bz2
+import lzma
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 SCHEMA = (
     "kind string, id bigint, lat double, lon double, tags map<string,string>, refs array<bigint>, "
     "members array<struct<type:string, ref:bigint, role:string>>"
 )
 MEMBER_TYPES = ("node", "way", "relation")
-#: Blocks of one partition.
-BLOCKS = 8
+#: Bytes of a file that one task reads.
+RANGE_BYTES = 16 << 20
+#: Fixed values of the format: how a block's header begins after its length, the longest header and the longest block, and
+#: the kinds of elements by the number of their field in a group.
+MARK, HEAD_BYTES, BLOCK_BYTES = b"\x0a\x07OSMData", 64 << 10, 32 << 20
+KINDS = {1: "node", 2: "node", 3: "way", 4: "relation"}
+
+_ARROW = pa.schema([
+    ("kind", pa.string()), ("id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("tags", pa.map_(pa.string(), pa.string())), ("refs", pa.list_(pa.int64())),
+    ("members", pa.list_(pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())]))),
+])
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -45,108 +64,230 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
-def _numbers(data: bytes, signed: bool = False) -> list[int]:
-    out, at = [], 0
-    while at < len(data):
-        n, at = _varint(data, at)
-        out.append((n >> 1) ^ -(n & 1) if signed else n)
+def numbers(data: bytes) -> np.ndarray:
+    """All whole numbers of a packed field, without sign."""
+    byte = np.frombuffer(data, np.uint8)
+    end = np.flatnonzero(byte < 128)
+    start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+    size = end - start + 1
+    out = np.zeros(len(end), np.uint64)
+    for k in range(int(size.max(initial=0))):
+        use = size > k
+        out[use] |= (byte[start[use] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
     return out
 
 
-def _sums(deltas: list[int]) -> list[int]:
-    out, total = [], 0
-    for d in deltas:
-        total += d
-        out.append(total)
-    return out
+def packed(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Whole numbers without sign as a packed field, and the number of bytes of each."""
+    left, size = values.astype(np.uint64), np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += left >> np.uint64(7 * k) > 0
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        use = size > k
+        out[at[use] + k] = (left[use] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | np.where(size[use] > k + 1, 128, 0).astype(np.uint8)
+    return out.tobytes(), size
+
+
+def signed(values: np.ndarray) -> np.ndarray:
+    """Numbers whose sign is their last bit."""
+    return (values >> np.uint64(1)).view(np.int64) ^ -(values & np.uint64(1)).view(np.int64)
+
+
+def unsigned(values: np.ndarray) -> np.ndarray:
+    return ((values << 1) ^ (values >> 63)).view(np.uint64)
+
+
+def _lists(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of many packed fields in a row, and len + 1 offsets."""
+    data = b"".join(parts)
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) < 128)])
+    return numbers(data), ends[np.cumsum([0, *map(len, parts)])]
+
+
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Running sums within each list."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+
+
+def _table(kind: str, ids: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+    n = len(ids)
+    made = {"kind": pa.array([kind] * n, pa.string()), "id": pa.array(ids, pa.int64()), **columns}
+    return pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(n, f.type)) for f in _ARROW], schema=_ARROW)
+
 
+def _map(strings: pa.Array, offsets: np.ndarray, keys: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), strings.take(pa.array(keys.astype(np.int64))), strings.take(pa.array(values.astype(np.int64))))
 
-def _signed(n: int) -> int:
-    return n - (1 << 64) if n >= 1 << 63 else n
 
+def _tags(strings: pa.Array, messages: list[dict]) -> pa.Array:
+    keys, at = _lists([m.get(2, b"") for m in messages])
+    return _map(strings, at, keys, _lists([m.get(3, b"") for m in messages])[0])
 
-def decode(block: bytes) -> Iterator[tuple]:
-    """The rows of one block of primitives."""
-    strings, groups, grain, lat0, lon0 = [], [], 100, 0, 0
+
+def _integers(messages: list[dict], number: int) -> np.ndarray:
+    return np.array([m[number] for m in messages], np.uint64)
+
+
+def decode(block: bytes, kinds: frozenset[str] = frozenset(KINDS.values())) -> Iterator[pa.RecordBatch]:
+    """The rows of one block of primitives, those of the kinds that are asked for."""
+    table, groups, grain, lat0, lon0 = b"", [], 100, 0, 0
     for number, value in fields(block):
         if number == 1:
-            strings = [v.decode() for n, v in fields(value) if n == 1]
+            table = value
         elif number == 2:
-            groups.append(value)
+            if value and KINDS.get(_varint(value, 0)[0] >> 3) in kinds:  # a group is of one kind
+                groups.append(value)
         elif number == 17:
             grain = value
-        elif number == 19:
-            lat0 = _signed(value)
-        elif number == 20:
-            lon0 = _signed(value)
-    degrees = lambda v, base: (base + grain * v) / 1e9
-    tagged = lambda m: {strings[k]: strings[v] for k, v in zip(_numbers(m.get(2, b"")), _numbers(m.get(3, b"")), strict=True)}
+        elif number in (19, 20):
+            value -= (value >> 63) << 64
+            lat0, lon0 = (value, lon0) if number == 19 else (lat0, value)
+    if not groups:
+        return
+    strings = pa.array([v.decode() for n, v in fields(table) if n == 1], pa.string())
+    degrees = lambda v, base: pa.array((base + grain * v) / 1e9)
     for group in groups:
+        single: dict[int, list[dict]] = {}
         for number, value in fields(group):
-            m = dict(fields(value))
+            m = dict(fields(value)) if number in KINDS else {}
+            if number == 2 and m.get(1):
+                ids, lat, lon = (np.cumsum(signed(numbers(m[k]))) for k in (1, 8, 9))
+                flat = numbers(m.get(10, b""))
+                if len(flat):  # key, value, key, value, 0 for each node
+                    stop = np.flatnonzero(flat == 0)[: len(ids)]
+                    pair = np.delete(flat, stop).reshape(-1, 2).T
+                    at = np.concatenate([[0], (stop - np.arange(len(stop))) // 2])
+                else:
+                    pair, at = np.zeros((2, 0), np.uint64), np.zeros(len(ids) + 1, np.int64)
+                yield _table("node", ids, lat=degrees(lat, lat0), lon=degrees(lon, lon0), tags=_map(strings, at, *pair))
+            elif number in (1, 3, 4):
+                single.setdefault(number, []).append(m)
+        for number, found in single.items():
+            tags = _tags(strings, found)
             if number == 1:
-                zigzag = lambda n: (n >> 1) ^ -(n & 1)
-                yield "node", zigzag(m[1]), degrees(zigzag(m[8]), lat0), degrees(zigzag(m[9]), lon0), tagged(m), None, None
-            elif number == 2:
-                keys, spot, all_tags = _numbers(m.get(10, b"")), 0, []
-                ids = _sums(_numbers(m[1], True))
-                for _ in ids:
-                    tags = {}
-                    while spot < len(keys) and keys[spot]:
-                        tags[strings[keys[spot]]] = strings[keys[spot + 1]]
-                        spot += 2
-                    spot += 1
-                    all_tags.append(tags)
-                for i, y, x, tags in zip(ids, _sums(_numbers(m[8], True)), _sums(_numbers(m[9], True)), all_tags, strict=True):
-                    yield "node", i, degrees(y, lat0), degrees(x, lon0), tags, None, None
-            elif number == 3:
-                yield "way", _signed(m[1]), None, None, tagged(m), _sums(_numbers(m.get(8, b""), True)), None
-            elif number == 4:
-                members = zip(_numbers(m.get(10, b"")), _sums(_numbers(m.get(9, b""), True)), _numbers(m.get(8, b"")), strict=True)
-                yield "relation", _signed(m[1]), None, None, tagged(m), None, [(MEMBER_TYPES[k], ref, strings[role]) for k, ref, role in members]
-
-
-class _Blocks(InputPartition):
-    def __init__(self, path: str, spans: list[tuple[int, int]]) -> None:
-        self.path, self.spans = path, spans
-
-
-def _opened(path: str):
+                yield _table("node", signed(_integers(found, 1)), lat=degrees(signed(_integers(found, 8)), lat0), lon=degrees(signed(_integers(found, 9)), lon0), tags=tags)
+                continue
+            refs, at = _lists([m.get(8 if number == 3 else 9, b"") for m in found])
+            refs, offsets = pa.array(_sums(signed(refs), at)), pa.array(at, pa.int32())
+            if number == 3:
+                yield _table("way", _integers(found, 1).view(np.int64), tags=tags, refs=pa.ListArray.from_arrays(offsets, refs))
+                continue
+            roles, types = (_lists([m.get(k, b"") for m in found])[0].astype(np.int64) for k in (8, 10))
+            members = pa.StructArray.from_arrays([pa.array(MEMBER_TYPES).take(pa.array(types)), refs, strings.take(pa.array(roles))], ["type", "ref", "role"])
+            yield _table("relation", _integers(found, 1).view(np.int64), tags=tags, members=pa.ListArray.from_arrays(offsets, members))
+
+
+def unpacked(blob: dict, where: str) -> bytes:
+    """What a blob holds, by the number of the field that it is in."""
+    if 1 in blob:
+        return blob[1]
+    if 3 in blob:
+        return zlib.decompress(blob[3])
+    if 4 in blob:
+        return lzma.decompress(blob[4])
+    if 5 in blob:
+        return bz2.decompress(blob[5])
+    if 6 in blob or 7 in blob:
+        return pa.Codec("lz4_raw" if 6 in blob else "zstd").decompress(blob[6 if 6 in blob else 7], blob[2]).to_pybytes()
+    raise ValueError(f"{where}: compression is not supported")
+
+
+def store_of(path: str):
+    """(file system, path in it) of a path or address."""
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return store.open_input_file(inner)
+    if path.startswith("file:") and "://" not in path:
+        path = path[5:]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def listed(path: str) -> list[tuple[str, str, int]]:
+    """(address, path in its store, size) of the files of a path: a file, all *.pbf files below a folder, or those that a
+    pattern with * or ? names. A path that names nothing is an error."""
+    import fnmatch
+
+    from pyarrow import fs
+
+    store, inner = store_of(path)
+    fixed = inner
+    while any(c in fixed for c in "*?["):
+        fixed = fixed.rpartition("/")[0]
+    info = store.get_file_info(fixed or "/")
+    if fixed != inner or info.type == fs.FileType.Directory:
+        found = store.get_file_info(fs.FileSelector(fixed or "/", recursive=True))
+        wanted = [x for x in found if x.type == fs.FileType.File and (fnmatch.fnmatch(x.path, inner) if fixed != inner else x.path.endswith(".pbf"))]
+    else:
+        wanted = [info] if info.type == fs.FileType.File else []
+    if not wanted:
+        raise FileNotFoundError(f"no file at {path}")
+    return [(path, x.path, x.size) for x in sorted(wanted, key=lambda x: x.path)]
+
+
+class _Range(InputPartition):
+    def __init__(self, base: str, path: str, start: int, end: int) -> None:
+        self.base, self.path, self.start, self.end = base, path, start, end
+
+
+def _first_block(file, start: int, size: int) -> int:
+    """Where the first block begins at or after a place of a file: four bytes before the mark of a header that is whole."""
+    at, step, held = start, 1 << 20, b""
+    while at < size:
+        file.seek(at)
+        held = held[-(len(MARK) + 3) :] + file.read(min(step, size - at))
+        at = file.tell()
+        k = held.find(MARK, 4)
+        while k >= 0:
+            length = struct.unpack(">I", held[k - 4 : k])[0]
+            place = at - len(held) + k - 4
+            if len(MARK) < length <= HEAD_BYTES and place >= start:
+                file.seek(place + 4)
+                try:
+                    header = dict(fields(file.read(length)))
+                except IndexError:
+                    header = {}
+                if header.get(1) == b"OSMData" and 0 < header.get(3, 0) <= BLOCK_BYTES and place + 4 + length + header[3] <= size:
+                    return place
+            k = held.find(MARK, k + 1)
+    return size
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self) -> list[_Blocks]:
-        spans = []
-        with _opened(self.path) as file:
-            at, size = 0, file.size()
-            while at < size:
+    def __init__(self, path: str, range_bytes: int) -> None:
+        self.path, self.range_bytes, self.kinds = path, range_bytes, frozenset(KINDS.values())
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("kind",):
+                self.kinds &= frozenset([f.value] if isinstance(f, EqualTo) else f.value)
+            else:
+                yield f
+
+    def partitions(self) -> list[_Range]:
+        if not self.kinds:
+            return [_Range(self.path, "", 0, 0)]
+        return [_Range(base, path, at, min(at + self.range_bytes, size)) for base, path, size in listed(self.path) for at in range(0, max(size, 1), self.range_bytes)]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        with store_of(partition.base)[0].open_input_file(partition.path) as file:
+            size = file.size()
+            at = _first_block(file, partition.start, size) if partition.start or size else size
+            while at < partition.end:
                 file.seek(at)
                 head = struct.unpack(">I", file.read(4))[0]
                 header = dict(fields(file.read(head)))
-                at += 4 + head
-                if header[1] == b"OSMData":
-                    spans.append((at, header[3]))
-                at += header[3]
-        return [_Blocks(self.path, spans[i : i + BLOCKS]) for i in range(0, len(spans), BLOCKS)]
-
-    def read(self, partition: _Blocks) -> Iterator[tuple]:
-        with _opened(partition.path) as file:
-            for at, size in partition.spans:
-                file.seek(at)
-                blob = dict(fields(file.read(size)))
-                if 1 not in blob and 3 not in blob:
-                    raise ValueError(f"block at {at} of {partition.path}: compression is not supported")
-                yield from decode(blob[1] if 1 in blob else zlib.decompress(blob[3]))
+                if header.get(1) == b"OSMData":
+                    yield from decode(unpacked(dict(fields(file.read(header[3]))), f"block at {at} of {partition.path}"), self.kinds)
+                at += 4 + head + header[3]
 
 
 class OsmPbf(DataSource):
+    """Options: path, and range_bytes, the bytes of a file that one task reads."""
+
     @classmethod
     def name(cls) -> str:
         return "osm_pbf"
@@ -155,4 +296,111 @@ class OsmPbf(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
+
+
+# writing
+
+
+def _field(number: int, value: bytes | int) -> bytes:
+    if isinstance(value, int):
+        return packed(np.array([number << 3, value & (2**64 - 1)], np.uint64))[0]
+    return packed(np.array([number << 3 | 2, len(value)], np.uint64))[0] + value
+
+
+def blob(kind: bytes, data: bytes) -> bytes:
+    """A block of a file, compressed."""
+    body = _field(2, len(data)) + _field(3, zlib.compress(data, 6))
+    head = _field(1, kind) + _field(3, len(body))
+    return struct.pack(">I", len(head)) + head + body
+
+
+class _Strings(dict):
+    """Numbers of strings in the order in which they are met, from 1."""
+
+    def __missing__(self, text: str) -> int:
+        self[text] = len(self) + 1
+        return self[text]
+
+
+def _cut(data: bytes, size: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A packed field for each list, of the numbers of all lists."""
+    at = np.concatenate([[0], np.cumsum(size)])[offsets].tolist()
+    return [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _steps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Differences to the value before, within each list to 0 at its start."""
+    out = np.diff(values, prepend=0)
+    first = offsets[:-1][np.diff(offsets) > 0]
+    out[first] = values[first]
+    return out
+
+
+def encode(rows: pa.RecordBatch) -> bytes:
+    """The block of rows (kind, id, lat, lon, tags, refs, members), grouped by kind; places to 1e-7 degrees."""
+    strings, groups = _Strings(), []
+    for kind in ("node", "way", "relation"):
+        own = rows.filter(pa.compute.equal(rows.column(0), kind))
+        if not len(own):
+            continue
+        ids = own.column(1).to_numpy()
+        tags = [dict(t or ()) for t in own.column(4).to_pylist()]
+        keys, values = ([[strings[x] for x in (t if k == 0 else t.values())] for t in tags] for k in (0, 1))
+        if kind == "node":
+            places = [packed(unsigned(np.diff(np.round(own.column(k).to_numpy() * 1e7).astype(np.int64), prepend=0)))[0] for k in (2, 3)]
+            flat = [x for k, v in zip(keys, values, strict=True) for x in (*(y for pair in zip(k, v, strict=True) for y in pair), 0)]
+            dense = _field(1, packed(unsigned(np.diff(ids, prepend=0)))[0]) + _field(8, places[0]) + _field(9, places[1])
+            groups.append(_field(2, dense + (_field(10, packed(np.array(flat))[0]) if any(flat) else b"")))
+            continue
+        lists = own.column(5 if kind == "way" else 6)
+        at = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in lists.to_pylist()])]).astype(np.int64)
+        flat = lists.flatten()
+        refs = (flat if kind == "way" else flat.field("ref")).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = [_cut(*packed(unsigned(_steps(refs, at))), at)]
+        if kind == "relation":
+            roles = [strings[x or ""] for x in flat.field("role").to_pylist()]
+            parts += [_cut(*packed(np.array(x, np.int64)), at) for x in (roles, [MEMBER_TYPES.index(x) for x in flat.field("type").to_pylist()])]
+        numbered = (8,) if kind == "way" else (9, 8, 10)
+        for i, k, v, *lists in zip(ids.tolist(), keys, values, *parts, strict=True):
+            message = _field(1, i) + _field(2, packed(np.array(k, np.int64))[0]) + _field(3, packed(np.array(v, np.int64))[0])
+            message += b"".join(_field(n, x) for n, x in sorted(zip(numbered, lists, strict=True)))
+            groups.append((3 if kind == "way" else 4, message))
+    table = _field(1, b"".join(_field(1, s.encode()) for s in ("", *strings)))
+    whole = [_field(2, g) for g in groups if isinstance(g, bytes)]
+    whole += [_field(2, b"".join(_field(n, m) for k, m in (g for g in groups if not isinstance(g, bytes)) if k == n)) for n in (3, 4) if any(not isinstance(g, bytes) and g[0] == n for g in groups)]
+    return table + b"".join(whole)
+
+
+def write_pbf(tables: dict[str, DataFrame], path: str, block_rows: int = 8000) -> int:
+    """Writes nodes (id, lat, lon, tags), ways (id, refs, tags) and relations (id, members, tags) to a folder of .osm.pbf files,
+    each whole by itself, and returns how many. A file appears under its name when it is complete, so a task that is run
+    again replaces it by the same. ``path`` is one that all machines reach."""
+    from pyspark.sql import functions as F
+
+    def rows(df: DataFrame, kind: str) -> DataFrame:
+        types = dict(c.split(" ", 1) for c in SCHEMA.split(", ", 6))
+        return df.select(F.lit(kind).alias("kind"), *((F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in _ARROW.names[1:]))
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own = TaskContext.get()
+        store, folder = store_of(path)
+        store.create_dir(folder, recursive=True)
+        name, open_name = f"{folder}/part-{own.partitionId():05d}.osm.pbf", f"{folder}/.open-{own.partitionId():05d}-{own.taskAttemptId()}"
+        blocks = 0
+        with store.open_output_stream(open_name) as out:
+            out.write(blob(b"OSMHeader", _field(4, b"OsmSchema-V0.6") + _field(4, b"DenseNodes")))
+            for b in batches:
+                for i in range(0, len(b), block_rows):
+                    out.write(blob(b"OSMData", encode(b.slice(i, block_rows))))
+                    blocks += 1
+        if blocks:
+            store.move(open_name, name)
+        else:
+            store.delete_file(open_name)
+        yield pa.RecordBatch.from_arrays([pa.array([min(blocks, 1)])], ["n"])
+
+    every = rows(tables["nodes"], "node").unionByName(rows(tables["ways"], "way")).unionByName(rows(tables["relations"], "relation"))
+    return every.mapInArrow(written, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
