@@ -156,7 +156,7 @@ def _shared_parts(model: DataFrame, hot_share: float) -> tuple[np.ndarray, np.nd
 
 
 def score(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT_SHARE) -> DataFrame:
-    """row, row_b, logp, n for the texts of rows (row, row_b, text), row and row_b two hashes that tell them apart: the sum of the logarithms of all characters, and their number."""
+    """row, row_b, logp, n for the texts of rows (row, row_b, text), row and row_b hashes of 64 and 32 bits that tell them apart: the sum of the logarithms of all characters, and their number."""
     names_out = ["row", "row_b", "key", "last", "before", "logp", "n"]
     shared = rows.sparkSession.sparkContext.broadcast(_shared_parts(model, hot_share))
 
@@ -200,7 +200,7 @@ def score(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT
                 names_out,
             )
 
-    asked = rows.select("row", "row_b", "text").mapInArrow(counted, "row long, row_b long, key long, last int, before int, logp double, n long")
+    asked = rows.select("row", "row_b", "text").mapInArrow(counted, "row long, row_b int, key long, last int, before int, logp double, n long")
     # a text's own sum has the row as its key and counts nothing there
     found = asked.join(model.select("key", "gain", "weight").hint("shuffle_hash"), "key", "left")
     added = F.col("logp") + F.col("last") * F.coalesce("gain", F.lit(0.0)) + F.col("before") * F.coalesce("weight", F.lit(0.0))
@@ -228,7 +228,7 @@ def classify_quality(
     near = near_keys(rows.where("text != '' and doc_id is not null"), F.xxhash64("doc_id"), teachers.select(F.xxhash64("doc_id")))
     made = train(near.hint("merge").join(teachers, "doc_id", "left_semi").select("text"))
     # rows alike in id and text share their sums, which leaves their mean
-    row = [F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), F.xxhash64(F.lit(1), F.col("doc_id"), F.col("text")).alias("row_b")]
+    row = [F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), F.hash(F.lit(1), F.col("doc_id"), F.col("text")).alias("row_b")]
     scored = rows.select("doc_id", "lang", *row)
     if made is None:
         scored = scored.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
