@@ -342,16 +342,22 @@ def remove_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Two overlapping collections of lines and polygons with keys that repeat."""
+    """Two collections of lines and polygons with keys that repeat; those of a bay are in both."""
     base = _way_features(spark, sf_dir).where("geom_type != 'Point'")
     key = (F.col("id") % 1000).cast("string")
     name = F.when(F.col("geom_type") == "LineString", "OSM_way_id").otherwise("OSM_area_id")
     keyed = base.withColumn("tags", F.map_concat("tags", F.map_from_arrays(F.array(name), F.array(key))))
-    return [keyed.where("id % 2 = 0"), keyed.where("id % 3 = 0")]
+    return _collections(keyed)
 
 
-_KEYED = """k AS (SELECT 0 AS src, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'Polygon' ELSE 'LineString' END AS kind FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 2 = 0
-    UNION ALL SELECT 1, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Polygon' ELSE 'LineString' END FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 3 = 0)"""
+def _collections(rows: DataFrame) -> list[DataFrame]:
+    """The features of the first three priorities and those of the last three, which are all of them together."""
+    natural = F.try_element_at("tags", F.lit("natural"))
+    return [rows.where(natural.isin("coastline", "water", "bay")), rows.where(natural.isNull() | natural.isin("bay", "scrub"))]
+
+
+_KEYED = """k AS (SELECT 0 AS src, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'Polygon' ELSE 'LineString' END AS kind FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <= '3-MEDIUM'
+    UNION ALL SELECT 1, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Polygon' ELSE 'LineString' END FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority >= '3-MEDIUM')"""
 
 
 @query(f"""WITH {_KEYED}, r AS (SELECT *, row_number() OVER (PARTITION BY kind, id % 1000 ORDER BY src, id) AS rn FROM k)
@@ -422,11 +428,10 @@ def point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geojson.point_features(nodes).select(F.col("ord").alias("node_id"), "feature")
 
 
-@query("""WITH f AS (SELECT 0 AS src, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH f AS (SELECT 0 AS src, o_orderkey AS id FROM orders WHERE o_orderpriority <= '3-MEDIUM' UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_orderpriority >= '3-MEDIUM')
 SELECT id, src AS src_ord, row_number() OVER (ORDER BY src, id) - 1 AS ord FROM f""")
 def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _way_features(spark, sf_dir)
-    return features.union_collections([rows.where("id % 2 = 0"), rows.where("id % 3 = 0")]).select("id", "src_ord", "ord")
+    return features.union_collections(_collections(_way_features(spark, sf_dir))).select("id", "src_ord", "ord")
 
 
 @query(f"""WITH {_WAY_NODES} SELECT way_id AS id, 'LineString' AS geom_type, count(*) AS n_points, CAST(0 AS BIGINT) AS n_rings, CAST(0 AS BIGINT) AS n_holes,

@@ -196,19 +196,3 @@ def write_documents(features: DataFrame, path: str, group: list[str], order: lis
 def write_segment_csv(sliced: DataFrame, path: str, group: list[str]) -> None:
     """time,lat,lon files of each group, in folders by group."""
     sliced.select(*group, time_text(F.col("time_ns")).alias("time"), "lat", "lon").repartition(*group).sortWithinPartitions(*group, "time").write.partitionBy(*group).option("header", True).csv(path)
-
-
-def write_geofence(fence: DataFrame, geometry: DataFrame, url: str | None = None, path: str | None = None, properties: dict | None = None) -> None:
-    """The two geofence tables, to a database by JDBC or as Parquet. Fences go first, so no geometry is without one."""
-    for name, rows in (("vi_geofence", fence), ("vi_geofence_geometry", geometry)):
-        if url:
-            rows.write.jdbc(url, name, mode="append", properties=properties or {})
-        else:
-            rows.write.parquet(f"{path}/{name}")
-
-
-def read_geofence(spark: SparkSession, url: str, box: tuple[float, float, float, float], properties: dict | None = None) -> DataFrame:
-    """The fences of a database that meet a box (min_lon, min_lat, max_lon, max_lat); the comparison runs there."""
-    a, b, c, d = map(float, box)
-    where = F.col("lb_lon").between(-1e9, c) & (F.col("rt_lon") >= a) & (F.col("lb_lat") <= d) & (F.col("rt_lat") >= b)
-    return spark.read.jdbc(url, "vi_geofence", properties=properties or {}).where(where)
