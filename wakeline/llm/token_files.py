@@ -169,6 +169,11 @@ _PLAIN = re.compile(f"[{_LETTER}]+").fullmatch
 _PARTS = re.compile(f"(?<=[{_LETTER}])(?=[\x00-&(-@\\[-`{{-\x7f])|(?<=[\x00-&(-@\\[-`{{-\x7f])(?=[{_LETTER}])").split
 
 
+#: What a text in lower case must not have for its parts to be such letters and such ASCII alone.
+_OTHER = re.compile("[^a-zß-öø-ÿ\\x00-&(-@\\[-`{-\\x7f]").search
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[\\x00-\\x1f!-&(-@\\[-`{-\\x7f]+").findall
+
+
 class Words(dict):
     """The ids of stretches without blanks as little-endian bytes, from the tokenizer where they are not known yet.
 
@@ -187,20 +192,27 @@ class Words(dict):
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if _PLAIN(c)}
         # whether words of plain letters are what the whole way makes of them, for this tokenizer
-        self.direct = all(self._whole(w) == self._plain(w) for w in ("a", "Word", "ÉTÉ", "straße", "nothing" * 9))
+        self.direct = all(self._whole(w) == self._plain(w.lower()) for w in ("a", "Word", "ÉTÉ", "straße", "nothing" * 9))
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _plain(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word.lower().translate(self.letters))]
+        """The ids of plain letters, in lower case."""
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def ids(self, text: str) -> bytes:
+        """The ids of a text. One of plain letters and ASCII falls into its runs of these at once, any other into stretches."""
+        low = text.lower()
+        plain = self.direct and "<|" not in text and not _OTHER(low)
+        return b"".join(map(self.__getitem__, _RUNS(low) if plain else text.split(" ")))
+
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            if self.direct and _PLAIN(word):
-                ids = self._plain(word)
+            if self.direct and word.isalpha() and _PLAIN(word):
+                ids = self._plain(word.lower())
             else:
                 parts = _PARTS(word) if self.direct and "<|" not in word else [word]
                 ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self._whole(word)
@@ -227,12 +239,12 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str, block_ids: i
     """The records of the files, of docs (doc_id, text) in the order of each partition.
 
     The tokenizer's words never hold white space and its normal form does not reach across it, so a text's ids are those
-    of the stretches between its blanks, in turn; a task asks the tokenizer once for each different one."""
+    of the stretches between its blanks, in turn, or of still smaller parts that no token crosses; a worker asks the
+    tokenizer once for each different one."""
     id_type = docs.schema["doc_id"].dataType
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = known_words(tokenizer), np.array([end_id], "<u4").tobytes()
-        of = words.__getitem__
         file = None
 
         def rows(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +255,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str, block_ids: i
             file = file or FileWriter(TaskContext.get().partitionId(), b.schema.field(0).type, block_ids, kind)
             for i in range(0, len(b), 500):
                 part = b.slice(i, 500)
-                yield from rows(file.add(part.column(0), [b"".join(map(of, t.split(" "))) + last for t in part.column(1).to_pylist()]))
+                yield from rows(file.add(part.column(0), [words.ids(t) + last for t in part.column(1).to_pylist()]))
         if file:
             yield from rows(file.close())
 
