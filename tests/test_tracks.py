@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def test_kalman_covariances(spark):
 
     rng = np.random.default_rng(1)
     y = np.cumsum(rng.normal(size=(40, 2)) * 0.1, axis=0) + rng.normal(size=(40, 2)) * 0.3
-    (q,), (r,), (mean,) = estimate([y], 50)
+    (q,), (r,), (mean,), _ = estimate([y], 50)
     for m in (q, r):
         assert np.allclose(m, m.T) and (np.linalg.eigvalsh(m) > -1e-12).all()
     assert np.allclose(mean[0], y[0]) and np.abs(np.diff(mean, axis=0)).sum() < np.abs(np.diff(y, axis=0)).sum()
@@ -111,3 +112,54 @@ def test_kalman_covariances(spark):
     got = {(x.track_id, x.direction): x for x in kalman_em(tracks.with_row_ids(frame(spark, rows)), step=10, rounds=5).collect()}
     assert got["a", "forward"].n == 4 and got["a", "reverse"].status == "ok" and got["b", "forward"].status == "too_short"
     assert got["a", "reverse"].lat[0] == rows[39][2]
+
+
+def em_step_by_step(y, rounds, estimate_a):
+    """Expectation-maximisation of one track, one position at a time."""
+    n, a, q, r = len(y), np.eye(2), np.eye(2) * 0.1, np.eye(2) * 0.1
+    x0, p0 = y[0], np.zeros((2, 2))
+    for _ in range(rounds):
+        m, p, ahead, told = [], [], [], []
+        for t in range(n):
+            x, c = (x0, p0) if t == 0 else (a @ m[-1], a @ p[-1] @ a.T + q)
+            told.append(x)
+            ahead.append(c)
+            k = c @ np.linalg.pinv(c + r)
+            m.append(x + k @ (y[t] - x))
+            p.append(c - k @ c)
+        lag = [None] * n
+        for t in range(n - 2, -1, -1):
+            j = p[t] @ a.T @ np.linalg.pinv(ahead[t + 1])
+            m[t] = m[t] + j @ (m[t + 1] - told[t + 1])
+            p[t] = p[t] + j @ (p[t + 1] - ahead[t + 1]) @ j.T
+            lag[t + 1] = p[t + 1] @ j.T
+        if estimate_a:
+            top = sum(lag[t] + np.outer(m[t], m[t - 1]) for t in range(1, n))
+            a = top @ np.linalg.pinv(sum(p[t - 1] + np.outer(m[t - 1], m[t - 1]) for t in range(1, n)))
+        e = [m[t] - a @ m[t - 1] for t in range(1, n)]
+        q = sum(np.outer(e[t - 1], e[t - 1]) + a @ p[t - 1] @ a.T + p[t] - lag[t] @ a.T - a @ lag[t].T for t in range(1, n)) / (n - 1)
+        r = sum(np.outer(y[t] - m[t], y[t] - m[t]) + p[t] for t in range(n)) / n
+        x0, p0 = m[0], p[0]
+    return a, q, r
+
+
+@pytest.mark.parametrize("estimate_a", [False, True])
+def test_the_transition_is_estimated_if_asked_for(spark, estimate_a):
+    rng = np.random.default_rng(3)
+    turn = np.array([[0.98, -0.15], [0.15, 0.98]])
+    samples = []
+    for n in (2, 9, 30):
+        x, y = np.array([3.0, 1.0]), []
+        for _ in range(n):
+            y.append(x + rng.normal(0, 0.05, 2))
+            x = turn @ x
+        samples.append(np.array(y))
+    q, r, _, a = estimate(samples, 12, estimate_a)
+    for k, y in enumerate(samples):
+        for mine, want in zip((a[k], q[k], r[k]), em_step_by_step(y, 12, estimate_a), strict=True):
+            assert np.allclose(mine, want, rtol=1e-6, atol=1e-9)
+    assert np.allclose(a[2], turn, atol=0.05) if estimate_a else (a == np.eye(2)).all()
+    rows = [("t", i, float(p[1]), float(p[0])) for i, p in enumerate(samples[2])]
+    df = spark.createDataFrame(rows, "track_id string, row_id long, lat double, lon double")
+    got = kalman_em(df, step=1, rounds=12, estimate_a=estimate_a).where("direction = 'forward'").first()
+    assert ("a" in got.asDict()) == estimate_a and (not estimate_a or np.allclose(got.a, a[2]))
