@@ -233,3 +233,34 @@ def pbf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     osm_pbf.write_pbf(_as_extract(spark, sf_dir), path)
     found = osm.extract_water(osm.read_pbf(spark, path, once=True))
     return found["ways"].select("id", F.element_at("tags", "OSM_way_id").alias("osm_id"), F.size("node_ids").cast("long").alias("n_nodes"))
+
+
+# whole collections in one document
+
+
+@query(f"""WITH {_WAY_NODES}, {_RECTANGLES}, w AS (
+    SELECT way_id AS id, count(*) AS n_points, arg_min(round(lon, 6), pos) AS lon, arg_min(round(lat, 6), pos) AS lat FROM way_nodes WHERE way_id IN (SELECT o_orderkey FROM orders) GROUP BY way_id
+) SELECT 'LineString' AS geom_type, id, n_points, lon, lat FROM w
+UNION ALL SELECT 'Polygon', area_id, CASE WHEN hole THEN 10 ELSE 5 END, x0, round(y0, 6) FROM rects
+UNION ALL SELECT 'Point', p_partkey, 1, round(CAST((p_partkey * 7919) % 360000 AS DOUBLE) / 1000.0::DOUBLE - 180, 6), round(CAST((p_partkey * 104729) % 180000 AS DOUBLE) / 1000.0::DOUBLE - 90, 6) FROM part""")
+def three_section_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ways, areas and points as one document, ways first, read again by lines."""
+    ways = t.way_shapes(spark, sf_dir).withColumn("bbox", geo.bbox(F.col("points")))
+    corners = F.transform("rings", lambda r: F.transform(r, lambda p, i: (F.col("area_id") * 10 + i).cast("long")))
+    areas = t.rectangles(spark, sf_dir).select("area_id", F.col("area_id").alias("ord"), "rings", corners.alias("ring_node_ids"), F.create_map().cast("map<string,string>").alias("tags"), geo.bbox(F.flatten("rings")).alias("bbox"))
+    points = t.nodes(spark, sf_dir).withColumn("ord", F.col("node_id"))
+    sections = geojson.way_features(ways).unionByName(geojson.area_features(areas)).unionByName(geojson.point_features(points))
+    path = fresh_path(spark, "document")
+    geojson.write_documents(sections, path, [], ["section", "ord"], F.lit("all.geojson"))
+    shape = F.coalesce("points", F.flatten("rings"))
+    first = F.try_element_at(shape, F.lit(1))
+    return geojson.read_features(spark, path, lines=True).select("geom_type", "id", F.size(shape).cast("long").alias("n_points"), first["lon"].alias("lon"), first["lat"].alias("lat"))
+
+
+@query(f"WITH {_STILL}, {_SEGMENTS_SQL} SELECT 'track_' || segment_no || '.csv' AS file, time_ns, lat, lon FROM still JOIN segments ON row_id BETWEEN first AND last")
+def segment_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file for each segment under its own name."""
+    path = fresh_path(spark, "named")
+    geojson.write_segment_csv(tracks.slice_segments(_numbered(spark, sf_dir, still=True), _segments(spark)), path, ["segment_no"], F.concat(F.lit("track_"), F.col("segment_no"), F.lit(".csv")))
+    rows = spark.read.option("header", True).schema("time string, lat double, lon double").csv(f"{path}/*.csv")
+    return rows.select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"), tracks.time_from_text(F.col("time")).alias("time_ns"), "lat", "lon")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import bbox, closed, on_grid
@@ -25,10 +26,13 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     """src, ord, id, geom_type, coordinates, points (lines), rings (polygons), node_ids, ring_node_ids, tags, bbox.
 
     A document is parsed by one task, so large ones are better kept with a feature on each line (``lines``), which
-    Spark splits. Anything that is no FeatureCollection is an error.
+    Spark splits; documents of write_documents are such, too, and their first and last lines are left out. Anything that is
+    no FeatureCollection is an error.
     """
     if lines:
-        raw = spark.read.schema(FEATURE).json(path).select(F.col("_metadata.file_path").alias("src"), F.monotonically_increasing_id().alias("ord"), F.struct("id", "boundingbox", "geometry", "properties").alias("f"))
+        line = F.regexp_replace("value", r"^[\s,]+", "")
+        features = spark.read.text(path).select(line.alias("line"), "_metadata").where(r"line != '' and not line rlike '^(\\]|\\{[^{]*\\[\\s*$)'")
+        raw = features.select("_metadata", F.from_json("line", FEATURE).alias("f")).select("_metadata", "f.*").select(F.col("_metadata.file_path").alias("src"), F.monotonically_increasing_id().alias("ord"), F.struct("id", "boundingbox", "geometry", "properties").alias("f"))
     else:
         docs = spark.read.schema(f"type string, features array<struct<{FEATURE.replace('id bigint', 'id:bigint').replace(', boundingbox ', ', boundingbox:').replace(', geometry ', ', geometry:').replace(', properties ', ', properties:')}>>").option("multiLine", True).json(path)
         checked = F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(F.raise_error(F.lit("not a FeatureCollection")).cast(docs.schema["features"].dataType))
@@ -178,13 +182,13 @@ def documents(features: DataFrame, group: list[str], order: list[str], most_byte
     return features.groupBy(*group).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), inner, F.lit("]}")).alias("document"))
 
 
-def write_documents(features: DataFrame, path: str, group: list[str], order: list[str], name: Column) -> None:
-    """A file for each group's document in the folder ``path``, named by ``name``, an expression of the group's columns.
-    The tasks write them; the driver renames one file a document."""
+def _write_named(rows: DataFrame, path: str, order: list[str]) -> None:
+    """A file of lines for each file of rows (file, order, value) in the folder ``path``. The tasks write them, line by line;
+    the driver renames one file each."""
     from urllib.parse import unquote
 
-    spark, staged = features.sparkSession, f"{path}/_staged"
-    documents(features, group, order).select(name.alias("file"), "document").repartition("file").write.partitionBy("file").text(staged)
+    spark, staged = rows.sparkSession, f"{path}/_staged"
+    rows.repartition("file").sortWithinPartitions("file", *order).select("file", "value").write.partitionBy("file").text(staged)
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(staged)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -193,6 +197,28 @@ def write_documents(features: DataFrame, path: str, group: list[str], order: lis
     fs.delete(folder, True)
 
 
-def write_segment_csv(sliced: DataFrame, path: str, group: list[str]) -> None:
-    """time,lat,lon files of each group, in folders by group."""
-    sliced.select(*group, time_text(F.col("time_ns")).alias("time"), "lat", "lon").repartition(*group).sortWithinPartitions(*group, "time").write.partitionBy(*group).option("header", True).csv(path)
+def write_documents(features: DataFrame, path: str, group: list[str], order: list[str], name: Column) -> None:
+    """A FeatureCollection for each group in a file of the folder ``path``, named by ``name``, an expression of the group's
+    columns, which tells groups apart. Each feature is a line and no row holds a document, so it may be of any size; one
+    task writes a document, as it is one file."""
+    rows = features.select(name.alias("file"), *order, "feature")
+    place = F.row_number().over(W.partitionBy("file").orderBy(*order, "feature"))
+    lines = rows.withColumn("place", place).select(
+        "file", F.lit(1).alias("part"), "place", F.when(F.col("place") == 1, F.col("feature")).otherwise(F.concat(F.lit(", "), F.col("feature"))).alias("value")
+    )
+    both = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit('{"type": "FeatureCollection", "features": [').alias("value")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value"))))
+    frame = rows.groupBy("file").agg(F.lit(0).alias("place")).select("file", "place", both.alias("b")).select("file", "b.part", "place", "b.value")
+    _write_named(lines.unionByName(frame), path, ["part", "place"])
+
+
+def write_segment_csv(sliced: DataFrame, path: str, group: list[str], name: Column | None = None) -> None:
+    """time,lat,lon files of each group: in folders by group, or, with ``name``, an expression of the group's columns, a file of
+    that name for each in the folder ``path``."""
+    rows = sliced.select(*group, time_text(F.col("time_ns")).alias("time"), "lat", "lon")
+    if name is None:
+        rows.repartition(*group).sortWithinPartitions(*group, "time").write.partitionBy(*group).option("header", True).csv(path)
+        return
+    line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("time", "lat", "lon")))
+    lines = rows.select(name.alias("file"), F.lit(1).alias("part"), "time", line.alias("value"))
+    heads = rows.select(name.alias("file")).distinct().select("file", F.lit(0).alias("part"), F.lit("").alias("time"), F.lit("time,lat,lon").alias("value"))
+    _write_named(lines.unionByName(heads), path, ["part", "time"])
