@@ -271,7 +271,7 @@ def test_perplexities_are_those_of_raw_counts_however_few_rows_are_hot(spark):
         codes = tuple(int(c) for c in quality_lm.codes_of(context))
         assert math.isclose(sum(p(c, codes) for c in known) + p(4095, codes), 1, rel_tol=1e-9)
     model, rest = quality_lm.train(table.where("doc_id < 40").select("text"))
-    rows = table.select(F.xxhash64("doc_id", "text").alias("row"), F.hash("text").alias("row_b"), "text")
+    rows = table.select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("row_b"), "text")
     want = {}
     for r in rows.collect():
         padded = (quality_lm.START,) * 4 + tuple(int(c) for c in quality_lm.codes_of(r.text))
@@ -281,6 +281,15 @@ def test_perplexities_are_those_of_raw_counts_however_few_rows_are_hot(spark):
         assert len(got) == len(want) and all(math.isclose(r.logp / r.n, want[r.row], rel_tol=1e-9) for r in got)
 
 
+def test_texts_that_share_a_hash_keep_their_own_perplexity(spark):
+    rng = random.Random(6)
+    docs = [(i, "en", " ".join(rng.choices(["some", "plain", "words", "zq"], k=rng.randrange(1, 9)))) for i in range(40)] + [(3, "de", ""), (None, None, "words"), (7, "en", "zq"), (7, "en", "zq")]
+    rows = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    model = quality_lm.train(rows.where("doc_id < 20").select("text"))
+    apart, mixed = (sorted(map(str, quality_lm.perplexities(rows, *model, bits=bits).select("doc_id", "lang", F.round("perplexity", 9)).collect())) for bits in (64, 4))
+    assert len(apart) == len(docs) and apart == mixed
+
+
 def test_quality_of_awkward_rows(spark, awkward, nothing):
     rng = random.Random(2)
     good = [(i, " ".join(rng.choices(["plain", "words", "of", "trusted", "text"], k=40)), "en") for i in range(600)]

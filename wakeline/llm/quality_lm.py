@@ -15,6 +15,7 @@ perplexity is compared with a quantile of the trusted texts' perplexities in its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -156,7 +157,9 @@ def _shared_parts(model: DataFrame, hot_share: float) -> tuple[np.ndarray, np.nd
 
 
 def score(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT_SHARE) -> DataFrame:
-    """row, row_b, logp, n for the texts of rows (row, row_b, text), row and row_b hashes of 64 and 32 bits that tell them apart: the sum of the logarithms of all characters, and their number."""
+    """row, logp, n, least_b, most_b for the texts of rows (row, row_b, text), row and row_b two hashes that tell them apart:
+    the sum of the logarithms of all characters, and their number. row alone is sent with every n-gram; where different
+    texts share it, least_b and most_b differ and the sum is that of all of them."""
     names_out = ["row", "row_b", "key", "last", "before", "logp", "n"]
     shared = rows.sparkSession.sparkContext.broadcast(_shared_parts(model, hot_share))
 
@@ -182,9 +185,9 @@ def score(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT
                 zero = np.zeros(j - i, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(row[i:j]), pa.array(row_b[i:j]), pa.array(row[i:j]), pa.array(zero), pa.array(zero), pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(n)], names_out)
                 if any(len(x) for x, _, _ in open_):
-                    yield from _to_join(row[i:j], row_b[i:j], place, np.repeat(np.arange(j - i), n), open_, len(names))
+                    yield from _to_join(row[i:j], place, np.repeat(np.arange(j - i), n), open_, len(names))
 
-    def _to_join(row: np.ndarray, row_b: np.ndarray, place: np.ndarray, text: np.ndarray, open_: list, n_names: int) -> Iterator[pa.RecordBatch]:
+    def _to_join(row: np.ndarray, place: np.ndarray, text: np.ndarray, open_: list, n_names: int) -> Iterator[pa.RecordBatch]:
         """The keys of each text that are to be joined, each once."""
         for left, keys, before in open_:
             number = np.full(n_names, -1)
@@ -196,15 +199,35 @@ def score(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT
             pair, times = np.unique(text[use] * len(distinct) + spot[number[place[use]]], return_counts=True)
             times, none = times.astype(np.int32), np.zeros(len(pair), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row[pair // len(distinct)]), pa.array(row_b[pair // len(distinct)]), pa.array(distinct[pair % len(distinct)].view(np.int64)), pa.array(none if before else times), pa.array(times if before else none), pa.array(np.zeros(len(pair))), pa.array(np.zeros(len(pair), np.int64))],
+                [pa.array(row[pair // len(distinct)]), pa.nulls(len(pair), pa.int64()), pa.array(distinct[pair % len(distinct)].view(np.int64)), pa.array(none if before else times), pa.array(times if before else none), pa.array(np.zeros(len(pair))), pa.array(np.zeros(len(pair), np.int64))],
                 names_out,
             )
 
-    asked = rows.select("row", "row_b", "text").mapInArrow(counted, "row long, row_b int, key long, last int, before int, logp double, n long")
+    asked = rows.select("row", "row_b", "text").mapInArrow(counted, "row long, row_b long, key long, last int, before int, logp double, n long")
     # a text's own sum has the row as its key and counts nothing there
     found = asked.join(model.select("key", "gain", "weight").hint("shuffle_hash"), "key", "left")
     added = F.col("logp") + F.col("last") * F.coalesce("gain", F.lit(0.0)) + F.col("before") * F.coalesce("weight", F.lit(0.0))
-    return found.groupBy("row", "row_b").agg(F.sum(added).alias("logp"), F.sum("n").alias("n"))
+    return found.groupBy("row").agg(F.sum(added).alias("logp"), F.sum("n").alias("n"), F.min("row_b").alias("least_b"), F.max("row_b").alias("most_b"))
+
+
+def perplexities(rows: DataFrame, model: DataFrame, rest: float, hot_share: float = HOT_SHARE, bits: int = 64) -> DataFrame:
+    """doc_id, lang, perplexity of rows (doc_id, lang, text), null for an empty text.
+
+    Rows alike in id and text share their sums, which leaves their mean. Texts are told apart by a hash of ``bits`` bits; the
+    few that share one with another text, as a second hash tells, are taken once more by other hashes, until none do."""
+    parts, turn = [], 0
+    while True:
+        row, row_b = (F.xxhash64(F.lit(2 * turn + k), F.col("doc_id"), F.col("text")) for k in (0, 1))
+        hashed = rows.withColumns({"row": F.shiftrightunsigned(row, 64 - bits) if bits < 64 else row, "row_b": row_b})
+        sums = keep(score(hashed.select("row", "row_b", "text"), model, rest, hot_share), "sums")
+        same = F.col("least_b") == F.col("most_b")
+        found = hashed.select("doc_id", "lang", "row").join(sums.where(same), "row")
+        parts.append(found.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity")))
+        shared = sums.where(~same).select("row")
+        if not shared.limit(1).count():
+            break
+        rows, turn = keep(hashed.join(shared, "row", "left_semi").select("doc_id", "lang", "text"), "shared"), turn + 1
+    return reduce(DataFrame.unionByName, parts)
 
 
 def classify_quality(
@@ -227,14 +250,7 @@ def classify_quality(
     # texts are shuffled to their labels only where there may be one
     near = near_keys(rows.where("text != '' and doc_id is not null"), F.xxhash64("doc_id"), teachers.select(F.xxhash64("doc_id")))
     made = train(near.hint("merge").join(teachers, "doc_id", "left_semi").select("text"))
-    # rows alike in id and text share their sums, which leaves their mean
-    row = [F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), F.hash(F.lit(1), F.col("doc_id"), F.col("text")).alias("row_b")]
-    scored = rows.select("doc_id", "lang", *row)
-    if made is None:
-        scored = scored.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
-    else:
-        sums = score(rows.select(*row, "text"), *made, hot_share)
-        scored = scored.join(sums, ["row", "row_b"], "left").select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
+    scored = perplexities(rows, *made, hot_share) if made else rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
     scored = keep(scored, "perplexities")
     judged = scored.join(trusted_ids.where(sets_limit), "doc_id", "left_semi").where("perplexity is not null")
     limits = judged.groupBy(F.col("lang").alias("t_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
