@@ -163,3 +163,23 @@ def test_the_transition_is_estimated_if_asked_for(spark, estimate_a):
     df = spark.createDataFrame(rows, "track_id string, row_id long, lat double, lon double")
     got = kalman_em(df, step=1, rounds=12, estimate_a=estimate_a).where("direction = 'forward'").first()
     assert ("a" in got.asDict()) == estimate_a and (not estimate_a or np.allclose(got.a, a[2]))
+
+
+def test_segments_of_all_tracks_are_joined_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from wakeline.operators import tracks as op
+
+    rows = spark.range(400).select((F.col("id") % 40).alias("track_id"), F.floor(F.col("id") / 40).alias("row_id"))
+    segments = spark.createDataFrame([(0, 0, 4), (1, 3, 100000), (2, 7, 2)], "segment_no int, first long, last long")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        parts = op.slice_segments(rows, segments).select("track_id", "segment_no", "row_id").rdd.glom().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    got = sorted(tuple(r) for p in parts for r in p)
+    assert got == sorted((t, s, r) for t in range(40) for s, lo, hi in ((0, 0, 4), (1, 3, 9)) for r in range(lo, hi + 1))
+    assert max(map(len, parts)) < len(got) / 2

@@ -41,15 +41,22 @@ def slice_segments(tracks: DataFrame, segments: DataFrame) -> DataFrame:
     """The rows of each segment: segments has (segment_no, first, last), both ends included, and may have track_id.
 
     Ranges may overlap, and a row is then in several. The ranges are expanded to blocks of row ids, so that the join
-    is on (block[, track]) and is broadcast only if Spark finds the table of segments small.
+    is on (block[, track]) and is broadcast only if Spark finds the table of segments small. Segments of all tracks are
+    repeated for as many parts as a shuffle has, over which each block's rows are spread: else one task would join the
+    first blocks of all tracks.
     """
-    block = 4096
+    block, parts = 4096, max(int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), tracks.sparkSession.sparkContext.defaultParallelism)
     most = tracks.agg(F.coalesce(F.max("row_id"), F.lit(-1))).first()[0]  # an open end makes no blocks beyond the tracks' own
     keyed = segments.where(f"last >= first and last >= 0 and first <= {most}").withColumn(
         "__block", F.explode(F.sequence(F.floor(F.greatest(F.col("first"), F.lit(0)) / block), F.floor(F.least(F.col("last"), F.lit(most)) / block)))
     )
-    on = ["__block"] + ([TRACK] if TRACK in segments.columns else [])
-    return tracks.withColumn("__block", F.floor(F.col("row_id") / block)).join(keyed, on).where("row_id between first and last").drop("__block", "first", "last")
+    placed = tracks.withColumn("__block", F.floor(F.col("row_id") / block))
+    if TRACK in segments.columns:
+        joined = placed.join(keyed, ["__block", TRACK])
+    else:
+        spread = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        joined = placed.withColumn("__part", F.pmod(F.xxhash64(TRACK, "row_id"), F.lit(parts)).cast("int")).join(spread, ["__block", "__part"]).drop("__part")
+    return joined.where("row_id between first and last").drop("__block", "first", "last")
 
 
 def destutter_segments(sliced: DataFrame, linked: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
