@@ -158,3 +158,26 @@ def test_destutter_stream_over_micro_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r)[:2] for r in spark.table("still").collect()) == [("a", 1), ("a", 4), ("b", 1)]
+
+
+def test_files_of_a_group_are_written_by_many_tasks(spark, tmp_path):
+    import csv
+    import json
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("track_no"), (F.col("id") * 1_000_000_007).alias("time_ns"), F.lit(1.5).alias("lat"), (F.col("id") / 8).alias("lon"), F.col("id").alias("row_id"))
+    geojson.write_segment_csv(rows, str(tmp_path / "folders"), ["track_no"])
+    parts = {k: sorted((tmp_path / "folders" / f"track_no={k}").glob("*.csv")) for k in (0, 1)}
+    assert all(len(p) > 1 for p in parts.values())
+    lons = lambda f: [float(r["lon"]) for r in csv.DictReader(f.open())]
+    assert {k: [x for f in p for x in lons(f)] for k, p in parts.items()} == {k: [i / 8 for i in range(k, 3000, 2)] for k in (0, 1)}
+    geojson.write_segment_csv(rows, str(tmp_path / "named"), ["track_no"], F.concat(F.lit("a:b="), "track_no", F.lit(" .csv")))
+    assert {f.name: lons(f) for f in (tmp_path / "named").iterdir() if f.suffix == ".csv" and f.name[0] != "."} == {f"a:b={k} .csv": [i / 8 for i in range(k, 3000, 2)] for k in (0, 1)}
+    same = geojson.track_features(rows.withColumn("row_id", F.greatest("row_id", F.lit(20))), ["track_no"])  # many rows share the first place
+    geojson.write_documents(same, str(tmp_path / "documents"), ["track_no"], ["section", "ord"], F.concat(F.lit("d"), "track_no"))
+    for k in (0, 1):
+        found = json.loads((tmp_path / "documents" / f"d{k}").read_text())
+        assert found["type"] == "FeatureCollection" and [f["id"] for f in found["features"]] == [max(i, 20) for i in range(k, 3000, 2)] + [-1]
+    read = geojson.read_features(spark, str(tmp_path / "documents"), lines=True)
+    assert read.count() == 3002 and read.where("geom_type = 'LineString' and size(points) = 1500").count() == 2

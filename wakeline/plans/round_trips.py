@@ -59,7 +59,7 @@ def track_documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sliced = tracks.slice_segments(_numbered(spark, sf_dir), _segments(spark))
     path = fresh_path(spark, "documents")
     geojson.write_documents(geojson.track_features(sliced, ["segment_no"], "event_id"), path, ["segment_no"], ["section", "ord"], F.concat(F.lit("part_"), F.col("segment_no"), F.lit(".geojson")))
-    rows = geojson.read_features(spark, path)
+    rows = geojson.read_features(spark, path, lines=True)
     first = F.try_element_at("points", F.lit(1))
     return rows.select(F.substring_index("src", "/", -1).alias("file"), "id", "geom_type", F.size("points").cast("long").alias("n_points"), first["lon"].alias("lon"), first["lat"].alias("lat"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import bbox, closed, on_grid
@@ -182,43 +181,65 @@ def documents(features: DataFrame, group: list[str], order: list[str], most_byte
     return features.groupBy(*group).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), inner, F.lit("]}")).alias("document"))
 
 
-def _write_named(rows: DataFrame, path: str, order: list[str]) -> None:
-    """A file of lines for each file of rows (file, order, value) in the folder ``path``. The tasks write them, line by line;
-    the driver renames one file each."""
+def _parts(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+
+
+def _write_named(rows: DataFrame, path: str, order: list[str], head: str, joint: str = "", tail: str = "") -> None:
+    """A file of lines for each file of rows (file, order, value) in the folder ``path``, between head and tail; a line begins
+    with joint, the first one without it. All tasks write parts of files, each a range in order; then a task for each file
+    copies its parts, one after the other and a block at a time, so that none sorts or holds a file. ``path`` is one that
+    pyarrow opens on all machines."""
     from urllib.parse import unquote
 
+    from pyarrow import fs
+
+    from wakeline.sources.osm_pbf import store_of
+
     spark, staged = rows.sparkSession, f"{path}/_staged"
-    rows.repartition("file").sortWithinPartitions("file", *order).select("file", "value").write.partitionBy("file").text(staged)
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(staged)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for one in fs.globStatus(jvm.org.apache.hadoop.fs.Path(staged, "file=*/part-*")):
-        fs.rename(one.getPath(), jvm.org.apache.hadoop.fs.Path(path, unquote(one.getPath().getParent().getName().removeprefix("file="))))
-    fs.delete(folder, True)
+    parts = _parts(spark)
+    value = F.concat(F.lit(joint), "value").alias("value") if joint else F.col("value")
+    ranged = rows.repartitionByRange(parts, "file", *order).sortWithinPartitions("file", *order, "value")
+    ranged.select("file", value).write.partitionBy("file").text(staged)
+    store, folder = store_of(staged)
+    made: dict[str, list[str]] = {}
+    for x in store.get_file_info(fs.FileSelector(folder, recursive=True)):
+        if x.type == fs.FileType.File and x.base_name.startswith("part-"):
+            made.setdefault(x.path.rpartition("/")[0], []).append(x.path)
+    skip = len(joint.encode())
+
+    def joined(job: tuple[str, list[str]]) -> None:
+        store, base = store_of(path)
+        name = f"{base}/{unquote(job[0].rpartition('file=')[2])}"
+        with store.open_output_stream(f"{job[0]}/joined") as out:
+            out.write(f"{head}\n".encode())
+            for k, part in enumerate(sorted(job[1])):
+                with store.open_input_file(part) as file:
+                    file.seek(0 if k else skip)
+                    while block := file.read(8 << 20):
+                        out.write(block)
+            out.write(f"{tail}\n".encode() if tail else b"")
+        store.move(f"{job[0]}/joined", name)
+
+    jobs = sorted(made.items())
+    if jobs:
+        spark.sparkContext.parallelize(jobs, min(len(jobs), parts)).foreach(joined)
+    store.delete_dir(folder)
 
 
 def write_documents(features: DataFrame, path: str, group: list[str], order: list[str], name: Column) -> None:
     """A FeatureCollection for each group in a file of the folder ``path``, named by ``name``, an expression of the group's
-    columns, which tells groups apart. Each feature is a line and no row holds a document, so it may be of any size; one
-    task writes a document, as it is one file."""
-    rows = features.select(name.alias("file"), *order, "feature")
-    place = F.row_number().over(W.partitionBy("file").orderBy(*order, "feature"))
-    lines = rows.withColumn("place", place).select(
-        "file", F.lit(1).alias("part"), "place", F.when(F.col("place") == 1, F.col("feature")).otherwise(F.concat(F.lit(", "), F.col("feature"))).alias("value")
-    )
-    both = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit('{"type": "FeatureCollection", "features": [').alias("value")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value"))))
-    frame = rows.groupBy("file").agg(F.lit(0).alias("place")).select("file", "place", both.alias("b")).select("file", "b.part", "place", "b.value")
-    _write_named(lines.unionByName(frame), path, ["part", "place"])
+    columns, which tells groups apart. Each feature is a line and no row holds a document, so it may be of any size."""
+    rows = features.select(name.alias("file"), *order, F.col("feature").alias("value"))
+    _write_named(rows, path, order, '{"type": "FeatureCollection", "features": [', ", ", "]}")
 
 
 def write_segment_csv(sliced: DataFrame, path: str, group: list[str], name: Column | None = None) -> None:
-    """time,lat,lon files of each group: in folders by group, or, with ``name``, an expression of the group's columns, a file of
+    """time,lat,lon files of each group: in folders by group, as many files as ranges of time, or, with ``name``, an expression of the group's columns, a file of
     that name for each in the folder ``path``."""
     rows = sliced.select(*group, time_text(F.col("time_ns")).alias("time"), "lat", "lon")
     if name is None:
-        rows.repartition(*group).sortWithinPartitions(*group, "time").write.partitionBy(*group).option("header", True).csv(path)
+        rows.repartitionByRange(_parts(rows.sparkSession), *group, "time").sortWithinPartitions(*group, "time").write.partitionBy(*group).option("header", True).csv(path)
         return
     line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("time", "lat", "lon")))
-    lines = rows.select(name.alias("file"), F.lit(1).alias("part"), "time", line.alias("value"))
-    heads = rows.select(name.alias("file")).distinct().select("file", F.lit(0).alias("part"), F.lit("").alias("time"), F.lit("time,lat,lon").alias("value"))
-    _write_named(lines.unionByName(heads), path, ["part", "time"])
+    _write_named(rows.select(name.alias("file"), "time", line.alias("value")), path, ["time"], "time,lat,lon")
