@@ -49,3 +49,17 @@ def test_stages(spark, tmp_path):
     got = after.collect()
     assert len(got) == before.count() and all(abs(r.target - want[source[r.doc_id]]) < 1e-6 for r in got)
     assert sorted(map(tuple, pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, got))
+
+
+def test_texts_of_no_sure_language_go(spark):
+    from pathlib import Path
+
+    from wakeline.llm.language_id import identify
+
+    data = "/root/testdata/sf0.01"
+    if not Path(data).exists():
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    sure = {r.doc_id: r.lang_pred != "und" and r.score >= 0.5 for r in identify(docs).collect()}
+    kept = {r.doc_id for r in pipeline.language(spark, docs, data).select("doc_id").collect()}
+    assert kept == {i for i, x in sure.items() if x} and 0 < len(sure) - len(kept) < len(sure) / 100

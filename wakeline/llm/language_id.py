@@ -187,8 +187,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows that are und or have a lower score than ``least_score``, all columns kept, in one pass.
+def drop_unidentified(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows that are und or have a lower score than ``least_score``, all columns kept, in one pass. Below a
+    half the text is not taken for one of the language that is predicted.
 
     Where no row has a language to learn from, nothing is known of any row's and only null and letterless texts go."""
     model = train(docs.where(~held_out(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col)
