@@ -98,3 +98,16 @@ def test_equal_shapes_are_compared_once_and_by_many_tasks(spark):
 
 def spatial_name(matrix):
     return {"TFFFTFFFT": "equals", "FFTFTTTTT": "touches", "TTTTTTTTT": "overlaps"}[matrix]
+
+
+def test_only_ways_that_can_be_of_an_area_are_put_in_place(spark, capsys):
+    from wakeline.sources import osm
+
+    nodes = spark.createDataFrame([(i, float(i % 3), float(i * i % 7), {}) for i in range(1, 9)], "id long, lat double, lon double, tags map<string,string>")
+    # way 1 is closed, way 2 once node 99, which has no place, is left out, way 3 is open, ways 4 and 5 are a relation's
+    ways = spark.createDataFrame([(1, [1, 2, 3, 1], {}), (2, [99, 4, 5, 6, 4], {}), (3, [1, 2, 3, 4], {}), (4, [5, 6, 7], {}), (5, [7, 8, 5], {})], "id long, refs array<long>, tags map<string,string>")
+    relations = spark.createDataFrame([(6, [("way", 4, ""), ("way", 5, ""), ("node", 3, "")], {"type": "multipolygon"})], "id long, members array<struct<type:string, ref:long, role:string>>, tags map<string,string>")
+    found = osm.areas({"nodes": nodes, "ways": ways, "relations": relations})
+    assert sorted(r.id for r in found.collect()) == [2, 4, 13]
+    found.explain()
+    assert "array_distinct" in capsys.readouterr().out

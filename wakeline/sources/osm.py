@@ -143,14 +143,17 @@ def areas(tables: dict[str, DataFrame]) -> DataFrame:
     members meet in one task, as one row of a result must hold them anyway; a relation with no ring gives no row.
     """
     ways, nodes = tables["ways"], tables["nodes"]
-    way_refs = ways.select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "node_id"))
-    lines = located(way_refs, nodes, "way_id")
+    multi = tables["relations"].where(F.try_element_at("tags", F.lit("type")).isin("multipolygon", "boundary"))
+    members = multi.select(F.col("id").alias("relation_id"), F.explode("members").alias("m")).where("m.type = 'way'").select("relation_id", F.col("m.ref").alias("way_id")).distinct()
+    # a way that comes to no node twice is closed by none, whatever nodes have no place
+    refs = ways.select(F.col("id").alias("way_id"), "refs", (F.size(F.array_distinct("refs")) < F.size("refs")).alias("may_close"))
+    in_relation = members.select("way_id").distinct().withColumn("member", F.lit(True))
+    wanted = refs.join(in_relation, "way_id", "left").where("may_close or member")
+    lines = located(wanted.select("way_id", F.posexplode("refs").alias("pos", "node_id")), nodes, "way_id")
     closed_way = lines.where((F.size("node_ids") >= 4) & (F.try_element_at("node_ids", F.lit(1)) == F.try_element_at("node_ids", F.lit(-1))))
     simple = closed_way.join(ways.select(F.col("id").alias("way_id"), "tags"), "way_id").where(F.coalesce(F.try_element_at("tags", F.lit("area")) != "no", F.lit(True))).select(
         (F.col("way_id") * 2).alias("id"), "tags", F.array("points").alias("rings"), F.array("node_ids").alias("ring_node_ids")
     )
-    multi = tables["relations"].where(F.try_element_at("tags", F.lit("type")).isin("multipolygon", "boundary"))
-    members = multi.select(F.col("id").alias("relation_id"), F.explode("members").alias("m")).where("m.type = 'way'").select("relation_id", F.col("m.ref").alias("way_id")).distinct()
 
     joined = members.join(lines, "way_id").select("relation_id", "way_id", "node_ids", "points").groupBy("relation_id").applyInArrow(
         _rings_of, "relation_id long, part int, rings array<array<struct<lon:double,lat:double>>>, ring_node_ids array<array<long>>"
