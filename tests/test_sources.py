@@ -181,3 +181,24 @@ def test_files_of_a_group_are_written_by_many_tasks(spark, tmp_path):
         assert found["type"] == "FeatureCollection" and [f["id"] for f in found["features"]] == [max(i, 20) for i in range(k, 3000, 2)] + [-1]
     read = geojson.read_features(spark, str(tmp_path / "documents"), lines=True)
     assert read.count() == 3002 and read.where("geom_type = 'LineString' and size(points) = 1500").count() == 2
+
+
+def test_features_of_lines_are_parsed_once(spark, tmp_path, capsys):
+    from wakeline.sources import geojson
+
+    text = '{"type": "Feature", "id": %d, "boundingbox": [0, 0, %d, 1], "geometry": {"type": "LineString", "coordinates": [[0, 0], [%d, 1]]}, "properties": {"OSM_id_nodes": [1, 2], "tags": {"a": "b"}}}'
+    (tmp_path / "f.txt").write_text("\n".join(text % (k, k, k) for k in range(1, 4)) + "\n")
+    once, again = (geojson.read_features(spark, str(tmp_path / "f.txt"), lines=True, once=o) for o in (True, False))
+    assert sorted(map(str, once.collect())) == sorted(map(str, again.drop("coordinates").collect()))
+    model = geojson.model_tables(once)
+    model["way_nodes"].join(model["ways"], "way_id").explain()
+    plan = capsys.readouterr().out
+    assert "from_json" not in plan and plan.count("FileScan parquet") == 2
+    assert sorted((r.way_id, r.pos, r.node_id, r.lon) for r in model["way_nodes"].collect()) == sorted((k, p, p + 1, float(k * p)) for k in (1, 2, 3) for p in (0, 1))
+
+
+def test_the_round_trip_of_ways_reads_columns(spark, capsys):
+    from wakeline.plans import catalog
+
+    catalog.QUERIES["way_features_round_trip"](spark, "/root/testdata/sf0.001").explain()
+    assert "from_json" not in capsys.readouterr().out

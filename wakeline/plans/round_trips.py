@@ -82,7 +82,7 @@ def _ways_read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "ways")
     shapes = t.way_shapes(spark, sf_dir).withColumn("bbox", geo.bbox(F.col("points")))
     geojson.write_lines(geojson.way_features(shapes), path, "section", "ord")
-    return geojson.read_features(spark, path, lines=True)
+    return geojson.read_features(spark, path, lines=True, once=True)
 
 
 @query(f"""WITH {_WAY_NODES}, {_WAYS} SELECT w.way_id, pos, node_id, lon, lat, status, min(lon) OVER (PARTITION BY w.way_id) AS min_lon, max(lat) OVER (PARTITION BY w.way_id) AS max_lat

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import bbox, closed, on_grid
+from wakeline.functions.storage import settle
 from wakeline.operators.tracks import time_text
 
 FEATURE = "id bigint, boundingbox array<double>, geometry struct<type:string, coordinates:string>, properties struct<OSM_id_nodes:string, tags:map<string,string>, time:string>"
@@ -21,12 +22,13 @@ def _rings(text: Column) -> Column:
     return F.transform(F.from_json(text, "array<array<array<double>>>"), lambda r: F.transform(r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
 
 
-def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_features(spark: SparkSession, path: str, lines: bool = False, once: bool = False) -> DataFrame:
     """src, ord, id, geom_type, coordinates, points (lines), rings (polygons), node_ids, ring_node_ids, tags, bbox.
 
     A document is parsed by one task, so large ones are better kept with a feature on each line (``lines``), which
     Spark splits; documents of write_documents are such, too, and their first and last lines are left out. Anything that is
-    no FeatureCollection is an error.
+    no FeatureCollection is an error. A filter on a column of the result parses texts once more, and so does each use of it: with
+    ``once`` they are parsed a single time, to columns in the shared folder, which have no coordinates as text.
     """
     if lines:
         line = F.regexp_replace("value", r"^[\s,]+", "")
@@ -38,7 +40,7 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         raw = docs.select(F.col("_metadata.file_path").alias("src"), F.posexplode(checked).alias("ord", "f")).withColumn("ord", F.col("ord").cast("long"))
     kind, text, nodes = F.col("f.geometry.type"), F.col("f.geometry.coordinates"), F.col("f.properties.OSM_id_nodes")
     box = F.col("f.boundingbox")
-    return raw.select(
+    rows = raw.select(
         "src", "ord", F.col("f.id").alias("id"), kind.alias("geom_type"), text.alias("coordinates"),
         F.when(kind == "Point", F.array(F.struct(F.from_json(text, "array<double>")[0].alias("lon"), F.from_json(text, "array<double>")[1].alias("lat")))).when(kind == "LineString", _points(text)).alias("points"),
         F.when(kind == "Polygon", _rings(text)).alias("rings"),
@@ -47,6 +49,7 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         F.col("f.properties.tags").alias("tags"),
         F.when(F.size(box) == 4, F.struct(box[0].alias("min_lon"), box[1].alias("min_lat"), box[2].alias("max_lon"), box[3].alias("max_lat"))).alias("bbox"),
     )
+    return settle(rows.drop("coordinates"), "features") if once else rows
 
 
 def read_shapes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
